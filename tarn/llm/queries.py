@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tarn.llm import packing, simhash, token_files
+from tarn.llm import packing, quality, secrets, simhash, syncmers, token_files, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_closed_syncmers": syncmers.query,
+        "op4_string_kernel_toxicity": toxicity.query,
         "op5_best_fit_packing": packing.query,
+        "op6_password_guess_cost": secrets.query,
         "op7_simhash_near_dedup": simhash.query,
+        "op8_quadratic_discriminant": quality.query,
         "op10_token_files": token_files.query,
     }
 

@@ -27,8 +27,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tarn.llm.common import stored, utf8
 from tarn.llm.components import connected_components
@@ -166,6 +167,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks:
     return prints.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _marked(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, words) for t in utf8(batch, "text")], np.uint64).view(np.int64)
+            yield batch.append_column(MARK, pa.array(fps))
+
+    return run
+
+
+MARK = "__simhash"
+
+
+def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest doc_id of each class;
+    columns as they were. Of rows equal in doc_id and fingerprint one stays;
+    rows with a null doc_id stay."""
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    found = near_duplicates(docs, words, max_bits)
+    first = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias(MARK)).distinct()
+    marked = rows.where("doc_id is not null").mapInArrow(_marked(words), StructType([*rows.schema.fields, StructField(MARK, LongType())]))
+    kept = marked.join(first.select(F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"), MARK), ["doc_id", MARK], "left_semi")
+    return kept.dropDuplicates(["doc_id", MARK]).select(*rows.columns).unionByName(rows.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
