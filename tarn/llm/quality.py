@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import crc_mod, read_table, utf8
+from tarn.llm.common import bounded_sample, crc_mod, read_table, utf8
 
 #: Labelled rows that the fit takes at most.
 SAMPLE = 20_000
@@ -141,12 +141,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out: tuple[int, int], sample: int) -> DataFrame:
     """(label, text) of at most ``sample`` label rows, none of them held out."""
     modulus, rest = held_out
-    picked = (
+    picked = bounded_sample(
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_mod("doc_id", modulus) != rest))
-        .distinct()
-        .orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label")
-        .limit(sample)
+        .distinct(),
+        sample,
+        "doc_id",
+        "label",
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.join(F.broadcast(picked), "doc_id").select("label", "text")  # at most ``sample`` small rows

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarn.llm import packing, quality, secrets, simhash, syncmers, token_files, toxicity
+from tarn.llm import lattice, packing, quality, secrets, simhash, syncmers, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_closed_syncmers": syncmers.query,
+        "op2_lattice_likelihood": lattice.query,
         "op4_string_kernel_toxicity": toxicity.query,
         "op5_best_fit_packing": packing.query,
         "op6_password_guess_cost": secrets.query,
