@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarn.llm import lattice, packing, quality, secrets, simhash, syncmers, token_files, toxicity
+from tarn.llm import blockjoin, lattice, packing, quality, secrets, simhash, syncmers, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_closed_syncmers": syncmers.query,
         "op2_lattice_likelihood": lattice.query,
+        "op3_block_matrix_join": blockjoin.query,
         "op4_string_kernel_toxicity": toxicity.query,
         "op5_best_fit_packing": packing.query,
         "op6_password_guess_cost": secrets.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_block_matrix_join": blockjoin.SQL}
