@@ -80,7 +80,9 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             cols = np.flatnonzero(cols)
             own = int(q_ids[at + r])
             a, b = q[at + r], c[cols]
-            cosine = (b @ a) / (np.sqrt(a @ a) * np.sqrt((b**2).sum(1)))
+            # summed in order, so that the numbers do not depend on the tile
+            dot, bb, aa = (np.cumsum(x, axis=-1)[..., -1] for x in (a * b, b * b, a * a))
+            cosine = np.clip(dot / np.sqrt(aa * bb), -1.0, 1.0)
             heap: list[tuple[float, int]] = []
             for s, g in zip(cosine.tolist(), cols.tolist()):
                 for i in copies[g]:

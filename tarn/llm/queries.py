@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import blockjoin, lattice, packing, quality, secrets, simhash, syncmers, token_files, toxicity
+from tarn.llm import blockjoin, lattice, packing, pieces, quality, secrets, simhash, syncmers, token_files, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_password_guess_cost": secrets.query,
         "op7_simhash_near_dedup": simhash.query,
         "op8_quadratic_discriminant": quality.query,
+        "op9_relational_lattice": pieces.query,
         "op10_token_files": token_files.query,
     }
 
