@@ -8,14 +8,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def share_package(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it.
+    """Lets Python workers import this package from where the driver has it,
+    and bounds the Arrow batches that they get.
 
     On a cluster whose nodes lack that folder, ship it with ``--py-files``.
     """
+    if spark.conf.get(ROWS, "10000") == "10000":  # unset: rows are whole documents here, so take fewer at a time
+        spark.conf.set(ROWS, "2000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
