@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.bpe import encode
-from tarn.llm.common import crc32_ids, shared_path, texts
+from tarn.llm.common import crc32_ids, texts
+from tarn.session import shared_path
 
 #: Sequences in one record batch.
 BATCH = 256
