@@ -62,7 +62,21 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab: str =
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin (from 0) and the offset in it of each length, in their order."""
+    """The bin (from 0) and the offset in it of each length. Pieces are placed
+    largest first, and once more smallest first; the fewer bins count."""
+    best = None
+    for order in (np.argsort(-lengths, kind="stable"), np.argsort(lengths, kind="stable")):
+        found = _placed(lengths[order], capacity)
+        bins = len(np.unique(found[0]))
+        if best is None or bins < best[0]:
+            where, offset = np.empty_like(found[0]), np.empty_like(found[1])
+            where[order], offset[order] = found
+            best = bins, where, offset
+    return best[1:]
+
+
+def _placed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and offsets when pieces are placed in this order."""
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap
     bins: dict[int, list[int]] = defaultdict(list)
     gap_of: list[int] = []
