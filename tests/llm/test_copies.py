@@ -94,6 +94,33 @@ def test_simhash_edge_rows(spark, edge):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, None, 5, 4], key=str)
 
 
+def test_similar_finds_copies_and_leaves_others(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(3000)]
+    rows, alike = [], {}
+    for i in range(60):
+        text = list(rng.choice(words, 300))
+        rows.append((10 * i, " ".join(text)))
+        for j, edits in enumerate((0, 2, 4, 40)):
+            copy = list(text)
+            for at in rng.choice(300, edits, replace=False):
+                copy[at] = "changed"
+            rows.append((10 * i + 1 + j, " ".join(copy)))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        first = grams(rows[i // 10 * 5][1])
+        alike = len(first & grams(t)) / len(first | grams(t))
+        if alike >= 0.85:
+            assert got[i] == i // 10 * 10
+        elif alike < 0.7:
+            assert got[i] == i
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
