@@ -38,7 +38,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,8 +63,8 @@ TINY = 1e-30
 HOT, HELD = 200_000, 300_000
 #: A word longer than this many bytes is scored in parts of this length.
 LONG = 256
-#: Words are cut to so many bytes when pieces are re-estimated.
-LINEAR = 32
+#: Words are cut into so many bytes when pieces are re-estimated; characters that are worked on together.
+LINEAR, CELLS = 64, 60_000
 #: A piece that all words together use less often than this leaves the lattice.
 LEAST = 0.5
 
@@ -90,17 +90,7 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> tuple[list[bytes], np.ndarr
     return pieces, np.log(w / w.sum())
 
 
-def _edges(word: bytes, get) -> list[list[tuple]]:
-    """For each end, the (start, value) of the pieces there that ``get`` knows."""
-    out = []
-    for j in range(1, len(word) + 1):
-        here = []
-        for i in range(j - PIECE if j > PIECE else 0, j):
-            v = get(word[i:j])
-            if v is not None:
-                here.append((i, v))
-        out.append(here)
-    return out
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattice:
@@ -108,6 +98,8 @@ class Lattice:
 
     ``logs`` has a row of log probabilities for each piece and a column for each
     set; after each piece a word ends with probability ``stop`` of the set.
+    Words of equal length are worked on together: for each start and end, one
+    search in the sorted 64-bit hashes of the pieces finds the edges of all.
     """
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray, stop: np.ndarray):
@@ -115,43 +107,89 @@ class Lattice:
         self.weights, self.stop = logs, stop
         go = np.log1p(-stop)
         self.last = np.log(stop) - go
-        self.logs = dict(zip(pieces, logs + go))
-        self.plain = [dict(zip(pieces, np.exp(logs[:, k] + go[k]).tolist())) for k in range(self.sets)]
-
-    def log_marginal(self, word: bytes) -> np.ndarray:
-        """Natural log of the probability of ``word`` over all segmentations, by
-        the forward recursion in log space; for each set of weights."""
-        out = self.last.copy()
-        for at in range(0, len(word), LONG):  # cut points of very long words are fixed: a lower bound
-            a = [np.zeros(self.sets)]
-            for here in _edges(word[at : at + LONG], self.logs.get):
-                i, v = here[0]
-                total = a[i] + v
-                for i, v in here[1:]:
-                    total = np.logaddexp(total, a[i] + v)
-                a.append(total)
-            out = out + a[-1]
-        return out if word else np.full(self.sets, -np.inf)
-
-    def expect(self, word: bytes, k: int, into: dict[bytes, float]) -> None:
-        """Adds the expected count of each piece in ``word`` by set ``k``."""
-        get = self.plain[k].get
-        for at in range(0, len(word), LINEAR):  # short enough for plain products
-            part = word[at : at + LINEAR]
-            a, edges = [1.0], []
-            for here in _edges(part, get):
-                terms = [(i, a[i] * p) for i, p in here]
-                a.append(sum([x for _, x in terms]))
-                edges.append(terms)
-            share = [0.0] * len(a)  # posterior weight of each position
-            share[-1] = 1.0
-            for j in range(len(part), 0, -1):
-                s = share[j] / a[j] if share[j] > 1e-6 else 0.0
-                if s:
-                    for i, x in edges[j - 1]:
-                        x *= s
-                        share[i] += x
-                        into[part[i:j]] += x
+        self.logs = logs + go
+        self.longest = max(map(len, pieces))
+        hashes = np.array([int(self._hash(np.frombuffer(p, np.uint8)[None, :])[0]) for p in pieces], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have the same hash")
+
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes), np.uint64)
+        for c in codes.T:
+            out = (out + c.astype(np.uint64) + np.uint64(1)) * _BASE
+        return out
+
+    def _edges(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end, the (start, rows, pieces) of the edges there."""
+        width = codes.shape[1]
+        out: list[list] = [[] for _ in range(width + 1)]
+        one = codes.astype(np.uint64) + np.uint64(1)
+        for i in range(width):
+            h = np.zeros(len(codes), np.uint64)
+            for j in range(i + 1, min(width, i + self.longest) + 1):
+                h = (h + one[:, j - 1]) * _BASE
+                at = np.searchsorted(self.hashes, h)
+                at[at == len(self.hashes)] = 0
+                rows = np.flatnonzero(self.hashes[at] == h)
+                if len(rows):
+                    out[j].append((i, rows, self.order[at[rows]]))
+        return out
+
+    def _forward(self, edges: list, n: int) -> np.ndarray:
+        """Log of the summed probability of each prefix: position, row, set."""
+        a = np.full((len(edges), n, self.sets), -np.inf)
+        a[0] = 0.0
+        for j, here in enumerate(edges):
+            for i, rows, pieces in here:
+                a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + self.logs[pieces])
+        return a
+
+    def _by_length(self, words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, codes) of words of equal length, ``most`` cells at a time."""
+        length = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(length, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            width = int(length[part[0]]) if len(part) else 0
+            for at in range(0, len(part) if width else 0, max(1, most // width)):
+                some = part[at : at + max(1, most // width)]
+                yield some, np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), width)
+
+    def log_marginals(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of the probability of each word over all segmentations, by
+        the forward recursion in log space; a column for each set of weights."""
+        # Cut points of very long words are fixed, which gives a lower bound.
+        parts = [(n, w[at : at + LONG]) for n, w in enumerate(words) for at in range(0, len(w), LONG)]
+        out = np.where(np.array([len(w) > 0 for w in words], bool)[:, None], self.last, -np.inf) if words else np.zeros((0, self.sets))
+        owner = np.array([n for n, _ in parts], np.int64)
+        for some, codes in self._by_length([w for _, w in parts], CELLS):
+            np.add.at(out, owner[some], self._forward(self._edges(codes), len(codes))[-1])
+        return out
+
+    def expected(self, words: list[bytes], share: np.ndarray) -> np.ndarray:
+        """Expected count of each piece in ``words``, a column for each set; a
+        word counts in set ``k`` as often as its row of ``share`` says."""
+        parts = [(n, w[at : at + LINEAR]) for n, w in enumerate(words) for at in range(0, len(w), LINEAR)]
+        owner = np.array([n for n, _ in parts], np.int64)
+        out = np.zeros((len(self.pieces), self.sets))
+        for some, codes in self._by_length([w for _, w in parts], CELLS):
+            edges = self._edges(codes)
+            a = self._forward(edges, len(codes))
+            weight = np.zeros_like(a)  # posterior weight of each position
+            weight[-1] = share[owner[some]]
+            used, amounts = [], []
+            for j in range(len(edges) - 1, 0, -1):
+                for i, rows, pieces in edges[j]:
+                    x = weight[j, rows] * np.exp(a[i, rows] + self.logs[pieces] - a[j, rows])
+                    weight[i, rows] += x
+                    used.append(pieces)
+                    amounts.append(x)
+            used, amounts = np.concatenate(used), np.concatenate(amounts)
+            for k in range(self.sets):
+                out[:, k] += np.bincount(used, amounts[:, k], len(out))
+        return out
 
 
 class Router:
@@ -163,7 +201,7 @@ class Router:
         df = Counter(w for d in docs for w in d)
         self.kinds = kinds
         top = sorted(df, key=lambda w: (-df[w], w))[:vocabulary]
-        at = {w: i for i, w in enumerate(top)}
+        at = self.number = {w: i for i, w in enumerate(top)}
         x = np.zeros((len(docs), len(top)), np.float32)
         for r, d in enumerate(docs):
             for w, n in d.items():
@@ -190,16 +228,15 @@ class Router:
                 hard = new
             fit = float(value.max(1).sum())
             if best is None or fit > best:
-                best, self.logs, self.prior = fit, dict(zip(top, logs.T.tolist())), prior.tolist()
+                best, self.logs, self.prior = fit, logs.T.copy(), prior
 
     def kind(self, counts: dict[bytes, int]) -> int:
-        total, get = self.prior, self.logs.get
-        for w, n in counts.items():
-            v = get(w)
-            if v is not None:
-                m = math.log1p(n)
-                total = [t + m * x for t, x in zip(total, v)]
-        return total.index(max(total))
+        get = self.number.get
+        found = [(i, n) for w, n in counts.items() if (i := get(w)) is not None]
+        if not found:
+            return int(self.prior.argmax())
+        at, n = np.array(found).T
+        return int((np.log1p(n) @ self.logs[at] + self.prior).argmax())
 
 
 def _count(router: Router):
@@ -234,19 +271,17 @@ def _count(router: Router):
 
 def _expected(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into: list[dict[bytes, float]] = [defaultdict(float) for _ in range(lattice.sets)]
-        words = [0] * lattice.sets
+        count, words = np.zeros((len(lattice.pieces), lattice.sets)), np.zeros(lattice.sets)
         for batch in batches:
-            for word, c in zip(utf8(batch, "word"), batch.column("c").to_pylist()):
-                for k, n in enumerate(c):
-                    if n:
-                        lattice.expect(word, k, into[k])
-                        words[k] += 1
-        number = {p: i for i, p in enumerate(lattice.pieces)}
-        keys = [[number[p] for p in x] + [-1] for x in into]
-        kinds = np.repeat(np.arange(lattice.sets, dtype=np.int32), [len(k) for k in keys])
-        values = [v for x, n in zip(into, words) for v in [*x.values(), float(n)]]
-        yield pa.record_batch([pa.array([i for k in keys for i in k], pa.int32()), pa.array(kinds), pa.array(values, pa.float64())], names=["piece", "kind", "n"])
+            seen = np.array(batch.column("c").to_pylist()).reshape(-1, lattice.sets) > 0
+            count += lattice.expected(utf8(batch, "word"), seen.astype(float))
+            words += seen.sum(0)
+        piece, kind = np.nonzero(count)
+        kinds = np.arange(lattice.sets)
+        yield pa.record_batch(
+            [pa.array(np.r_[piece, np.full(len(kinds), -1)].astype(np.int32)), pa.array(np.r_[kind, kinds].astype(np.int32)), pa.array(np.r_[count[piece, kind], words])],
+            names=["piece", "kind", "n"],
+        )
 
     return run
 
@@ -271,10 +306,7 @@ def train_pieces(words: DataFrame, kinds: int, name: str = "piece_bpe_32k.model"
     start = Lattice(pieces, logs[:, None], np.array([0.3]))
     some = [r["word"].encode() for r in bounded_sample(words.where("word <> ''").select("word"), START, "word").toLocalIterator()]
     for _ in range(3 if some else 0):
-        into: dict[bytes, float] = defaultdict(float)
-        for w in some:
-            start.expect(w, 0, into)
-        start = _reweighed(start.pieces, np.array([[into.get(p, 0.0)] for p in start.pieces]), np.array([len(some)]))
+        start = _reweighed(start.pieces, start.expected(some, np.ones((len(some), 1))), np.array([len(some)]))
     pieces = start.pieces
     wide = Lattice(pieces, np.tile(start.weights, (1, kinds)), np.repeat(start.stop, kinds))
     sums = words.where("word <> ''").select("word", "c").mapInArrow(_expected(wide), "piece int, kind int, n double").groupBy("piece", "kind").agg(F.sum("n").alias("n")).collect()
@@ -295,11 +327,11 @@ class Model:
         self.tokens, self.types = np.maximum(tokens, 1.0), np.maximum(types, 1.0)
         self.total, self.distinct = max(tokens.sum(), 1.0), max(types.sum(), 1.0)
 
-    def balls(self, word: bytes, c: np.ndarray) -> np.ndarray:
-        """``urn`` times the probability of ``word`` in each kind."""
-        spelt = np.exp(np.maximum(self.lattice.log_marginal(word), -690.0))
-        d, whole = self.discount, c.sum()
-        over_all = (max(whole - d, 0.0) + d * self.distinct * spelt.mean()) / self.total
+    def balls(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
+        """``urn`` times the probability of each word in each kind."""
+        spelt = np.exp(np.maximum(self.lattice.log_marginals(words), -690.0))
+        d, whole = self.discount, c.sum(1, keepdims=True)
+        over_all = (np.maximum(whole - d, 0.0) + d * self.distinct * spelt.mean(1, keepdims=True)) / self.total
         p = (np.maximum(c - d, 0.0) + d * self.types * 0.5 * (over_all + spelt)) / self.tokens
         return np.maximum(self.urn * p, TINY)
 
@@ -307,11 +339,10 @@ class Model:
 def _balls(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column("c").to_pylist()
-            balls = [model.balls(w, np.array(n, float)) for w, n in zip(utf8(batch, "word"), c)]
-            flat = pa.array(np.concatenate(balls).astype(np.float32) if balls else np.zeros(0, np.float32))
-            offsets = pa.array(np.arange(len(balls) + 1, dtype=np.int32) * model.lattice.sets)
-            yield pa.record_batch([batch.column("word"), pa.array([sum(n) for n in c], pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["word", "c", "balls"])
+            c = np.array(batch.column("c").to_pylist(), np.int64).reshape(batch.num_rows, -1)
+            balls = model.balls(utf8(batch, "word"), c) if len(c) else np.zeros((0, 1))
+            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * balls.shape[1])
+            yield pa.record_batch([batch.column("word"), pa.array(c.sum(1)), pa.ListArray.from_arrays(offsets, pa.array(balls.astype(np.float32).ravel()))], names=["word", "c", "balls"])
 
     return run
 
