@@ -71,6 +71,7 @@ def _neighbours() -> dict[str, set[str]]:
 
 
 NEAR = _neighbours()
+PLACE = {c: (r, i) for r, row in enumerate(KEYBOARD) for i, c in enumerate(row)}
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
@@ -107,12 +108,14 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
         m = DATE.match(value, i)
         if m:
             offer(i, m.end(), 2.1 if m.end() - i == 4 else 4.6)
-        walk = turns = 0
+        walk, turns, way = 0, 0, None
         for j in range(i + 1, min(n, i + PART)):  # keyboard walk
             if low[j] not in NEAR.get(low[j - 1], ()):
                 break
             walk += 1
-            turns += j > i + 1 and ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
+            (r, c), (r2, c2) = PLACE[low[j - 1]], PLACE[low[j]]
+            turns += way is not None and way != (r2 - r, c2 - c)
+            way = (r2 - r, c2 - c)
             if walk >= 2:
                 offer(i, j + 1, math.log10(47) + 0.7 * turns + math.log10(walk + 1))
         step = ord(value[i + 1]) - ord(value[i]) if i + 1 < n else 0
