@@ -262,9 +262,10 @@ def fit(rows: list[tuple[int, str]]) -> Svm:
     if min(n[0], n[1]) < 2:
         return flat
     found: tuple[Counter, Counter] = (Counter(), Counter())
-    units = []
+    units: list[set[str]] = []
+    pool: dict[str, str] = {}  # one copy of each word
     for y, text in rows:
-        units.append(_units(text))
+        units.append({pool.setdefault(w, w) for w in _units(text)})
     # Copies of a document count once: rows whose words have the same smallest hash.
     told: tuple[set, set] = (set(), set())
     n = Counter()
