@@ -318,7 +318,7 @@ def test_piece_edge_rows(spark, edge):
 
 def test_viterbi_is_the_best_path(spark):
     scores = {"a": -2.0, "b": -3.0, "ab": -3.5, "ba": -4.0, "aba": -6.5, "bb": -5.0}
-    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
+    table = spark.createDataFrame([(p, i + 1, s, 0) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double, rank long")
     words = ["a", "abab", "babba", "aabbab", "bbbbaba"]
     byte_ids = list(range(100, 356))
     got = {r["word"]: list(r["ids"]) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*words, "axb"]], "word string"), table, byte_ids, "viterbi", 3).collect()}
@@ -328,6 +328,6 @@ def test_viterbi_is_the_best_path(spark):
         for cuts in product((0, 1), repeat=len(w) - 1):
             edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(w)]
             best = max(best, sum(scores.get(w[a:b], -math.inf) for a, b in zip(edges, edges[1:])))
-        assert "".join(names[i] for i in got[w]) == w
-        assert sum(scores[names[i]] for i in got[w]) == pytest.approx(best)
-    assert got["axb"] == [0, 100 + ord("x"), 1]
+        assert "".join(names[i - 1] for i in got[w]) == w
+        assert sum(scores[names[i - 1]] for i in got[w]) == pytest.approx(best)
+    assert got["axb"] == [1, 100 + ord("x"), 2]
