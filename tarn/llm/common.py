@@ -53,7 +53,7 @@ def bounded_sample(df: DataFrame, n: int, *keys: Column | str) -> DataFrame:
     """
     total = df.count()
     hashed = df.withColumn("__hash", F.xxhash64(*keys))
-    if total > n:
-        share = min(1.0, 1.2 * n / total + 1000 / total)
+    share = (1.2 * n + 1000) / max(total, 1)
+    if share < 1:
         hashed = hashed.where(F.col("__hash") <= int(-(2**63) + share * (2**64 - 1)))
     return hashed.orderBy("__hash", *keys).limit(n).drop("__hash")
