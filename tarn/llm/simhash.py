@@ -14,9 +14,10 @@ never the pairs, so output is linear in the rows read and no link between
 classes is lost.
 
 For the similarity of shingle sets, 64 bits say too little: sets of Jaccard
-similarity 0.8 differ in about ten. ``similar`` takes fingerprints of 640 bits
-and 45 blocks of 14 bits, of which such sets share one with a chance of 99 %, and
-verifies the Hamming distance over all bits.
+similarity 0.8 differ in about ten. ``similar`` compares the sets themselves
+(by 64-bit hashes of the shingles). Its pairs meet under the hashes of a prefix
+of each set, rarest first, which two sets of the similarity asked for always share;
+sizes and bitmaps drop only pairs that cannot have it, and the rest is verified.
 
 Defined cases: null and empty texts have the zero fingerprint and link like any
 other; rows with a null ``doc_id`` have a fingerprint but make no link and have
@@ -26,6 +27,7 @@ empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -33,6 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -103,7 +106,7 @@ def _forest_of(key: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int)
         at = at[at + d < ends[at]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + d]).sum(1, dtype=np.int64) <= max_bits]
+        near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= max_bits]
         left.append(near)
         right.append(near + d)
         d += 1
@@ -119,20 +122,13 @@ def _forest_of(key: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int)
             return node[moved], least[moved]
 
 
-def _lanes(column: pa.Array) -> np.ndarray:
-    """Fingerprints as rows of 64-bit lanes."""
-    if pa.types.is_integer(column.type):
-        return column.to_numpy().view(np.uint64)[:, None]
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
-
-
 def _forests(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(0).to_numpy(), _lanes(batch.column(1)), batch.column(2).to_numpy()]
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
@@ -185,85 +181,277 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks:
     return prints.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# Long fingerprints, for a similarity of shingle sets.
+# Sets of word shingles, for a Jaccard similarity.
 
-#: 64-bit lanes of a long fingerprint, and its blocks: so many, of so many bits.
-LANES, BLOCKS, WIDTH = 10, 45, 14
+#: Shingles of about so many texts are counted, and so many of the frequent ones go to the tasks.
+SAMPLE, FREQUENT = 20_000, 65_536
+#: 64-bit lanes of a set's bitmap.
+LANES = 16
+#: The table of bits that says which texts are to be compared has two to this power.
+PLACES = 24
+#: Against rounding: a bound is loosened by this before it drops a pair.
+EPS = 1e-9
 
 
-def long_fingerprint(text: bytes, words: int = 5) -> bytes:
-    """``LANES`` fingerprints of one text, from one hash of each distinct shingle."""
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The hashes of a text's distinct word shingles, ascending."""
     parts = text.lower().split()
-    n = max(1, len(parts) - words + 1)
-    shingles = {b" ".join(parts[i : i + words]) for i in range(n)} if parts else set()
+    n = len(parts) - words + 1
+    grams = {b" ".join(parts)} if n <= 1 else set(map(b" ".join, zip(*(parts[i : n + i] for i in range(words)))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
-    out = []
-    for lane in range(LANES):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65536):
-            x = (hashes[at : at + 65536] + np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            total += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * total > len(hashes)))
-    return np.concatenate(out).tobytes()
-
-
-def far_apart(similarity: float) -> int:
-    """The bits in which long fingerprints of sets of this similarity differ, and
-    a standard deviation more: the angle of sets of equal size, as SimHash has it."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * LANES
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
-
-
-def _long_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = 1 << np.arange(WIDTH)[::-1]
+    return np.unique(np.fromiter((digest(s, SEED) for s in grams), np.uint64, len(grams))) if parts else np.zeros(0, np.uint64)
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest hashes of a set, so many that two sets of this similarity share one:
+    they have ``similarity`` of either set's hashes in common at least, hence the first
+    common one, in an order that is the same for all sets, stands before the others."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    level = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        level = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, level))[: n - math.ceil(similarity * n - EPS) + 1]]
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Bits that are set where an odd number of hashes falls: two sets' bitmaps differ
+    in no more bits than the sets differ in hashes."""
+    bits = np.bincount((hashes % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _hashes(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in utf8(batch, "text"):
+                yield pa.record_batch([pa.array(shingles(t, words).view(np.int64))], names=["h"])
+
+    return run
+
+
+def frequent_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that several texts of a sample have. They only set
+    the order of ``prefix``: which they are decides the work, never the result."""
+    share, some = SAMPLE / max(1, rows.count()), rows
+    if share < 1:
+        some = rows.where(F.xxhash64("doc_id", "text") <= int(-(2**63) + share * (2**64 - 1)))
+    counted = some.select("text").mapInArrow(_hashes(words), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _listed(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *(p.view(np.int64) for p in parts)])))
+
+
+def _described(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in utf8(batch, "text")]
+            yield pa.record_batch([batch.column(0), pa.array(map(digest_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(bitmap, sets), pa.binary())], names=["doc_id", "fp", "size", "bits"])
+
+    return run
+
+
+def _keys(words: int, similarity: float, frequent: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = frequent.value
+        for batch in batches:
+            sets = [shingles(t, words) for t in utf8(batch, "text")]
+            yield pa.record_batch([batch.column(0), pa.array(map(digest_of, sets), pa.binary()), _listed([prefix(s, hashes, counts, similarity) for s in sets])], names=["node", "fp", "keys"])
+
+    return run
+
+
+def possible(similarity: float, sizes: tuple[np.ndarray, np.ndarray], bits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where sets of these sizes and bitmaps (rows of lanes) can have the similarity."""
+    least, most = np.minimum(*sizes), np.maximum(*sizes)
+    apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+    return (least >= similarity * most - EPS) & (apart <= (1 - similarity) / (1 + similarity) * (least + most) + EPS)
+
+
+def _lanes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
+
+
+def _possible_pairs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = possible(similarity, (batch.column("m").to_numpy(), batch.column("n").to_numpy()), (_lanes(batch.column("p")), _lanes(batch.column("q"))))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _by_key(of_groups):
+    """A task over rows sorted by key (first column): ``of_groups`` gets the columns of whole groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            key = table.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            rest = table.slice(cut)
+            if cut:
+                yield of_groups(table.slice(0, cut).combine_chunks())
+        if rest is not None:
+            yield of_groups(rest.combine_chunks())
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.RecordBatch:
+    """Rows whose key others have too, each with the smallest node of its key."""
+    key, node = table.column(0).to_numpy(), table.column("node").to_numpy()
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    many = np.repeat(sizes > 1, sizes)
+    least = np.repeat(np.minimum.reduceat(node, starts), sizes)
+    return pa.record_batch([pa.array(key[many]), pa.array(node[many]), pa.array(least[many])], names=["key", "node", "least"])
+
+
+def _open_pairs(similarity: float):
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        """Pairs of one key, of different roots, that the sizes and bitmaps allow."""
+        key, node, root, size = (table.column(c).to_numpy() for c in ("key", "node", "root", "size"))
+        lanes = _lanes(table.column("bits"))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
+        at, left, right, d = np.arange(len(key)), [node[:0]], [node[:0]], 1
+        while True:
+            at = at[at + d < ends[at]]
+            if not len(at):
+                break
+            a = at[root[at] != root[at + d]]
+            a = a[possible(similarity, (size[a], size[a + d]), (lanes[a], lanes[a + d]))]
+            left.append(node[a])
+            right.append(node[a + d])
+            d += 1
+        a, b = np.concatenate(left), np.concatenate(right)
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return pairs
+
+
+def _alike(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, seen = [], (None, None)
+            for x, y in zip(utf8(batch, "x"), utf8(batch, "y")):
+                if y != seen[0]:  # rows come in order of b
+                    seen = (y, shingles(y, words))
+                one, other = shingles(x, words), seen[1]
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(other) - both) - EPS)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - PLACES)).astype(np.int64)
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    taken = np.zeros(1 << PLACES, bool)
     for batch in batches:
-        raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, 8 * LANES)
-        bits = np.unpackbits(raw, axis=1)[:, : BLOCKS * WIDTH].reshape(-1, BLOCKS, WIDTH)
-        keys = (bits @ weights + (np.arange(BLOCKS) << WIDTH)).astype(np.int64)
-        offsets = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * BLOCKS)
-        yield pa.record_batch([batch.column("fp"), batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["fp", "node", "keys"])
-
-
-def long_links(reps: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b) edges between ``reps`` (fp, node) that share a block and differ in
-    at most ``max_bits`` bits. Sets of similarity 0.8 share one of the blocks with a
-    chance of 99 %, more similar ones nearly always."""
-    keyed = stored(reps.select("fp", "node").mapInArrow(_long_keys, "fp binary, node long, keys array<long>"), "long-keys")
-    keyed = keyed.select("fp", "node", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return _tiled(keyed, groups).repartition("key").sortWithinPartitions("key").mapInArrow(_forests(max_bits), "a long, b long")
+        taken[_places(batch.column(0).to_numpy())] = True
+    yield pa.record_batch([pa.array([np.packbits(taken).tobytes()], pa.binary())], names=["taken"])
+
+
+def _may_be(taken: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(taken.value, np.uint8)
+        for batch in batches:
+            at = _places(batch.column("doc_id").to_numpy())
+            yield batch.filter(pa.array((table[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return run
+
+
+def texts_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``rows`` of ``nodes``, and by chance a few others: by a table of bits of
+    fixed size, so that the other texts take no shuffle."""
+    parts = nodes.coalesce(8).mapInArrow(_taken, "taken binary").collect()
+    taken = np.zeros(1 << PLACES - 3, np.uint8)
+    for r in parts:
+        taken |= np.frombuffer(r["taken"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(taken.tobytes())
+    return rows.where("doc_id is not null").mapInArrow(_may_be(sent), rows.schema)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts' sets of shingles have this Jaccard similarity."""
+    found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows), "candidate-texts")
+    full = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return stored(full.select("a", "b", "x", "y").mapInArrow(_alike(words, similarity), "a long, b long"), "verified")
+
+
+def set_links(reps: DataFrame, keyed: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) edges that connect all ``reps`` (node, size, bits) whose sets have this
+    similarity. Such sets share a key of ``keyed`` (key, node). First each row is
+    compared with the smallest node of each of its keys, which connects large groups
+    by few comparisons; then the pairs of a key that are still apart."""
+    shared = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_shared), "key long, node long, least long"), "shared-keys")
+    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(reps.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("p")), "a").join(reps.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("q")), "b")
+    first = verified(stored(stars.select("a", "b", "m", "n", "p", "q").mapInArrow(_possible_pairs(similarity), "a long, b long"), "stars"), rows, words, similarity)
+    roots = connected_components(first)
+    info = reps.select("node", "size", "bits").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "bits")
+    members = shared.select("key", "node").join(info.select("node", "root"), "node")
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    tiled = _tiled(members.withColumnRenamed("root", "fp"), groups.select("key", "n")).select("key", "node").join(info, "node").select("key", "node", "root", "size", "bits")
+    left = tiled.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_open_pairs(similarity)), "a long, b long").where("a <> b")
+    return first.unionByName(verified(stored(left.distinct(), "pairs"), rows, words, similarity))
 
 
 def _marked(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column(MARK, pa.array([long_fingerprint(t, words) for t in utf8(batch, "text")], pa.binary()))
+            yield batch.append_column(MARK, pa.array([digest_of(shingles(t, words)) for t in utf8(batch, "text")], pa.binary()))
 
     return run
 
 
-MARK = "__simhash"
+MARK = "__shingles"
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text): classes
-    of texts whose sets of ``words``-word shingles have about this Jaccard
-    similarity or more. As in ``near_duplicates``, with long fingerprints."""
+    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text): classes of
+    texts whose sets of ``words``-word shingles have this Jaccard similarity or
+    more, with all such pairs; ``fp`` is a digest of the set."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = stored(rows.mapInArrow(_marked(words), f"doc_id long, text string, {MARK} binary").select("doc_id", F.col(MARK).alias("fp")), "long-fingerprints")
-    reps = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
-    roots = connected_components(long_links(reps, far_apart(similarity)))
-    classes = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
+    about = stored(rows.mapInArrow(_described(words), "doc_id long, fp binary, size long, bits binary"), "shingle-sets")
+    least = about.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "size", "bits")).alias("m"))
+    reps = stored(least.select("fp", F.col("m.doc_id").alias("node"), "m.size", "m.bits"), "reps")
+    keys = rows.where("doc_id is not null").mapInArrow(_keys(words, similarity, frequent), "node long, fp binary, keys array<long>")
+    keyed = keys.join(reps.select("node", "fp"), ["node", "fp"], "left_semi").select(F.explode("keys").alias("key"), "node")
+    roots = connected_components(set_links(reps, keyed, rows, words, similarity))
+    classes = reps.select("fp", "node").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return about.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without all but the smallest doc_id of each class of
-    ``similar``; columns as they were. Of rows equal in doc_id and fingerprint one
+    ``similar``; columns as they were. Of rows equal in doc_id and shingles one
     stays; rows with a null doc_id stay."""
     rows = docs.withColumn("text", F.col("text").cast("string"))
     found = similar(docs, words, similarity)

@@ -283,3 +283,37 @@ def test_sequences_are_views_of_the_file(spark, docs):
     file = token_files.write_token_files(docs.limit(20), shared_path(spark, "test"), seq_len=32).first()["file"]
     ids, _ = token_files.SequenceReader(file).sequence(1)
     assert not ids.flags.owndata
+
+
+def test_similar_is_brute_force_jaccard(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(4000)]
+    line = list(rng.choice(words, 12))  # a line that many texts share
+    rows = []
+    for length in (5, 8, 9, 12, 16, 19, 40, 80):
+        for _ in range(12):
+            base = [*rng.choice(words, length), *(line if rng.random() < 0.3 else [])]
+            for cut in sorted({0, 1, 2, 3, length // 10, length // 6, length // 4}):
+                rows.append((len(rows), " ".join(base[: len(base) - cut])))
+                rows.append((len(rows), " ".join([*base[cut:], *rng.choice(words, cut // 2)])))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
