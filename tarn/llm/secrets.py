@@ -38,12 +38,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_MARKS = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 HEX_RUN = b"\x01" * 32
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:phrase|code|word|wd)?|pwd|pw|credentials?|secret|token|auth(?:orization|[_-]?token)?|(?:api|private|access|client|signing|encryption|master)[_-]?(?:key|secret)|connection[_-]?string)\b["']?\s{0,4}(?:[:=]|\bis\b)\s{0,4}(?:bearer\s{1,4}|basic\s{1,4})?["']?([^\s"'<>,;]{8,256})""",
+    r"""\b(?:pass(?:phrase|code|word|wd)?|pwd|pw|credentials?|secret|token|auth(?:orization|[_-]?token)?|(?:api|private|access|client|signing|encryption|master)[_-]?(?:key|secret)|connection[_-]?string)\b["']?\s{0,4}(?:[:=]|\bis\b)\s{0,4}(?:bearer\s{1,4}|basic\s{1,4})?["']?([^\s"'<>,;]{8,})""",
     re.I | re.A,
 )
 #: A value that takes fewer guesses (as a power of ten) is no secret.
 MIN_GUESSES = 9.0
-#: Longest part that is tried as a word, date, sequence or walk.
+#: Longest part that is tried as a word, date or walk.
 PART = 32
 
 # Frequent password words, most frequent first.
@@ -96,6 +96,19 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
         if total < best[j]:
             best[j] = total
 
+    # How far the same step goes on from each position, and a repeat of each period,
+    # so that a long value takes time in proportion to its length.
+    steps = [ord(b) - ord(a) for a, b in zip(value, value[1:])] + [0]
+    stepped = [0] * (n + 1)
+    for i in reversed(range(n)):
+        stepped[i] = 1 + (stepped[i + 1] if i + 2 < n and steps[i + 1] == steps[i] else 0)
+    repeated = []
+    for period in range(1, 9):
+        run = [0] * (n + 1)
+        for i in reversed(range(n - period)):
+            run[i] = run[i + 1] + 1 if value[i + period] == value[i] else 0
+        repeated.append(run)
+
     open_brute = math.inf  # cost of a prefix that ends within a brute-force part
     for i in range(n):
         open_brute = min(open_brute, best[i] + (cut_cost if i else 0.0)) + brute
@@ -118,17 +131,13 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
             way = (r2 - r, c2 - c)
             if walk >= 2:
                 offer(i, j + 1, math.log10(47) + 0.7 * turns + math.log10(walk + 1))
-        step = ord(value[i + 1]) - ord(value[i]) if i + 1 < n else 0
-        if abs(step) == 1:  # sequence
-            j = i + 1
-            while j < n and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
+        if abs(steps[i]) == 1:  # sequence
+            last = i + 1 + stepped[i]
+            for j in {*range(i + 3, min(last, i + PART) + 1), last}:
                 if j - i >= 3:
                     offer(i, j, 1.4 + math.log10(j - i))
-        for period in range(1, 9):  # repeats of what stands here
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
+        for period, run in enumerate(repeated, 1):  # repeats of what stands here
+            j = i + period + run[i]
             for end in {j, j - (j - i) % period}:
                 if end - i >= max(3, 2 * period):
                     offer(i, end, period * brute + math.log10((end - i) / period))

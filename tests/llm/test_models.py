@@ -186,6 +186,15 @@ def test_added_spans_and_masks(spark, edge):
     assert sorted(map(str, secrets.mask(edge).collect())) == sorted(map(str, edge.collect()))
 
 
+def test_long_values_are_whole():
+    rng = np.random.default_rng(5)
+    value = "eyJ" + "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 997))
+    text = f"Authorization: Bearer {value} end"
+    assert secrets.spans(text) == [(22, 3, 1022)]
+    assert secrets.masked(text) == "Authorization: Bearer [SECRET] end"
+    assert secrets.guess_cost(value) > 1000 and secrets.guess_cost("ab1" * 20_000) < 15
+
+
 # Language model
 
 
