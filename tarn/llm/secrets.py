@@ -11,7 +11,7 @@ much as the choice where to cut. Words of ``common`` that the caller knows to be
 frequent can be added.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different
-kinds are all reported, but a ``guess`` that overlaps a base span is not;
+kinds are all reported, but a ``guess`` that lies wholly in a base span is not;
 repeated rows each come out; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -166,7 +166,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             start, end = m.span(1)
             value = text[start:end].rstrip(".!?)]}")
             end = start + len(value)
-            if len(value) >= 8 and not any(a < end and start < b for a, _, b in base) and any(c.isdigit() for c in value) and guess_cost(value) >= MIN_GUESSES:
+            if len(value) >= 8 and not any(a <= start and end <= b for a, _, b in base) and any(c.isdigit() for c in value) and guess_cost(value) >= MIN_GUESSES:
                 found.append((start, 3, end))
     return sorted(found)
 

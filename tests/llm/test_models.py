@@ -195,6 +195,13 @@ def test_long_values_are_whole():
     assert secrets.guess_cost(value) > 1000 and secrets.guess_cost("ab1" * 20_000) < 15
 
 
+def test_values_beyond_a_base_span_are_masked():
+    text = "password=Tr0ub4dor&3xYz!9 next"
+    assert secrets.spans(text) == [(0, 0, 18), (9, 3, 25)] and secrets.base_spans(text) == [(0, 0, 18)]
+    assert secrets.masked(text) == "[SECRET] next"
+    assert secrets.spans("token=ab12cd34ef56gh78") == [(0, 0, 22)]
+
+
 # Language model
 
 
