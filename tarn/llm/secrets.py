@@ -7,8 +7,8 @@ is the cheapest way to write it as a run of parts, found by dynamic programming
 over its positions: common words, dates, repeats, alphabetic or numeric
 sequences, keyboard walks, and brute force for what is left. Each part costs
 the logarithm (base 10) of the guesses it takes; every further part costs as
-much as the choice where to cut. Words of ``common`` that the caller knows to be
-frequent can be added.
+much as the choice where to cut. The words are those of ``COMMON`` and of two public
+vocabularies. The cost alone decides: a value needs no digit.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different
 kinds are all reported, but a ``guess`` that lies wholly in a base span is not;
@@ -18,10 +18,13 @@ are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,9 +84,29 @@ def _alphabet(text: str) -> int:
     return sum(n for pattern, n in sizes if re.search(pattern, text))
 
 
+@lru_cache(1)
+def known_words() -> dict[str, int]:
+    """Ranks of ``COMMON``, then of the whole words of two public vocabularies, English
+    and of many languages, whose order is about that of frequency."""
+    import public_tokenizers
+
+    first: dict[str, int] = {}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
+        pieces = [(base64.b64decode(line.split()[0]).decode("utf-8", "replace"), i) for i, line in enumerate(f) if line.strip()]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces += [(" " + w[:-4], i) for w, i in json.load(f)["model"]["vocab"].items() if w.endswith("</w>")]
+    for piece, i in pieces:
+        word = piece[1:].lower()
+        if piece[0:1] == " " and len(word) >= 3 and word.isalpha():
+            first[word] = min(i, first.get(word, i))
+    order = dict.fromkeys([*COMMON, *sorted(first, key=lambda w: (first[w], w))])
+    return {w: i + 1 for i, w in enumerate(order)}
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
-    """Log10 of the guesses that the cheapest segmentation of ``value`` takes."""
-    ranks = {w: i + 1 for i, w in enumerate(COMMON)} | (words or {})
+    """Log10 of the guesses that the cheapest segmentation of ``value`` takes, over
+    ``COMMON`` and ``words`` (word to rank), or over ``known_words`` without any."""
+    ranks = known_words() if words is None else {w: i + 1 for i, w in enumerate(COMMON)} | words
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     brute = math.log10(max(10, _alphabet(value)))
@@ -166,7 +189,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             start, end = m.span(1)
             value = text[start:end].rstrip(".!?)]}")
             end = start + len(value)
-            if len(value) >= 8 and not any(a <= start and end <= b for a, _, b in base) and any(c.isdigit() for c in value) and guess_cost(value) >= MIN_GUESSES:
+            if len(value) >= 8 and not any(a <= start and end <= b for a, _, b in base) and guess_cost(value) >= MIN_GUESSES:
                 found.append((start, 3, end))
     return sorted(found)
 

@@ -202,6 +202,13 @@ def test_values_beyond_a_base_span_are_masked():
     assert secrets.spans("token=ab12cd34ef56gh78") == [(0, 0, 22)]
 
 
+def test_values_without_digits_are_judged_by_cost():
+    for text, value in (("pwd: GkTzQwXbLmNpRv", "GkTzQwXbLmNpRv"), ("passphrase is correct-horse-battery-staple", "correct-horse-battery-staple"), ("credentials: Vq!xZr#Lw@Tk", "Vq!xZr#Lw@Tk")):
+        assert secrets.spans(text) == [(text.index(value), 3, len(text))]
+    for word in ("description", "necessary", "required", "authentication", "username/password", "connaissance", "Wissenschaft", "transferred", "necesario", "important."):
+        assert secrets.spans(f"the secret is {word}") == [], (word, secrets.guess_cost(word))
+
+
 # Language model
 
 
