@@ -254,6 +254,14 @@ def _insults(count: dict[str, int], toxic: list[set[str]], sure: int) -> list[st
     return out[:INSULTS]
 
 
+def _copies(a: set[str], b: set[str]) -> bool:
+    """If sets of words have a Jaccard similarity of 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
 def fit(rows: list[tuple[int, str]]) -> Svm:
     """The model of labelled texts (label, text)."""
     rows = sorted(rows)
@@ -266,13 +274,15 @@ def fit(rows: list[tuple[int, str]]) -> Svm:
     pool: dict[str, str] = {}  # one copy of each word
     for y, text in rows:
         units.append({pool.setdefault(w, w) for w in _units(text)})
-    # Copies of a document count once: rows whose words have the same smallest hash.
-    told: tuple[set, set] = (set(), set())
+    # Copies of a document count once: rows of which most words are the same. Only
+    # rows whose words have the same smallest hash are compared.
+    told: tuple[dict, dict] = ({}, {})
     n = Counter()
     for (y, _), u in zip(rows, units):
         least = min((zlib.crc32(w.encode()) for w in u), default=0)
-        if least not in told[y]:
-            told[y].add(least)
+        others = told[y].setdefault(least, [])
+        if not any(_copies(u, v) for v in others):
+            others.append(u)
             n[y] += 1
             found[y].update(u)
     # How much more often than in clean documents: a smoothed ratio.

@@ -115,6 +115,21 @@ def test_toxicity_catches_changed_insults():
     assert score("") < 0.7
 
 
+def test_texts_that_share_a_word_are_no_copies():
+    rng = np.random.default_rng(1)
+    words = sorted({"".join(rng.choice(list("bcdfghklmnprst"), 6)) for _ in range(3000)}, key=lambda w: zlib.crc32(w.encode()))
+    first, rest = words[0], words[1:]  # of the smallest hash, in all texts
+
+    def text(insult):
+        return " ".join([first, *rng.choice(rest, 30), *([insult] if insult else [])])
+
+    model = toxicity.fit([(1, text("worthless")) for _ in range(60)] + [(0, text(None)) for _ in range(300)])
+    assert model.flat is None
+    assert toxicity._score(model, [text("worthless")])[0] >= 0.7 > toxicity._score(model, [text(None)])[0]
+    # copies still count once: their words are no insults
+    assert toxicity.fit([(1, text(None))] * 60 + [(0, text(None)) for _ in range(300)]).flat is not None
+
+
 def test_toxicity_on_held_out(spark, labels):
     got = toxicity.query(spark, SMALL).join(labels, "doc_id").toPandas()
     held = got[got["held_out"] & got["toxic"].notna()]
