@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarn.functions.text import pieces
+from tarn.functions.text import all_pieces
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -22,8 +22,8 @@ FUNCTION_WORDS = {
 
 
 def detect(text: Column) -> Column:
-    """The language of ``text``; ``und`` (undetermined) without any known word."""
-    words = F.transform(pieces(F.replace(text, F.lit("\n"), F.lit(" "))), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]+$", ""))
+    """The language of the whole ``text``; ``und`` (undetermined) without any known word."""
+    words = F.transform(all_pieces(F.replace(text, F.lit("\n"), F.lit(" "))), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]+$", ""))
     counts = F.array(*[F.struct(F.size(F.filter(words, lambda w: w.isin(*known))).alias("n"), F.lit(lang).alias("lang")) for lang, known in FUNCTION_WORDS.items()])
     best = F.array_max(counts)
     return F.when(best["n"] > 0, best["lang"]).otherwise("und")

@@ -19,9 +19,14 @@ STOP_WORDS = (
 HAN = r"\p{IsHan}"
 
 
+def all_pieces(text: Column) -> Column:
+    """The parts between white space."""
+    return F.filter(F.split(text, SPACE), lambda x: x != "")
+
+
 def pieces(text: Column, limit: int = DEFAULT.text_limit) -> Column:
     """The parts between white space of the first ``limit`` characters."""
-    return F.filter(F.split(F.substring(text, 1, limit), SPACE), lambda x: x != "")
+    return all_pieces(F.substring(text, 1, limit))
 
 
 def is_plain(piece: Column) -> Column:

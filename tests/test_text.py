@@ -53,3 +53,8 @@ def test_language_is_mostly_right(spark):
     assert right > 0.8
     assert one(spark, "", lang.detect) == "und"
     assert pq.read_table(f"{SF}/documents.parquet").num_rows >= 200
+
+
+def test_language_is_that_of_the_whole_text(spark):
+    assert one(spark, "x1 " * 4000 + "der die das und nicht", lang.detect) == "de"
+    assert one(spark, "the of and " * 1000 + "der die das und nicht " * 3000, lang.detect) == "de"
