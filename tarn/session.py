@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def share_package(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it,
-    and bounds the Arrow batches that they get.
+    bounds the Arrow batches that they get (a row is a whole document here) and
+    has shuffle files go when the query that wrote them is over. Values that the
+    session's owner set stay.
 
     On a cluster whose nodes lack that folder, ship it with ``--py-files``.
     """
-    if spark.conf.get(ROWS, "10000") == "10000":  # unset: rows are whole documents here, so take fewer at a time
+    if spark.conf.get(ROWS, "-1") == "-1":
         spark.conf.set(ROWS, "2000")
+    if spark.conf.get(CLEANUP, "true") != spark.conf.get(CLEANUP, "false"):
+        spark.conf.set(CLEANUP, "true")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -46,15 +53,19 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a local session, as in tests) does the session get a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session, as in
+    tests, gets a folder of its own where that is unset.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarn-shared-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="tarn-shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir("file://" + made)
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
