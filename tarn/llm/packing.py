@@ -1,9 +1,10 @@
 """Sum-of-squares bin packing of documents into fixed-length sequences.
 
-Each piece goes where the sum over residual gaps of (number of open bins with
-that gap) squared becomes smallest, which keeps bins of every gap at hand for
-the pieces to come. Bins that are still open at the end are emptied and filled
-again, largest piece first, each into the tightest gap.
+Pieces are placed largest first. Of the open bins that have room each goes where
+the sum over residual gaps of (number of open bins with that gap) squared becomes
+smallest, which keeps bins of every gap at hand for the pieces to come; among equal
+sums the tightest gap counts. A new bin is opened only where no open one has room,
+as few sequences are wanted. Every place is decided by this rule alone.
 
 Pieces are dealt to shards of about ``shard_items`` rows by their position, not
 by any key, so no document, source or group of copies can crowd a shard. Each
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.bpe import encode
+from tarn.llm.bpe import encoded
 from tarn.llm.common import crc32_ids, stored, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,8 +46,7 @@ def _pieces(capacity: int, end_id: int, vocab: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch, "text")):
-                ids = encode(text, end_id, vocab)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts(batch, "text"), end_id, vocab)):
                 rows += [(doc_id, i, a, n, crc32_ids(ids[a : a + n].tobytes())) for i, (a, n) in enumerate(cut(len(ids), capacity))]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -62,67 +62,29 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab: str =
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin (from 0) and the offset in it of each length. Pieces are placed
-    largest first, and once more smallest first; the fewer bins count."""
-    best = None
-    for order in (np.argsort(-lengths, kind="stable"), np.argsort(lengths, kind="stable")):
-        found = _placed(lengths[order], capacity)
-        bins = len(np.unique(found[0]))
-        if best is None or bins < best[0]:
-            where, offset = np.empty_like(found[0]), np.empty_like(found[1])
-            where[order], offset[order] = found
-            best = bins, where, offset
-    return best[1:]
-
-
-def _placed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and offsets when pieces are placed in this order."""
+    """The bin (from 0) and the offset in it of each length."""
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap
     bins: dict[int, list[int]] = defaultdict(list)
-    gap_of: list[int] = []
+    opened = 0
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i, n in enumerate(lengths.tolist()):
-        # change of the sum when a bin with gap n, n+1, ... takes the piece, halved
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        # change of the sum, halved, when a bin with gap n, n+1, ... takes the piece
         cost = count[: capacity + 1 - n] - count[n:] + 1.0
-        cost[0] = 0.5 - count[n]
+        cost[0] = 0.5 - count[n]  # a bin that becomes full is no longer open
         cost[count[n:] == 0] = np.inf
         best = int(cost.argmin())
-        if cost[best] <= (count[capacity - n] + 0.5 if n < capacity else 0):
+        if cost[best] < np.inf:
             gap = n + best
             b = bins[gap].pop()
             count[gap] -= 1
         else:
-            gap, b = capacity, len(gap_of)
-            gap_of.append(capacity)
+            gap, b, opened = capacity, opened, opened + 1
         where[i], offset[i] = b, capacity - gap
-        left = gap_of[b] = gap - n
-        if left:
-            bins[left].append(b)
-            count[left] += 1
-    return _refill(lengths, where, offset, np.array(gap_of, np.int64), capacity)
-
-
-def _refill(lengths: np.ndarray, where: np.ndarray, offset: np.ndarray, gaps: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packs what lies in bins with a gap anew, largest first into the tightest gap."""
-    loose = np.flatnonzero(gaps[where] > 0) if len(gaps) else np.zeros(0, np.int64)
-    names = np.flatnonzero(gaps > 0).tolist()[::-1]
-    new_where, new_offset = where.copy(), offset.copy()
-    used: dict[int, list[int]] = defaultdict(list)
-    count = np.zeros(capacity + 1, np.int64)
-    for i in loose[np.argsort(-lengths[loose], kind="stable")].tolist():
-        n = int(lengths[i])
-        fits = int((count[n:] > 0).argmax()) + n
-        if count[fits]:
-            b, gap = used[fits].pop(), fits
-            count[gap] -= 1
-        elif names:
-            b, gap = names.pop(), capacity
-        else:
-            return where, offset  # it would take more bins than before
-        new_where[i], new_offset[i] = b, capacity - gap
-        used[gap - n].append(b)
-        count[gap - n] += gap > n
-    return new_where, new_offset
+        if gap > n:
+            bins[gap - n].append(b)
+            count[gap - n] += 1
+    return where, offset
 
 
 def _packer(capacity: int):

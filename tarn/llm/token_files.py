@@ -4,8 +4,8 @@ Each file holds record batches with two fixed-size-list columns: ``ids`` (one
 row is one sequence of ``seq_len`` ids) and ``mask`` (true for real tokens; only
 a file's last sequence can have false). A memory-mapped reader reaches sequence
 ``k`` of a file by arithmetic alone: batches are of equal size, and a list
-column's values are one flat buffer. Ids take 16 bits where the vocabulary
-allows it. Beside each file, ``*.docs.arrow`` lists its documents: doc_id,
+column's values are one flat buffer. Ids take 16 bits where the vocabulary and
+the end id allow it, else 32. Beside each file, ``*.docs.arrow`` lists its documents: doc_id,
 where its ids start in the file, and how many there are.
 
 Documents are range-partitioned by doc_id, so files in order of their first
@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.bpe import encode
+from tarn.llm.bpe import encoded, encoder
 from tarn.llm.common import crc32_ids, texts
 from tarn.session import shared_path
 
@@ -141,12 +141,12 @@ def _writer(uri: str, vocab: str, end_id: int, seq_len: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, first = None, f"{uri}/{uuid.uuid4().hex}", None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch, "text")):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts(batch, "text"), end_id, vocab)):
                 if out is None:
                     files, path = fs.FileSystem.from_uri(name)
                     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out, first = SequenceWriter(files, path, seq_len, wide), doc_id
-                out.add(doc_id, encode(text, end_id, vocab))
+                out.add(doc_id, ids)
         if out is not None:
             out.close()
             yield pa.record_batch([pa.array([name]), pa.array([first], pa.int64()), pa.array([len(out.docs)], pa.int64()), pa.array([out.tokens], pa.int64())], names=["file", "first_doc", "docs", "tokens"])
@@ -154,11 +154,12 @@ def _writer(uri: str, vocab: str, end_id: int, seq_len: int, wide: bool):
     return run
 
 
-def write_token_files(docs: DataFrame, uri: str, vocab: str = "byte_bpe_50k.json", end_id: int = 0, seq_len: int = 2048, wide: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, uri: str, vocab: str = "byte_bpe_50k.json", end_id: int = 0, seq_len: int = 2048) -> DataFrame:
     """Writes ``docs`` (doc_id, text) below ``uri``; returns the manifest, a
     row for each file in order: file, first_doc, docs, tokens, start (the ids
     in all files before it). Only the manifest comes to the driver."""
     spark = docs.sparkSession
+    wide = max(encoder(vocab).vocabulary, end_id + 1) > 1 << 16
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     done = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(uri, vocab, end_id, seq_len, wide), MANIFEST).collect()
     done.sort(key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0))

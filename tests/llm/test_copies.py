@@ -2,9 +2,10 @@
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -196,6 +197,30 @@ def test_packing_fills_no_bin_twice(lengths):
     assert len(bins) <= 2 * -(-sum(lengths) // 60) + 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_every_place_is_that_of_a_direct_search(lengths):
+    """Largest first; of all open bins with room the one after which the squared
+    counts of gaps sum to least; a new bin only where none has room."""
+    lengths = np.array(lengths, np.int64)
+    where, offset = packing.sum_of_squares(lengths, 40)
+
+    def squares(gaps):
+        return sum(n * n for n in Counter(g for g in gaps.values() if g).values())
+
+    gaps = {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n, b = int(lengths[i]), int(where[i])
+        open_bins = [x for x, g in gaps.items() if g >= n]
+        if not open_bins:
+            assert b not in gaps and offset[i] == 0
+        else:
+            least = min(squares(gaps | {x: gaps[x] - n}) for x in open_bins)
+            assert gaps.get(b, 0) >= n and squares(gaps | {b: gaps[b] - n}) == least
+            assert offset[i] == 40 - gaps[b]
+        gaps[b] = gaps.get(b, 40) - n
+
+
 def test_packing_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1024, 4000)
@@ -213,15 +238,29 @@ def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+END = "<|endoftext|>"
+ODD = ["", " ", "  a", "a  ", " a\n\n b 中文🙂\t'LL we'll x²", END, f"{END} at the start", f"in the {END} middle", f"in{END}side a word", f"at the end {END}", f"twice {END}{END}\n{END}", "tab\t x \n y\r\n z", "a\x1c b \x85c\xa0 d\u3000 e \u2028f", "x" * 300 + " y"]
 
 
 def test_ids_are_those_of_the_library(texts):
-    some = [*texts.values(), "", " a\n\n b <|endoftext|> 中文🙂\t'LL we'll x²"]
-    for text, e in zip(some, library().encode_batch(some, add_special_tokens=False)):
-        assert bpe.encode(text, 0)[:-1].tolist() == e.ids
+    some = [*texts.values(), *ODD]
+    for got, e in zip(bpe.encoded(some, 0), library().encode_batch(some, add_special_tokens=False)):
+        assert got.tolist() == [*e.ids, 0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", " ", "  ", "\n", "\t", "\r\n", END, "<|endof", "'s", "é", "漢", "\u3000", "\x1c", "\x85", "\u180e", "1", "!", "\xa0", "😀", "\u0301"]), max_size=14).map("".join))
+def test_any_text_has_the_ids_of_the_library(text):
+    assert next(bpe.encoded([text], 7)).tolist() == [*library().encode(text, add_special_tokens=False).ids, 7]
+
+
+def test_ids_do_not_depend_on_what_a_worker_keeps(texts):
+    few, many = bpe.Encoder("byte_bpe_50k.json", held=50), bpe.Encoder("byte_bpe_50k.json")
+    some = list(texts.values())[:60]
+    assert [few([t])[0] for t in some] == many(some)
 
 
 def test_packed_pieces(spark, texts):
@@ -254,9 +293,9 @@ def test_packing_edge_rows(spark, edge):
 def test_token_files_round_trip(spark, texts):
     manifest = token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet").repartition(5), shared_path(spark, "test"), seq_len=64)
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_token_files(manifest).collect()}
-    start, stream = 0, []
+    start, stream, lib = 0, [], library()
     for i in sorted(texts):
-        ids = bpe.encode(texts[i], 0)
+        ids = np.array([*lib.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
         assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
         stream.append(ids)
@@ -285,6 +324,24 @@ def test_sequences_are_views_of_the_file(spark, docs):
     assert not ids.flags.owndata
 
 
+def test_special_strings_are_their_token_in_files_and_pieces(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_files.read_token_files(token_files.write_token_files(df, shared_path(spark, "test"))).collect()}
+    cut = {r["doc_id"]: r for r in packing.pieces(df).collect()}
+    for i, t in enumerate(ODD):
+        ids = library().encode(t, add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+        assert cut[i]["ids_crc32"] == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+
+
+def test_width_of_ids_follows_vocabulary_and_end_id(spark, docs):
+    for end_id, kind in ((0, pa.uint16()), (70_000, pa.uint32())):
+        file = token_files.write_token_files(docs.limit(3), shared_path(spark, "test"), end_id=end_id).first()["file"]
+        reader = token_files.SequenceReader(file)
+        assert reader.reader.schema.field("ids").type.value_type == kind
+        assert end_id in reader.sequence(0)[0] or len(reader) > 1
+
+
 def test_similar_is_brute_force_jaccard(spark):
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(4000)]
