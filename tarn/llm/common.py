@@ -20,7 +20,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     from the files, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

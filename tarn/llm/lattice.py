@@ -2,27 +2,22 @@
 
 Words are whitespace-separated and lower-cased in A-Z; each text ends with one
 end token. A word's lattice has an edge for every piece of the vocabulary that
-matches a substring, and a forward recursion in log space sums the probability
-of all segmentations. Piece weights start from the vocabulary's own scores (its
-ranks, read as Zipf weights) and are re-estimated on all distinct training words
-by expectation maximisation over the same lattices.
-
-Documents are of ``CLUSTERS`` kinds, as a rule languages: a router, fitted on a
-bounded sample of training texts, sends each training text to one kind, and
-every kind has piece weights and word counts of its own, over all its texts. In
-a kind, a word's probability joins the ways to make it: one edge that spans the
-whole word, worth its discounted count, and the base measure that shares the
-discounts' mass, half the word's probability over all kinds and half its
-segmentations by the kind's pieces (absolute discounting, twice):
-
-    p_k(w) = (max(c_k - d, 0) + d * V_k * (p(w) + lattice_k(w)) / 2) / N_k
-    p(w)   = (max(c - d, 0) + d * V * lattice(w)) / N
-
-A text of a kind is scored as draws from an urn that starts with ``urn`` balls of
-these probabilities and gets one more of each word drawn (a Polya urn), so words
-that a text repeats become likelier in it. A text's score sums over the kinds.
-All conditional probabilities sum to 1 at most, and products depend on counts
-alone: a document is a sum over its distinct words.
+matches a substring; a forward recursion in log space sums the probability of
+all segmentations, for words of every length. Every piece of the vocabulary
+keeps its place: its weight is its own score (in a file of type BPE its rank, read as
+a Zipf weight) as if ``PRIOR`` pieces had been seen, plus its expected count in the
+distinct training words, from two passes of expectation maximisation over the same
+lattices.
+
+A training word is also an edge of its own lattice, from end to end, worth its
+discounted count; the mass that the discounts free weighs the segmentations:
+
+    p_k(w) = (max(c_k - d, 0) + (d * V_k + 1/2) * lattice_k(w)) / (N_k + 1)
+
+Texts are of ``KINDS``: that language of ``FUNCTION_WORDS`` of which they have most
+words, else the last kind. Each kind has piece weights and counts of its own, of all
+training texts that are of it, and a text's probability is the mixture over the kinds,
+whatever its own words say: sum over k of p(k) * p_k(text).
 
 Words are counted in each task before they are shuffled. For scoring, the
 ``HOT`` most frequent words go to the tasks as one broadcast table of bounded
@@ -31,8 +26,9 @@ shuffle, so none is left out.
 
 Defined cases: null and empty texts are the end token alone; rows with a null
 doc_id are learnt from and scored (its text is empty for the hash); without
-training rows every word has the smallest probability; repeated rows each count and come out; an
-empty table gives an empty result; other columns are ignored.
+training rows words are scored by the vocabulary alone; repeated rows each count and
+come out; an empty table gives an empty result; other columns are ignored. Memory for
+learning from a word grows with the word (80 bytes for each of its bytes).
 """
 
 from __future__ import annotations
@@ -48,25 +44,22 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_sample, crc_mod, stored, utf8
+from tarn.functions.lang import FUNCTION_WORDS
+from tarn.llm.common import crc_mod, stored, utf8
 
 MODULUS, HELD_OUT = 7, 2
 #: Longest piece in bytes; smaller weight of any byte; Zipf offset of the ranks.
 PIECE, FLOOR, ZIPF = 16, 1e-7, 50
-DISCOUNT, URN, CLUSTERS = 0.75, 1500.0, 6
-#: The router's sample of training texts, and of words that start the piece weights.
-SAMPLE, START = 2_000, 20_000
-#: Pieces of all kinds that each kind's weights lean on.
-SHARED = 500.0
-TINY = 1e-30
+DISCOUNT = 0.7
+#: Pieces that the vocabulary's scores, and all kinds together for each kind, are worth.
+PRIOR, SHARED, PASSES = 2000.0, 500.0, 2
+#: Words of these pieces end after each with this probability before any is read.
+STOP = 0.3
+KINDS = (*FUNCTION_WORDS, "other")
 #: Words whose scores every task gets at once (about 40 MB), and distinct words that a task counts before it passes them on.
 HOT, HELD = 200_000, 300_000
-#: A word longer than this many bytes is scored in parts of this length.
-LONG = 256
-#: Words are cut into so many bytes when pieces are re-estimated; characters that are worked on together.
-LINEAR, CELLS = 64, 60_000
-#: A piece that all words together use less often than this leaves the lattice.
-LEAST = 0.5
+#: Words of up to so many bytes are worked on many at a time, which changes no number; characters that are worked on together.
+SHORT, CELLS = 64, 60_000
 
 
 @lru_cache(2)
@@ -77,14 +70,14 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> tuple[list[bytes], np.ndarr
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    said = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    ranks = all(float(model.get_score(i)).is_integer() for i in said)
     weight = {bytes([b]): FLOOR for b in range(256)}
-    for i in range(model.get_piece_size()):
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
-            continue
-        piece = model.id_to_piece(i).replace("▁", "").encode().lower()
+    for i in said:
+        piece, score = model.id_to_piece(i).replace("▁", "").encode().lower(), model.get_score(i)
         if 0 < len(piece) <= PIECE:
-            rank = -model.get_score(i) if model.get_score(i) > -1e8 else 1e6
-            weight[piece] = weight.get(piece, 0.0) + 1.0 / (rank + ZIPF)
+            w = 1.0 / ((-score if score > -1e8 else 1e6) + ZIPF) if ranks else math.exp(score)
+            weight[piece] = weight.get(piece, 0.0) + w
     pieces = sorted(weight)
     w = np.array([weight[p] for p in pieces])
     return pieces, np.log(w / w.sum())
@@ -93,18 +86,25 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> tuple[list[bytes], np.ndarr
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _total(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials down the first axis."""
+    top = x.max(0)
+    top = np.where(np.isfinite(top), top, -1e300)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(x - top).sum(0))
+
+
 class Lattice:
     """Sums over the segmentations of words, for several sets of piece weights.
 
     ``logs`` has a row of log probabilities for each piece and a column for each
     set; after each piece a word ends with probability ``stop`` of the set.
-    Words of equal length are worked on together: for each start and end, one
+    Short words of equal length are worked on together: for each start and end, one
     search in the sorted 64-bit hashes of the pieces finds the edges of all.
     """
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray, stop: np.ndarray):
         self.pieces, self.sets = pieces, logs.shape[1]
-        self.weights, self.stop = logs, stop
         go = np.log1p(-stop)
         self.last = np.log(stop) - go
         self.logs = logs + go
@@ -122,6 +122,15 @@ class Lattice:
             out = (out + c.astype(np.uint64) + np.uint64(1)) * _BASE
         return out
 
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes are those of pieces, and the pieces there."""
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        rows = np.flatnonzero(self.hashes[at] == h)
+        return rows, self.order[at[rows]]
+
+    # Many short words of one length.
+
     def _edges(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end, the (start, rows, pieces) of the edges there."""
         width = codes.shape[1]
@@ -131,11 +140,9 @@ class Lattice:
             h = np.zeros(len(codes), np.uint64)
             for j in range(i + 1, min(width, i + self.longest) + 1):
                 h = (h + one[:, j - 1]) * _BASE
-                at = np.searchsorted(self.hashes, h)
-                at[at == len(self.hashes)] = 0
-                rows = np.flatnonzero(self.hashes[at] == h)
+                rows, pieces = self._found(h)
                 if len(rows):
-                    out[j].append((i, rows, self.order[at[rows]]))
+                    out[j].append((i, rows, pieces))
         return out
 
     def _forward(self, edges: list, n: int) -> np.ndarray:
@@ -147,38 +154,72 @@ class Lattice:
                 a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + self.logs[pieces])
         return a
 
-    def _by_length(self, words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(numbers, codes) of words of equal length, ``most`` cells at a time."""
+    def _by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, codes) of short words of equal length, ``CELLS`` at a time."""
         length = np.array([len(w) for w in words], np.int64)
         order = np.argsort(length, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-            width = int(length[part[0]]) if len(part) else 0
-            for at in range(0, len(part) if width else 0, max(1, most // width)):
-                some = part[at : at + max(1, most // width)]
+        order = order[(length[order] > 0) & (length[order] <= SHORT)]
+        for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+            width = int(length[part[0]])
+            for at in range(0, len(part), CELLS // width):
+                some = part[at : at + CELLS // width]
                 yield some, np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), width)
 
+    # One word of any length: a window of as many positions as the longest piece has bytes.
+
+    def _ending(self, word: bytes, first: int, last: int) -> np.ndarray:
+        """The piece of each length (1 to the longest) that ends at each of the
+        positions ``first`` to ``last``; the number after the last piece for none."""
+        out = np.full((last - first + 1, self.longest), len(self.pieces), np.int64)
+        start = max(0, first - self.longest)
+        one = np.frombuffer(word[start:last], np.uint8).astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(one), np.uint64)
+        for n in range(1, min(self.longest, len(one)) + 1):
+            h = (h[: len(one) - n + 1] + one[n - 1 :]) * _BASE
+            rows, pieces = self._found(h)
+            at = start + rows + n - first
+            out[at[at >= 0], n - 1] = pieces[at >= 0]
+        return out
+
+    def _prefixes(self, word: bytes, whole: bool) -> np.ndarray:
+        """As ``_forward`` for one word: all positions, or the last one alone."""
+        logs = np.vstack([self.logs, np.full((1, self.sets), -np.inf)])
+        kept = np.zeros((1, self.sets))
+        for first in range(1, len(word) + 1, 4096):
+            ending = self._ending(word, first, min(len(word), first + 4095))
+            a = np.vstack([kept, np.zeros((len(ending), self.sets))])
+            for r, here in enumerate(ending):
+                j = len(kept) + r
+                m = min(self.longest, j)
+                a[j] = _total(a[j - m : j][::-1] + logs[here[:m]])
+            kept = a if whole else a[-self.longest :]
+        return kept if whole else kept[-1]
+
     def log_marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the probability of each word over all segmentations, by
         the forward recursion in log space; a column for each set of weights."""
-        # Cut points of very long words are fixed, which gives a lower bound.
-        parts = [(n, w[at : at + LONG]) for n, w in enumerate(words) for at in range(0, len(w), LONG)]
-        out = np.where(np.array([len(w) > 0 for w in words], bool)[:, None], self.last, -np.inf) if words else np.zeros((0, self.sets))
-        owner = np.array([n for n, _ in parts], np.int64)
-        for some, codes in self._by_length([w for _, w in parts], CELLS):
-            np.add.at(out, owner[some], self._forward(self._edges(codes), len(codes))[-1])
+        out = np.full((len(words), self.sets), -np.inf)
+        for some, codes in self._by_length(words):
+            out[some] = self.last + self._forward(self._edges(codes), len(codes))[-1]
+        for n, w in enumerate(words):
+            if len(w) > SHORT:
+                out[n] = self.last + self._prefixes(w, False)
         return out
 
     def expected(self, words: list[bytes], share: np.ndarray) -> np.ndarray:
         """Expected count of each piece in ``words``, a column for each set; a
         word counts in set ``k`` as often as its row of ``share`` says."""
-        parts = [(n, w[at : at + LINEAR]) for n, w in enumerate(words) for at in range(0, len(w), LINEAR)]
-        owner = np.array([n for n, _ in parts], np.int64)
         out = np.zeros((len(self.pieces), self.sets))
-        for some, codes in self._by_length([w for _, w in parts], CELLS):
+
+        def add(pieces: np.ndarray, amounts: np.ndarray) -> None:
+            for k in range(self.sets):
+                out[:, k] += np.bincount(pieces, amounts[:, k], len(out))
+
+        for some, codes in self._by_length(words):
             edges = self._edges(codes)
             a = self._forward(edges, len(codes))
             weight = np.zeros_like(a)  # posterior weight of each position
-            weight[-1] = share[owner[some]]
+            weight[-1] = share[some]
             used, amounts = [], []
             for j in range(len(edges) - 1, 0, -1):
                 for i, rows, pieces in edges[j]:
@@ -186,94 +227,86 @@ class Lattice:
                     weight[i, rows] += x
                     used.append(pieces)
                     amounts.append(x)
-            used, amounts = np.concatenate(used), np.concatenate(amounts)
-            for k in range(self.sets):
-                out[:, k] += np.bincount(used, amounts[:, k], len(out))
+            add(np.concatenate(used), np.concatenate(amounts))
+        logs = np.vstack([self.logs, np.full((1, self.sets), -np.inf)])
+        for n, w in enumerate(words):
+            if len(w) > SHORT:
+                a = self._prefixes(w, True)
+                weight = np.zeros_like(a)
+                weight[-1] = share[n]
+                for last in range(len(w), 0, -4096):
+                    first = max(1, last - 4095)
+                    ending = self._ending(w, first, last)
+                    used = np.zeros((*ending.shape, self.sets))
+                    for r in range(len(ending) - 1, -1, -1):
+                        j = first + r
+                        m = min(self.longest, j)
+                        x = weight[j] * np.exp(a[j - m : j][::-1] + logs[ending[r, :m]] - a[j])
+                        weight[j - m : j] += x[::-1]
+                        used[r, :m] = x
+                    there = ending < len(self.pieces)
+                    add(ending[there], used[there])
         return out
 
 
-class Router:
-    """Sends a text to one of the kinds by its frequent words: a mixture of
-    multinomials, fitted on a sample."""
-
-    def __init__(self, sample: list[bytes], kinds: int, vocabulary: int = 2000):
-        docs = [Counter(t.lower().split()) for t in sample]
-        df = Counter(w for d in docs for w in d)
-        self.kinds = kinds
-        top = sorted(df, key=lambda w: (-df[w], w))[:vocabulary]
-        at = self.number = {w: i for i, w in enumerate(top)}
-        x = np.zeros((len(docs), len(top)), np.float32)
-        for r, d in enumerate(docs):
-            for w, n in d.items():
-                if w in at:
-                    x[r, at[w]] = math.log1p(n)
-        best = None
-        for seed in range(4):
-            rng = np.random.default_rng(seed)
-            hard = rng.integers(0, kinds, len(docs))
-            if seed < 3 and len(docs):  # by likeness to documents far from each other
-                z = x / (np.sqrt((x**2).sum(1, keepdims=True)) + 1e-9)
-                picked = [int(rng.integers(len(docs)))]
-                for _ in range(kinds - 1):
-                    picked.append(int((z @ z[picked].T).max(1).argmin()))
-                hard = (z @ z[picked].T).argmax(1)
-            for _ in range(15):
-                weight = np.stack([x[hard == k].sum(0) for k in range(kinds)]) + 0.05
-                prior = np.log((np.bincount(hard, minlength=kinds) + 1) / (len(docs) + kinds))
-                logs = np.log(weight / weight.sum(1, keepdims=True))
-                value = x @ logs.T + prior
-                new = value.argmax(1)
-                if (new == hard).all():
-                    break
-                hard = new
-            fit = float(value.max(1).sum())
-            if best is None or fit > best:
-                best, self.logs, self.prior = fit, logs.T.copy(), prior
-
-    def kind(self, counts: dict[bytes, int]) -> int:
-        get = self.number.get
-        found = [(i, n) for w, n in counts.items() if (i := get(w)) is not None]
-        if not found:
-            return int(self.prior.argmax())
-        at, n = np.array(found).T
-        return int((np.log1p(n) @ self.logs[at] + self.prior).argmax())
-
-
-def _count(router: Router):
+@lru_cache(1)
+def _function_words() -> list[list[bytes]]:
+    return [[w.encode() for w in some] for some in FUNCTION_WORDS.values()]
+
+
+def kind_of(counts: dict[bytes, int]) -> int:
+    """The kind of a text by the counts of its words: a number of ``KINDS``."""
+    get = counts.get
+    found = [sum([get(w, 0) for w in some]) for some in _function_words()]
+    most = max(found)
+    return found.index(most) if most else len(found)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, kind, count in training texts) of what a task has read so far;
     kind -1 and count 0 for words of other texts."""
+    counts: list[Counter] = [Counter() for _ in range(len(KINDS) + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter] = [Counter() for _ in range(router.kinds + 1)]
-
-        def told() -> pa.RecordBatch:
-            words = pa.array([w for c in counts for w in c], pa.binary()).cast(pa.string())
-            kind = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
-            n = pa.array([n for c in counts for n in c.values()], pa.int64())
-            for c in counts:
+    def told() -> Iterator[pa.RecordBatch]:
+        for k, c in zip((*range(len(KINDS)), -1), counts):
+            if c:
+                yield pa.record_batch([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([k] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "kind", "n"])
                 c.clear()
-            return pa.record_batch([words, pa.array(kind), n], names=["word", "kind", "n"])
 
-        for batch in batches:
-            for held_out, text in zip(batch.column("held_out").to_pylist(), utf8(batch, "text")):
-                found = Counter(text.lower().split())
-                if held_out:
-                    counts[-1].update(dict.fromkeys(found, 0))
-                else:
-                    found[b""] = 1
-                    counts[router.kind(found)].update(found)
-                if sum(map(len, counts)) > HELD:
-                    yield told()
-        yield told()
+    for batch in batches:
+        for held_out, text in zip(batch.column("held_out").to_pylist(), utf8(batch, "text")):
+            found = Counter(text.lower().split())
+            if held_out:
+                counts[-1].update(dict.fromkeys(found, 0))
+            else:
+                found[b""] = 1
+                counts[kind_of(found)].update(found)
+            if sum(map(len, counts)) > HELD:
+                yield from told()
+    yield from told()
 
-    return run
+
+def _split(docs: DataFrame, modulus: int, rest: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", modulus) == rest).alias("held_out"), F.col("text").cast("string").alias("text"))
+
+
+def word_counts(docs: DataFrame, modulus: int = MODULUS, rest: int = HELD_OUT) -> DataFrame:
+    """(word, c): every word of ``docs`` with its counts in the training texts
+    of each kind; the end token is the empty word."""
+    told = _split(docs, modulus, rest).select("held_out", "text").mapInArrow(_count, "word string, kind int, n long")
+    by_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(len(KINDS))]
+    return told.groupBy("word").agg(*by_kind).select("word", F.array(*[f"c{k}" for k in range(len(KINDS))]).alias("c"))
+
+
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("c").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
 def _expected(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, words = np.zeros((len(lattice.pieces), lattice.sets)), np.zeros(lattice.sets)
         for batch in batches:
-            seen = np.array(batch.column("c").to_pylist()).reshape(-1, lattice.sets) > 0
+            seen = _numbers(batch) > 0
             count += lattice.expected(utf8(batch, "word"), seen.astype(float))
             words += seen.sum(0)
         piece, kind = np.nonzero(count)
@@ -286,116 +319,77 @@ def _expected(lattice: Lattice):
     return run
 
 
-def _reweighed(pieces: list[bytes], count: np.ndarray, words: np.ndarray) -> Lattice:
-    """The lattice of expected piece counts (a column for each set). Each set's
-    counts lean on all sets' together, as if so many pieces more were seen."""
-    kept = [i for i, p in enumerate(pieces) if len(p) == 1 or count[i].sum() >= LEAST]
-    count = count[kept] + 1e-3
-    shared = count.sum(1, keepdims=True) / count.sum()
-    count = count + SHARED * shared
-    total = count.sum(0)
-    stop = np.clip((words + 0.3 * SHARED) / total, 0.01, 0.9)
-    return Lattice([pieces[i] for i in kept], np.log(count / total), stop)
-
-
-def train_pieces(words: DataFrame, kinds: int, name: str = "piece_bpe_32k.model") -> Lattice:
-    """Piece weights of each kind, estimated on all distinct words of ``words``
-    (word, c: count by kind). A bounded sample of them gives the start; then
-    at most one number for each piece and kind comes to the driver."""
-    pieces, logs = vocabulary(name)
-    start = Lattice(pieces, logs[:, None], np.array([0.3]))
-    some = [r["word"].encode() for r in bounded_sample(words.where("word <> ''").select("word"), START, "word").toLocalIterator()]
-    for _ in range(3 if some else 0):
-        start = _reweighed(start.pieces, start.expected(some, np.ones((len(some), 1))), np.array([len(some)]))
-    pieces = start.pieces
-    wide = Lattice(pieces, np.tile(start.weights, (1, kinds)), np.repeat(start.stop, kinds))
-    sums = words.where("word <> ''").select("word", "c").mapInArrow(_expected(wide), "piece int, kind int, n double").groupBy("piece", "kind").agg(F.sum("n").alias("n")).collect()
-    count, seen = np.zeros((len(pieces), kinds)), np.zeros(kinds)
-    for r in sums:
-        if r["piece"] < 0:
-            seen[r["kind"]] = r["n"]
-        else:
-            count[r["piece"], r["kind"]] = r["n"]
-    return _reweighed(pieces, count, seen)
+def reweighed(pieces: list[bytes], scores: np.ndarray, count: np.ndarray, words: np.ndarray) -> Lattice:
+    """The lattice of expected piece counts in so many words (a column for each
+    set) over the vocabulary's own ``scores`` (log weights)."""
+    shared = count.sum(1) + PRIOR * np.exp(scores)
+    shared /= shared.sum()
+    total = count.sum(0) + SHARED
+    stop = np.clip((words + STOP * SHARED) / total, 0.01, 0.9)
+    return Lattice(pieces, np.log((count + SHARED * shared[:, None]) / total), stop)
+
+
+def train_pieces(words: DataFrame, name: str = "piece_bpe_32k.model") -> Lattice:
+    """Piece weights of each kind, estimated on all distinct training words of
+    ``words`` (word, c: count by kind). At most one number for each piece and kind
+    comes to the driver in each pass."""
+    pieces, scores = vocabulary(name)
+    kinds = len(KINDS)
+    lattice = Lattice(pieces, np.tile(scores[:, None], (1, kinds)), np.full(kinds, STOP))
+    for _ in range(PASSES):
+        sums = words.mapInArrow(_expected(lattice), "piece int, kind int, n double").groupBy("piece", "kind").agg(F.sum("n").alias("n")).toPandas()
+        count, seen = np.zeros((len(pieces), kinds)), np.zeros(kinds)
+        of_words = sums["piece"].to_numpy() < 0
+        count[sums["piece"][~of_words], sums["kind"][~of_words]] = sums["n"][~of_words]
+        seen[sums["kind"][of_words]] = sums["n"][of_words]
+        lattice = reweighed(pieces, scores, count, seen)
+    return lattice
 
 
 class Model:
     """Probabilities of words in each kind, from counts and the lattice."""
 
-    def __init__(self, lattice: Lattice, tokens: np.ndarray, types: np.ndarray, urn: float, discount: float):
-        self.lattice, self.urn, self.discount = lattice, urn, discount
-        self.tokens, self.types = np.maximum(tokens, 1.0), np.maximum(types, 1.0)
-        self.total, self.distinct = max(tokens.sum(), 1.0), max(types.sum(), 1.0)
+    def __init__(self, lattice: Lattice, tokens: np.ndarray, types: np.ndarray, ends: np.ndarray, discount: float):
+        self.lattice, self.discount = lattice, discount
+        self.all, self.spelt = np.log(tokens + 1.0), np.log(discount * types + 0.5)
+        self.end = np.log(ends + 0.5) - self.all  # the end token
+        self.prior = np.log((ends + 0.5) / (ends.sum() + 0.5 * len(ends)))
 
-    def balls(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
-        """``urn`` times the probability of each word in each kind."""
-        spelt = np.exp(np.maximum(self.lattice.log_marginals(words), -690.0))
-        d, whole = self.discount, c.sum(1, keepdims=True)
-        over_all = (np.maximum(whole - d, 0.0) + d * self.distinct * spelt.mean(1, keepdims=True)) / self.total
-        p = (np.maximum(c - d, 0.0) + d * self.types * 0.5 * (over_all + spelt)) / self.tokens
-        return np.maximum(self.urn * p, TINY)
+    def log_words(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each word (not the end) in each kind."""
+        with np.errstate(divide="ignore"):
+            seen = np.log(np.maximum(c - self.discount, 0.0))
+        return np.logaddexp(seen, self.spelt + self.lattice.log_marginals(words)) - self.all
 
 
-def _balls(model: Model):
+def _log_words(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = np.array(batch.column("c").to_pylist(), np.int64).reshape(batch.num_rows, -1)
-            balls = model.balls(utf8(batch, "word"), c) if len(c) else np.zeros((0, 1))
-            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * balls.shape[1])
-            yield pa.record_batch([batch.column("word"), pa.array(c.sum(1)), pa.ListArray.from_arrays(offsets, pa.array(balls.astype(np.float32).ravel()))], names=["word", "c", "balls"])
+            c = _numbers(batch)
+            logs = model.log_words(utf8(batch, "word"), c)
+            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(KINDS))
+            yield pa.record_batch([batch.column("word"), pa.array(c.sum(1)), pa.ListArray.from_arrays(offsets, pa.array(logs.astype(np.float32).ravel()))], names=["word", "c", "logs"])
 
     return run
 
 
-def _split(docs: DataFrame, modulus: int, rest: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", modulus) == rest).alias("held_out"), F.col("text").cast("string").alias("text"))
-
-
-def word_counts(docs: DataFrame, router: Router, modulus: int = MODULUS, rest: int = HELD_OUT) -> DataFrame:
-    """(word, c): every word of ``docs`` with its counts in the training texts
-    of each kind."""
-    told = _split(docs, modulus, rest).select("held_out", "text").mapInArrow(_count(router), "word string, kind int, n long")
-    by_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(router.kinds)]
-    return told.groupBy("word").agg(*by_kind).select("word", F.array(*[f"c{k}" for k in range(router.kinds)]).alias("c"))
-
-
-def _log_rising(p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log(p * (p + 1) * ... * (p + n - 1)) for each row of ``p``."""
-
-    def log_gamma(x: np.ndarray) -> np.ndarray:  # for x of 8 or more
-        return (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-
-    out, n = np.log(p), n[:, None]
-    few = np.minimum(n, 8)
-    for i in range(1, int(few.max(initial=1))):
-        out = out + np.where(i < few, np.log(p + i), 0.0)
-    many = n[:, 0] > 8
-    if many.any():
-        out[many] += log_gamma(p[many] + n[many]) - log_gamma(p[many] + 8)
-    return out
-
-
 #: Documents whose words are scored together.
 TOGETHER = 256
 
 
-def _doc_terms(hot: Broadcast, urn: float, kinds: int):
+def _doc_terms(hot: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, base_of, ball_of, known_of = hot.value
-        get = number.get
+        number, base_of, logs_of, known_of = hot.value
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                yield terms(part, get, base_of, ball_of, known_of)
+                yield terms(batch.slice(at, TOGETHER), number.get, base_of, logs_of, known_of)
 
-    def terms(part: pa.RecordBatch, get, base_of: np.ndarray, ball_of: np.ndarray, known_of: np.ndarray) -> pa.RecordBatch:
+    def terms(part: pa.RecordBatch, get, base_of: np.ndarray, logs_of: np.ndarray, known_of: np.ndarray) -> pa.RecordBatch:
         offsets, words, ns, rows, hit, hit_n, lengths = [0], [], [], [], [], [], []
         for r, text in enumerate(utf8(part, "text")):
             found = text.lower().split()
             lengths.append(len(found) + 1)
-            counts = Counter(found)
-            counts[b""] = 1
-            for w, k in counts.items():
+            for w, k in Counter(found).items():
                 i = get(w)
                 if i is None:
                     words.append(w)
@@ -405,39 +399,39 @@ def _doc_terms(hot: Broadcast, urn: float, kinds: int):
                     hit.append(i)
                     hit_n.append(k)
             offsets.append(len(words))
-        n, rows, hit, hit_n = np.array(lengths, np.int64), np.array(rows, np.int64), np.array(hit, np.int64), np.array(hit_n, np.int64)
-        drawn = _log_rising(ball_of[hit], hit_n) if len(hit) else np.zeros((0, kinds))
-        score = np.stack([np.bincount(rows, drawn[:, k], len(n)) for k in range(kinds)], axis=1)
-        score += np.array([math.lgamma(urn) - math.lgamma(x + urn) for x in lengths])[:, None]
-        base = np.bincount(rows, base_of[hit] * hit_n, len(n)).astype(float)
-        known = np.bincount(rows, known_of[hit] * hit_n, len(n)).astype(np.int64)
+        n, rows, hit, hit_n = np.array(lengths, np.int64), np.array(rows, np.int64), np.array(hit, np.int64), np.array(hit_n, float)
+
+        def summed(weights: np.ndarray) -> np.ndarray:
+            return np.bincount(rows, weights * hit_n, len(n)).astype(float)
+
+        score = np.stack([summed(logs_of[hit, k]) for k in range(len(KINDS))], axis=1)
         tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], names=["word", "n"])
-        scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * kinds), pa.array(score.ravel()))
+        scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(KINDS)), pa.array(score.ravel()))
         return pa.record_batch(
-            [part.column("key"), part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(known), pa.array(base), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
+            [part.column("key"), part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(summed(known_of[hit]).astype(np.int64)), pa.array(summed(base_of[hit])), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
             names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
         )
 
     return run
 
 
-def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MODULUS, rest: int = HELD_OUT, urn: float = URN, discount: float = DISCOUNT, hot_words: int = HOT, kinds: int = CLUSTERS) -> DataFrame:
+def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MODULUS, rest: int = HELD_OUT, discount: float = DISCOUNT, hot_words: int = HOT) -> DataFrame:
     """Learns from the training rows of ``docs`` (doc_id, text) and scores all."""
-    spark = docs.sparkSession
-    split = _split(docs, modulus, rest)
-    sample = bounded_sample(split.where(~F.col("held_out")).select("doc_id", "text"), SAMPLE, "doc_id", "text")
-    router = Router(sorted((r["text"] or "").encode() for r in sample.toLocalIterator()), kinds)
-    counts = stored(word_counts(docs, router, modulus, rest), "word-counts")
-    c = [F.col("c")[k] for k in range(kinds)]
-    whole = sum(c[1:], c[0])
-    total = counts.agg(*[F.sum(x).alias(f"n{k}") for k, x in enumerate(c)], *[F.count_if(x > 0).alias(f"v{k}") for k, x in enumerate(c)], F.count_if(whole > 0).alias("v"), F.sum(F.when(F.col("word") == "", F.lit(1)).otherwise(0)).alias("e")).first()
-    ends = counts.where("word = ''").select("c").first()
-    tokens, types = (np.array([total[f"{x}{k}"] or 0 for k in range(kinds)], float) for x in "nv")
-    n, v = int(tokens.sum()), total["v"] or 0
-    prior = np.log((np.array(ends["c"] if ends else [0] * kinds) + 0.5) / ((sum(ends["c"]) if ends else 0) + 0.5 * kinds))
-    model = Model(train_pieces(counts.where(whole > 0), kinds, name), tokens, types, urn, discount)
-    model.distinct = max(v, 1)
-    words = stored(counts.mapInArrow(_balls(model), "word string, c long, balls array<float>"), "word-model")
+    spark, kinds = docs.sparkSession, range(len(KINDS))
+    counts = stored(word_counts(docs, modulus, rest), "word-counts")
+    c = [F.col("c")[k] for k in kinds]
+    whole, is_end = sum(c[1:], c[0]), F.col("word") == ""
+    total = counts.agg(
+        *[F.sum(x).alias(f"n{k}") for k, x in enumerate(c)],
+        *[F.count_if((x > 0) & ~is_end).alias(f"v{k}") for k, x in enumerate(c)],
+        *[F.sum(F.when(is_end, x)).alias(f"e{k}") for k, x in enumerate(c)],
+        F.count_if(whole > 0).alias("v"),
+    ).first()
+    tokens, types, ends = (np.array([total[f"{x}{k}"] or 0 for k in kinds], float) for x in "nve")
+    n, v, docs_seen = int(tokens.sum()), total["v"] or 0, float(ends.sum())
+    words = counts.where(~is_end)
+    model = Model(train_pieces(words.where(whole > 0), name), tokens, types, ends, discount)
+    words = stored(words.mapInArrow(_log_words(model), "word string, c long, logs array<float>"), "word-model")
     # The counts that at most ``hot_words`` words reach.
     least, so_far = 1, 0
     for r in words.where("c > 0").groupBy("c").count().orderBy(F.desc("c")).limit(hot_words).toLocalIterator():
@@ -447,17 +441,12 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MOD
             break
     table = words.where(F.col("c") >= least).toArrow().combine_chunks()  # at most ``hot_words`` rows
     hot_c = table["c"].to_numpy().astype(float)
-    ball = np.array(table["balls"].combine_chunks().flatten().to_numpy(), float).reshape(-1, kinds)
+    logs = np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in table["logs"].chunks)]).reshape(-1, len(KINDS))
     number = {w: i for i, w in enumerate(table["word"].cast(pa.binary()).to_pylist())}
-    hot = spark.sparkContext.broadcast((number, np.log10((hot_c + 1) / (n + v + 1)), ball, np.ones(len(hot_c))))
-    given = split.select(F.monotonically_increasing_id().alias("key"), "*")
+    hot = spark.sparkContext.broadcast((number, np.log10((hot_c + 1) / (n + v + 1)), logs, np.ones(len(hot_c))))
+    given = _split(docs, modulus, rest).select(F.monotonically_increasing_id().alias("key"), "*")
     shape = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score array<double>, tail array<struct<word:string,n:long>>"
-    rows = stored(given.mapInArrow(_doc_terms(hot, urn, kinds), shape), "document-terms")
-
-    def drawn(b: Column) -> Column:
-        more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n") - 1), F.lit(0.0), lambda acc, i: acc + F.log(b + i))
-        return F.log(b) + F.when(F.col("n") > 1, more).otherwise(0.0)
-
+    rows = stored(given.mapInArrow(_doc_terms(hot), shape), "document-terms")
     tail = (
         rows.select("key", F.explode("tail").alias("t"))
         .select("key", "t.word", "t.n")
@@ -466,26 +455,25 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MOD
             "key",
             F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"),
             (F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("more"),
-            *[drawn(F.col("balls")[k].cast("double")).alias(f"s{k}") for k in range(kinds)],
+            *[(F.col("n") * F.col("logs")[k].cast("double")).alias(f"s{k}") for k in kinds],
         )
         .groupBy("key")
-        .agg(*[F.sum(x).alias(x) for x in ("known", "more", *[f"s{k}" for k in range(kinds)])])
+        .agg(*[F.sum(x).alias(x) for x in ("known", "more", *[f"s{k}" for k in kinds])])
     )
 
     def none(x: str) -> Column:
         return F.coalesce(x, F.lit(0))
 
-    logs = [F.col("score")[k] + none(f"s{k}") + F.lit(float(prior[k])) for k in range(kinds)]
-    top = F.greatest(*logs) if kinds > 1 else logs[0]
-    joined = rows.drop("tail").join(tail, "key", "left").withColumn("top", top)
-    mixed = F.col("top") + F.log(sum([F.exp(x - F.col("top")) for x in logs[1:]], F.exp(logs[0] - F.col("top"))))
+    parts = [F.col("score")[k] + none(f"s{k}") + F.lit(float(model.end[k] + model.prior[k])) for k in kinds]
+    joined = rows.drop("tail").join(tail, "key", "left").withColumn("parts", F.array(*parts)).withColumn("top", F.array_max("parts"))
+    mixed = F.col("top") + F.log(F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top"))))
     return joined.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + none("known")).alias("n_known"),
+        (F.col("n_known") + none("known") + F.lit(int(docs_seen > 0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + none("more")).alias("base_score"),
+        (F.col("base") + none("more") + F.lit(math.log10((docs_seen + 1) / (n + v + 1)))).alias("base_score"),
         (mixed / math.log(10)).alias("score"),
     )
 

@@ -249,10 +249,80 @@ def test_lattice_sums_all_segmentations():
     assert model.log_marginals([b"", b"c"])[:, 0].tolist() == [-math.inf, -math.inf]
 
 
-def test_rising_products():
-    p, n = np.array([[0.5, 3.0], [1e-20, 70.0]]), np.array([1, 40])
-    wanted = [[sum(math.log(x + i) for i in range(k)) for x in row] for row, k in zip(p, n)]
-    assert lattice._log_rising(p, n) == pytest.approx(np.array(wanted), rel=1e-9)
+def test_long_words_are_worked_out_as_short_ones(monkeypatch):
+    pieces, scores = lattice.vocabulary()
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.dirichlet(np.ones(len(pieces)), 2)).T
+    model = lattice.Lattice(pieces, np.ascontiguousarray(logs), np.array([0.3, 0.1]))
+    words = [b"a", b"unbelievably", "größenwahn".encode(), "漢字".encode(), b"x9" * 20, b"the" * 21]
+    share = rng.random((len(words), 2))
+    short, expected = model.log_marginals(words), model.expected(words, share)
+    monkeypatch.setattr(lattice, "SHORT", 0)
+    assert np.allclose(model.log_marginals(words), short, rtol=1e-10)
+    assert np.allclose(model.expected(words, share), expected, rtol=1e-8, atol=1e-12)
+    # beyond the portion in which positions are worked on, the bytes still add up
+    long = b"abracadabra " * 900
+    count = model.expected([long], np.ones((1, 2)))
+    assert np.allclose(np.array([len(p) for p in pieces]) @ count, len(long), rtol=1e-8)
+    assert np.allclose(model.log_marginals([long])[0], model.last + model._prefixes(long, True)[-1], rtol=1e-10)
+
+
+def test_score_is_brute_force(spark):
+    """Expectation, counts and mixture once more, over all segmentations written out."""
+    said = ["the dog and the cat", "le chat et la table", "der hund und das haus", "zzq xyv", "the THE catdog", "la mesa el gato", "dogcat qq9 the", "", None, "hundhaus der"]
+    rows = [(i, said[i % len(said)]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces, scores = lattice.vocabulary()
+    vocabulary, kinds = dict(zip(pieces, np.exp(scores))), range(len(lattice.KINDS))
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    words_of = {i: (t or "").encode().lower().split() for i, t in rows}
+    kind = {i: lattice.kind_of(Counter(w)) for i, w in words_of.items()}
+    counts = [Counter() for _ in kinds]
+    for i, w in words_of.items():
+        if i not in held:
+            counts[kind[i]].update([*w, b""])
+
+    def ways(word):
+        for cuts in product((0, 1), repeat=len(word) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
+            parts = [word[a:b] for a, b in zip(edges, edges[1:])]
+            if all(p in vocabulary for p in parts):
+                yield parts
+
+    weight, stop = [vocabulary] * len(kinds), [lattice.STOP] * len(kinds)
+
+    def marginal(word, k):
+        return sum(math.prod(weight[k][p] for p in parts) * (1 - stop[k]) ** (len(parts) - 1) * stop[k] for parts in ways(word))
+
+    for _ in range(lattice.PASSES):
+        found = [Counter() for _ in kinds]
+        for k in kinds:
+            for word in counts[k]:
+                whole = marginal(word, k) if word else 0
+                for parts in ways(word) if word else ():
+                    for p in parts:
+                        found[k][p] += math.prod(weight[k][p] for p in parts) * (1 - stop[k]) ** (len(parts) - 1) * stop[k] / whole
+        shared = {p: sum(f[p] for f in found) + lattice.PRIOR * vocabulary[p] for p in pieces}
+        every = sum(shared.values())
+        new = []
+        for k in kinds:
+            total = sum(found[k].values()) + lattice.SHARED
+            new.append({p: (found[k][p] + lattice.SHARED * shared[p] / every) / total for p in pieces})
+            stop[k] = min(0.9, max(0.01, (sum(w != b"" for w in counts[k]) + lattice.STOP * lattice.SHARED) / total))
+        weight = new
+    d, ends = lattice.DISCOUNT, [c[b""] for c in counts]
+
+    def p_word(word, k):
+        n, v = sum(counts[k].values()), sum(w != b"" for w in counts[k])
+        return (max(counts[k][word] - d, 0) + (d * v + 0.5) * marginal(word, k)) / (n + 1)
+
+    for hot in (3, 10**6):
+        for r in lattice.score(docs, hot_words=hot).collect():
+            per_kind = [
+                (ends[k] + 0.5) / (sum(ends) + 0.5 * len(kinds)) * (ends[k] + 0.5) / (sum(counts[k].values()) + 1) * math.prod(p_word(w, k) for w in words_of[r["doc_id"]])
+                for k in kinds
+            ]
+            assert r["score"] == pytest.approx(math.log10(sum(per_kind)), rel=1e-5)
 
 
 def test_scores(spark):
@@ -279,7 +349,15 @@ def test_model_edge_rows(spark, edge):
     assert len(got) == len(EDGE) and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     assert lattice.score(edge.limit(0)).count() == 0
     held = spark.createDataFrame([(i, "x y") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
-    assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in lattice.score(held).collect())
+    assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in lattice.score(held).collect())
+    # no word is frequent enough, or a batch has no such word
+    some = spark.createDataFrame([(i, f"w{i} v{i}") for i in range(40)], "doc_id long, text string")
+    assert np.allclose(*[lattice.score(some, hot_words=h).orderBy("doc_id").toPandas()["score"] for h in (0, 50)], rtol=1e-6)
+
+
+def test_score_beats_words_alone_on_held_out_rows(spark):
+    got = lattice.query(spark, "/root/testdata/sf0.1").where("held_out").toPandas()
+    assert got["score"].sum() > got["base_score"].sum()
 
 
 # Nearest neighbours
