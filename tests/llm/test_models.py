@@ -8,7 +8,10 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.llm import blockjoin, lattice, pieces, quality, secrets, toxicity
@@ -418,26 +421,77 @@ def test_pieces_are_those_of_the_library(spark):
         assert pieces.decode(ids) == r["text"]
 
 
+HOSTILE = [" a  b\n\tü🙂", "x" * 300, "▁x y", "\x00a\x7f", "   ", "ab" * 40 + "中文", "\n", "a \n b\n\n c d \n", "\nfirst", "tail ", "qzj" * 700 + " x" * 50, "a\tb\x01 c", "zz▁▁ z", "  ", "ciónrr" * 13 + " the\nthe"]
+
+
+def digest_of_ids(text, ids):
+    """The digest of the ids that the library gives, which are cut into words by their bytes."""
+    out, of_bytes, ids = 0, pieces.texts_of("piece_bpe_32k.model"), list(ids)
+    for place, word in enumerate(pieces.words_of(text)):
+        mine, size = [], len(word.encode())
+        while size > 0:
+            mine.append(ids.pop(0))
+            size -= len(of_bytes[mine[-1]])
+        assert size == 0
+        out += pow(pieces.BASE, place, pieces.PRIME) * sum((i + 1) * pow(pieces.INNER, j, pieces.PRIME) for j, i in enumerate(mine))
+    assert not ids
+    return out % pieces.PRIME
+
+
+def test_query_columns_are_those_of_the_library(spark):
+    model, texts = sentencepiece_model(), {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = pieces.query(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids, text = model.encode(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert (r["n_words"], r["n_pieces"], r["ids_digest"], r["round_trip"]) == (len(pieces.words_of(text)), len(ids), digest_of_ids(text, ids), True)
+
+
 def test_piece_edge_rows(spark, edge):
-    hostile = [" a  b\n\tü🙂", "x" * 300, "▁x y", "\x00a\x7f", "   ", "ab" * 40 + "中文", "\n"]
-    df = spark.createDataFrame([(10 + i, t) for i, t in enumerate(hostile)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
+    df = spark.createDataFrame([(10 + i, t) for i, t in enumerate(HOSTILE)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
     model = sentencepiece_model()
-    got = pieces.encode_documents(df, hot_words=2).collect()
-    assert len(got) == len(EDGE) + len(hostile)
-    for r in got:
-        if r["doc_id"] is not None and r["doc_id"] >= 10:
-            ids = model.encode(hostile[r["doc_id"] - 10])
-            assert (r["n_pieces"], r["ids_sum"], r["round_trip"]) == (len(ids), sum(ids), True)
-    assert {r["n_pieces"] for r in got if r["doc_id"] in (1, 2)} == {0}
+    for hot in (0, 2, 10**6):
+        got = pieces.encode_documents(df, hot_words=hot).collect()
+        assert len(got) == len(EDGE) + len(HOSTILE)
+        for r in got:
+            if r["doc_id"] is not None and r["doc_id"] >= 10:
+                text = HOSTILE[r["doc_id"] - 10]
+                ids = model.encode(text)
+                assert (r["n_pieces"], r["ids_digest"], r["round_trip"]) == (len(ids), digest_of_ids(text, ids), "▁" not in text), text[:40]
+        assert {r["n_pieces"] for r in got if r["doc_id"] in (1, 2)} == {0}
     assert pieces.encode_documents(edge.limit(0)).count() == 0
 
 
+def test_ids_of_documents_and_back(spark, edge):
+    df = spark.createDataFrame([(10 + i, t) for i, t in enumerate(HOSTILE)], "doc_id long, text string").unionByName(edge.select("doc_id", "text"))
+    model, found = sentencepiece_model(), pieces.document_ids(df, hot_words=3).cache()
+    for r in found.where("doc_id >= 10").collect():
+        assert list(r["ids"]) == model.encode(HOSTILE[r["doc_id"] - 10])
+    back = {r["doc_id"]: r["text"] for r in pieces.decoded(found).collect()}
+    assert all(back[10 + i] == t.replace("▁", " ") for i, t in enumerate(HOSTILE))
+    assert sorted(found.where("doc_id < 10").groupBy("doc_id").count().collect()) == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 1)]
+    assert pieces.document_ids(edge.limit(0)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "▁", "ab", "é", "\x00"]), max_size=12).map("".join))
+def test_numbers_of_a_text_are_those_of_its_words(text):
+    for known in ([], ["▁a", "▁ab", "\n", "b", "▁", "▁▁a"]):
+        numbers, other = pieces._Numbers(known).of_text(text)
+        assert [known[x] if x >= 0 else other[i] for i, x in enumerate(numbers)] == pieces.words_of(text)
+        assert all(w not in known for w in other.values())
+    told = list(pieces._distinct(iter([pa.record_batch([pa.array([text, text])], names=["text"])])))
+    counts = Counter({w: n for b in told for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist())})
+    assert counts == Counter(2 * pieces.words_of(text))
+
+
 def test_viterbi_is_the_best_path(spark):
     scores = {"a": -2.0, "b": -3.0, "ab": -3.5, "ba": -4.0, "aba": -6.5, "bb": -5.0}
     table = spark.createDataFrame([(p, i + 1, s, 0) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double, rank long")
     words = ["a", "abab", "babba", "aabbab", "bbbbaba"]
+    long = "ababbabaab" * 40
     byte_ids = list(range(100, 356))
-    got = {r["word"]: list(r["ids"]) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*words, "axb"]], "word string"), table, byte_ids, "viterbi", 3).collect()}
+    got = {r["word"]: list(r["ids"]) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*words, long, "axb"]], "word string"), table, byte_ids, "viterbi", 3).collect()}
     names = list(scores)
     for w in words:
         best = -math.inf
@@ -447,3 +501,8 @@ def test_viterbi_is_the_best_path(spark):
         assert "".join(names[i - 1] for i in got[w]) == w
         assert sum(scores[names[i - 1]] for i in got[w]) == pytest.approx(best)
     assert got["axb"] == [1, 100 + ord("x"), 2]
+    best = [0.0] + [-math.inf] * len(long)  # the best sum of a long word by the plain recursion
+    for j in range(1, len(long) + 1):
+        best[j] = max(best[i] + scores.get(long[i:j], -math.inf) for i in range(max(0, j - 3), j))
+    assert "".join(names[i - 1] for i in got[long]) == long
+    assert sum(scores[names[i - 1]] for i in got[long]) == pytest.approx(best[-1])
