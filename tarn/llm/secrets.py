@@ -46,7 +46,9 @@ CONTEXT = re.compile(
 )
 #: A value that takes fewer guesses (as a power of ten) is no secret.
 MIN_GUESSES = 9.0
-#: Longest part that is tried as a word, date or walk.
+#: Every context holds one of these.
+CONTEXT_MARKS = ("pass", "pw", "credential", "secret", "token", "auth", "key", "string")
+#: Walks and sequences are tried at each end up to this length, and at their last one.
 PART = 32
 
 # Frequent password words, most frequent first.
@@ -103,11 +105,17 @@ def known_words() -> dict[str, int]:
     return {w: i + 1 for i, w in enumerate(order)}
 
 
+@lru_cache(1)
+def known_length() -> int:
+    return max(map(len, known_words()))
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     """Log10 of the guesses that the cheapest segmentation of ``value`` takes, over
     ``COMMON`` and ``words`` (word to rank), or over ``known_words`` without any."""
     ranks = known_words() if words is None else {w: i + 1 for i, w in enumerate(COMMON)} | words
-    n, low = len(value), value.lower()
+    n, low = len(value), "".join([c.lower() if c.isascii() else c for c in value])
+    longest = known_length() if words is None else max(map(len, ranks))
     plain = low.translate(LEET)
     brute = math.log10(max(10, _alphabet(value)))
     # the smallest cost of value[:i], and where its last part begins
@@ -135,7 +143,7 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     open_brute = math.inf  # cost of a prefix that ends within a brute-force part
     for i in range(n):
         open_brute = min(open_brute, best[i] + (cut_cost if i else 0.0)) + brute
-        for j in range(i + 3, min(n, i + PART) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.5)):
                 rank = ranks.get(form[i:j])
                 if rank:
@@ -144,16 +152,13 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
         m = DATE.match(value, i)
         if m:
             offer(i, m.end(), 2.1 if m.end() - i == 4 else 4.6)
-        walk, turns, way = 0, 0, None
-        for j in range(i + 1, min(n, i + PART)):  # keyboard walk
-            if low[j] not in NEAR.get(low[j - 1], ()):
-                break
-            walk += 1
+        turns, way, j = 0, None, i + 1
+        while j < n and low[j] in NEAR.get(low[j - 1], ()):  # keyboard walk
             (r, c), (r2, c2) = PLACE[low[j - 1]], PLACE[low[j]]
             turns += way is not None and way != (r2 - r, c2 - c)
-            way = (r2 - r, c2 - c)
-            if walk >= 2:
-                offer(i, j + 1, math.log10(47) + 0.7 * turns + math.log10(walk + 1))
+            way, j = (r2 - r, c2 - c), j + 1
+            if j - i >= 3 and (j - i <= PART or j == n or low[j] not in NEAR.get(low[j - 1], ())):
+                offer(i, j, math.log10(47) + 0.7 * turns + math.log10(j - i))
         if abs(steps[i]) == 1:  # sequence
             last = i + 1 + stepped[i]
             for j in {*range(i + 3, min(last, i + PART) + 1), last}:
@@ -183,7 +188,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str) -> list[tuple[int, int, int]]:
     """The base spans and the values of high guess cost, in order."""
     found = base_spans(text)
-    if ":" in text or "=" in text or " is " in text:
+    low = text.lower()
+    if any(mark in low for mark in CONTEXT_MARKS):
         base = list(found)
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
