@@ -11,7 +11,8 @@ doc_id and label), a documented bound; scoring reads every whole text.
 
 Defined cases: null and empty texts are scored as texts of no words; rows with a null
 doc_id are scored; labels that are null, not 0 or 1, or of no document are
-ignored; a document with several labels counts with each; with fewer than two
+ignored; a document with several labels counts with each, rows that repeat a doc_id
+count once with each; with fewer than two
 documents of a class every score is the smoothed share of label 1; repeated rows
 each come out; an empty table gives an empty result; other columns are ignored.
 """
@@ -139,7 +140,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out: tuple[int, int], sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` label rows, none of them held out."""
+    """(label, text) of at most ``sample`` label rows, none of them held out. Where
+    several rows have the doc_id, the one whose text comes first counts."""
     modulus, rest = held_out
     picked = bounded_sample(
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label"))
@@ -150,7 +152,8 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out: tuple[int,
         "label",
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(picked), "doc_id").select("label", "text")  # at most ``sample`` small rows
+    met = rows.join(F.broadcast(picked), "doc_id")  # at most ``sample`` small rows
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminant:
