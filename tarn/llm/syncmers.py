@@ -207,7 +207,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     for i, r in enumerate(first):  # the first range's head goes to the last range
         heads.setdefault(r["head"], []).append(first[i - 1]["range"])
     dealt = rows.mapInArrow(_dealt(np.array(bounds, np.int64), heads), "range int, halo boolean, doc_id long, text string")
-    placed = dealt.repartition("range").sortWithinPartitions("range", "halo", F.desc_nulls_last("doc_id"), "text")
+    placed = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "halo", F.desc_nulls_last("doc_id"), "text")
     return placed.mapInArrow(_edited, EDITS)
 
 
