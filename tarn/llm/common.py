@@ -57,3 +57,14 @@ def bounded_sample(df: DataFrame, n: int, *keys: Column | str) -> DataFrame:
     if share < 1:
         hashed = hashed.where(F.col("__hash") <= int(-(2**63) + share * (2**64 - 1)))
     return hashed.orderBy("__hash", *keys).limit(n).drop("__hash")
+
+
+def beside_least(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``df`` with ``least``, the smallest ``value`` of each ``key``. Rows of a key are
+    dealt to as many parts as there are shuffle partitions, by their value, and only
+    one row of each part meets the others: a key of many rows is no task's alone."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(value), F.lit(parts)).cast("int"))
+    of_part = dealt.groupBy(key, "__part").agg(F.min(value).alias("least"))
+    least = of_part.groupBy(key).agg(F.min("least").alias("least"))
+    return dealt.join(of_part.select(key, "__part").join(least, key), [key, "__part"]).drop("__part")

@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round replaces edges by edges to smaller neighbours until every node hangs
-on the smallest node of its component. A round is one aggregation and one join
-per star, and its result is written to the shared folder, so lineage stays
-short and nothing but two numbers comes to the driver.
+on the smallest node of its component. The result of a round is written to the shared folder, so lineage stays
+short and nothing but two numbers comes to the driver. A node with many neighbours
+is split among tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import stored
+from tarn.llm.common import beside_least, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -19,16 +19,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    near = beside_least(_both_ways(edges), "a", "b")
+    return near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "least").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    down = beside_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "a", "b")
+    moved = down.select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return moved.unionByName(down.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -172,13 +172,23 @@ def _tiled(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+def with_class(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fp) with the component_id that ``classes`` (fp, component_id)
+    gives to the fp; null for a null doc_id. The rows of one fp are dealt to as many parts as
+    there are shuffle partitions, so that copies of a text, however many, are no task's alone."""
+    parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = prints.where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    of_part = named.select("fp", "part").distinct().join(classes, "fp")
+    found = named.join(of_part, ["fp", "part"]).select("doc_id", "fp", "component_id")
+    return found.unionByName(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
     prints = stored(fingerprints(docs, words), "fingerprints")
     reps = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
     roots = connected_components(links(reps, max_bits, blocks or enough_blocks(reps.count(), max_bits)))
-    classes = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return with_class(prints, reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
 
 
 # Sets of word shingles, for a Jaccard similarity.
@@ -315,16 +325,6 @@ def _by_key(of_groups):
     return run
 
 
-def _shared(table: pa.Table) -> pa.RecordBatch:
-    """Rows whose key others have too, each with the smallest node of its key."""
-    key, node = table.column(0).to_numpy(), table.column("node").to_numpy()
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    many = np.repeat(sizes > 1, sizes)
-    least = np.repeat(np.minimum.reduceat(node, starts), sizes)
-    return pa.record_batch([pa.array(key[many]), pa.array(node[many]), pa.array(least[many])], names=["key", "node", "least"])
-
-
 def _open_pairs(similarity: float):
     def pairs(table: pa.Table) -> pa.RecordBatch:
         """Pairs of one key, of different roots, that the sizes and bitmaps allow."""
@@ -409,7 +409,8 @@ def set_links(reps: DataFrame, keyed: DataFrame, rows: DataFrame, words: int, si
     similarity. Such sets share a key of ``keyed`` (key, node). First each row is
     compared with the smallest node of each of its keys, which connects large groups
     by few comparisons; then the pairs of a key that are still apart."""
-    shared = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_shared), "key long, node long, least long"), "shared-keys")
+    least = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
+    shared = stored(keyed.join(least, "key"), "shared-keys")
     stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(reps.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("p")), "a").join(reps.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("q")), "b")
     first = verified(stored(stars.select("a", "b", "m", "n", "p", "q").mapInArrow(_possible_pairs(similarity), "a long, b long"), "stars"), rows, words, similarity)
@@ -430,13 +431,13 @@ def _marked(words: int):
     return run
 
 
-MARK = "__shingles"
+#: No column of a table may have this name.
+MARK = "__tarn_shingles"
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text): classes of
-    texts whose sets of ``words``-word shingles have this Jaccard similarity or
-    more, with all such pairs; ``fp`` is a digest of the set."""
+def similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The digests (doc_id, fp) of all rows, and for each digest (fp, node, component_id)
+    the smallest doc_id that has it and the smallest one of its class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
     about = stored(rows.mapInArrow(_described(words), "doc_id long, fp binary, size long, bits binary"), "shingle-sets")
@@ -444,9 +445,16 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     reps = stored(least.select("fp", F.col("m.doc_id").alias("node"), "m.size", "m.bits"), "reps")
     keys = rows.where("doc_id is not null").mapInArrow(_keys(words, similarity, frequent), "node long, fp binary, keys array<long>")
     keyed = keys.join(reps.select("node", "fp"), ["node", "fp"], "left_semi").select(F.explode("keys").alias("key"), "node")
-    roots = connected_components(set_links(reps, keyed, rows, words, similarity))
-    classes = reps.select("fp", "node").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return about.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    roots = connected_components(set_links(reps, stored(keyed, "keys"), rows, words, similarity))
+    return about.select("doc_id", "fp"), reps.select("fp", "node").join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text): classes of
+    texts whose sets of ``words``-word shingles have this Jaccard similarity or
+    more, with all such pairs; ``fp`` is a digest of the set."""
+    prints, classes = similar_classes(docs, words, similarity)
+    return with_class(prints, classes.select("fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -454,8 +462,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     ``similar``; columns as they were. Of rows equal in doc_id and shingles one
     stays; rows with a null doc_id stay."""
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    found = similar(docs, words, similarity)
-    first = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias(MARK)).distinct()
+    classes = similar_classes(docs, words, similarity)[1]
+    first = classes.where("node = component_id").select(F.col("node").alias("doc_id"), F.col("fp").alias(MARK))
     marked = rows.where("doc_id is not null").mapInArrow(_marked(words), StructType([*rows.schema.fields, StructField(MARK, BinaryType())]))
     kept = marked.join(first.select(F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"), MARK), ["doc_id", MARK], "left_semi")
     return kept.dropDuplicates(["doc_id", MARK]).select(*rows.columns).unionByName(rows.where("doc_id is null"))
