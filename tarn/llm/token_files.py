@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, uri: str, vocab: str = "byte_bpe_50k.json
     row for each file in order: file, first_doc, docs, tokens, start (the ids
     in all files before it). Only the manifest comes to the driver."""
     spark = docs.sparkSession
-    wide = max(encoder(vocab).vocabulary, end_id + 1) > 1 << 16
+    wide = max(encoder(vocab).n_vocab, end_id + 1) > 1 << 16
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     done = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(uri, vocab, end_id, seq_len, wide), MANIFEST).collect()
     done.sort(key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0))

@@ -257,12 +257,6 @@ def test_any_text_has_the_ids_of_the_library(text):
     assert next(bpe.encoded([text], 7)).tolist() == [*library().encode(text, add_special_tokens=False).ids, 7]
 
 
-def test_ids_do_not_depend_on_what_a_worker_keeps(texts):
-    few, many = bpe.Encoder("byte_bpe_50k.json", held=50), bpe.Encoder("byte_bpe_50k.json")
-    some = list(texts.values())[:60]
-    assert [few([t])[0] for t in some] == many(some)
-
-
 def test_packed_pieces(spark, texts):
     rows = packing.query(spark, SF).collect()
     lib, by_doc, bins = library(), defaultdict(list), defaultdict(list)
