@@ -140,7 +140,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out: tuple[int, int], sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` label rows, none of them held out. Where
+    """(label, text, doc_id) of at most ``sample`` label rows, none of them held out. Where
     several rows have the doc_id, the one whose text comes first counts."""
     modulus, rest = held_out
     picked = bounded_sample(
@@ -153,7 +153,7 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out: tuple[int,
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = rows.join(F.broadcast(picked), "doc_id")  # at most ``sample`` small rows
-    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text", "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminant:

@@ -1,10 +1,11 @@
 """Learnt models and lattices: held-out results, brute force, edge rows."""
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
-from itertools import product
+from itertools import combinations, product
 
 import duckdb
 import numpy as np
@@ -81,26 +82,76 @@ def test_quality_edge_rows(spark, edge, labels):
 # Toxicity
 
 
+def slow_features(word):
+    """Subsequences by the definition, the word's ends marked, over the root of all squares."""
+    text, out, squares = f"{{{word}}}", Counter(), 0.0
+    for n in (3, 4):
+        for at in combinations(range(len(text)), n):
+            if at[-1] - at[0] < toxicity.SPAN:
+                w = toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
+                out["".join(text[i] for i in at)] += w
+                squares += w * w
+    return Counter({s: v / math.sqrt(squares) for s, v in out.items()})
+
+
+WORDS = ["idiot", "idxiot", "moron", "abcdefgh", "aaaa", "a", "it"]
+
+
 def test_kernel_is_that_of_all_subsequences():
-    def slow(word):
-        out = Counter()
-        for n in (3, 4):
-            for at in product(range(len(word)), repeat=n):
-                if list(at) == sorted(set(at)) and at[-1] - at[0] < toxicity.SPAN:
-                    out[n, "".join(word[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
-        return out
-
-    words = ["idiot", "idxiot", "moron", "abcdefgh", "aaaa"]
-    dense, _ = toxicity._dense(words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
-            x, y = slow(a), slow(b)
-            # a word's scale is that of single occurrences
-            occ = [math.sqrt(sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1 - n)) for n in (3, 4) for at in product(range(len(w)), repeat=n) if list(at) == sorted(set(at)) and at[-1] - at[0] < toxicity.SPAN)) for w in (a, b)]
-            assert float(dense[i] @ dense[j]) == pytest.approx(sum(x[s] * y[s] for s in x) / occ[0] / occ[1], rel=1e-4)
-
-
-def test_toxicity_catches_changed_insults():
+    found = {}
+    for word, ids, x in toxicity.features(WORDS):
+        found[word] = np.bincount(ids, x, toxicity.TABLE)
+    for a, b in product(WORDS, WORDS):
+        x, y = slow_features(a), slow_features(b)
+        assert float(found[a] @ found[b]) == pytest.approx(sum(x[s] * y[s] for s in x), rel=1e-4)
+
+
+def test_folded_weights_are_the_nystrom_machine():
+    """The decisions of the table against kernels with the landmarks, landmark by landmark."""
+    bad = [("you", "idiot"), ("an", "idxiot", "there"), ("moron", "it")]
+    good = [("abcdefgh", "it"), ("there", "you"), ("aaaa",), ("an", "it", "you")]
+    rarity = np.random.default_rng(0).random(toxicity.TABLE).astype(np.float32)
+    table, bias = toxicity.train_sentences(bad, good, np.full(3, 2.0), rarity)
+    words = sorted({w for s in (*bad, *good) for w in s} | {"idi", "morons"})
+    weighed = {w: np.bincount(ids, x, toxicity.TABLE) * rarity for w, ids, x in toxicity.features(words)}
+    phi = {s: sum(weighed[w] for w in s) for s in (*bad, *good, ("idi", "you"), ("morons",))}
+    every = [*bad, *good]
+    gram = np.array([[phi[a] @ phi[b] for b in every] for a in every])
+    value, vector = np.linalg.eigh(gram)
+    keep = value > 1e-6 * value.max()
+    x = np.hstack([gram @ (vector[:, keep] / np.sqrt(value[keep])), np.ones((7, 1))])
+    y, cost = np.r_[np.ones(3), -np.ones(4)], np.r_[np.full(3, 2.0), np.ones(4)]
+
+    def loss(w):
+        return (w[:-1] ** 2).sum() + 2 * (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+    machine = toxicity.Svm(table, bias)
+    decide = lambda s: float(machine.decisions(list(s)).sum()) + bias
+    got = np.array([decide(s) for s in every])
+    w = np.linalg.lstsq(x, got, rcond=None)[0]
+    assert np.allclose(x @ w, got, atol=1e-3)  # within the landmarks' span
+    for _ in range(200):  # and no other weights there lose less
+        assert loss(w) <= loss(w + np.random.default_rng(_).normal(0, 0.01, len(w))) + 5e-3
+    for s in (("idi", "you"), ("morons",)):
+        kernels = np.array([phi[s] @ phi[b] for b in every])
+        assert decide(s) == pytest.approx(float((kernels @ (vector[:, keep] / np.sqrt(value[keep]))) @ w[:-1] + w[-1]), abs=1e-3)
+
+
+def test_words_of_any_length_are_decided_alike(monkeypatch):
+    table = np.random.default_rng(1).random(toxicity.TABLE).astype(np.float32)
+    model, words = toxicity.Svm(table), ["x", "idiot", "ab" * 700, "q" * 3, ""]
+    whole = model.decisions(words)
+    monkeypatch.setattr(toxicity, "CELLS", 64)
+    assert np.allclose(model.decisions(words), whole, rtol=1e-5)
+
+
+def toxic_table(spark, bad, text, n=(150, 600)):
+    rows = [(i, text(bad[i % len(bad)] if i < n[0] else None), int(i < n[0])) for i in range(sum(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic")
+
+
+def test_toxicity_catches_changed_insults(spark):
     rng = np.random.default_rng(0)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea"]
     bad = ["idiot", "worthless", "moron", "stupid", "pathetic"]
@@ -109,35 +160,32 @@ def test_toxicity_catches_changed_insults():
         words = ["".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(40)]
         return " ".join(words[:20] + ([insult] if insult else []) + words[20:])
 
-    rows = [(1, text(bad[i % 5])) for i in range(120)] + [(0, text(None)) for _ in range(600)]
-    model = toxicity.fit(rows)
-    score = lambda t: toxicity._score(model, [t])[0]
-    for changed in ("idiot", "IDIOT!", "i.d.i.o.t", "i d i o t", "idi0t", "worth-less", "worthlless", "mooron", "stupiid", "pathet1c"):
+    model = toxicity.train(*toxic_table(spark, bad, text))
+    score = lambda t: model.scores([t])[0]
+    for changed in ("idiot", "IDIOT!", "i.d.i.o.t", "i d i o t", "idi0t", "worth-less", "worthlless", "mooron", "stupiid", "stuxpid", "pathet1c"):
         assert score(text(changed)) >= 0.7, changed
-    assert sum(score(text(None)) >= 0.7 for _ in range(200)) == 0
+    assert sum(score(text(None)) >= 0.7 for _ in range(200)) <= 2
     assert score("") < 0.7
 
 
-def test_texts_that_share_a_word_are_no_copies():
-    rng = np.random.default_rng(1)
-    words = sorted({"".join(rng.choice(list("bcdfghklmnprst"), 6)) for _ in range(3000)}, key=lambda w: zlib.crc32(w.encode()))
-    first, rest = words[0], words[1:]  # of the smallest hash, in all texts
+def test_sentences_that_clean_documents_have_teach_nothing(spark):
+    text = lambda _: "the same sentence in all of them"
+    assert toxicity.train(*toxic_table(spark, ["x"], text)).flat == pytest.approx(0.2, abs=0.1)
 
-    def text(insult):
-        return " ".join([first, *rng.choice(rest, 30), *([insult] if insult else [])])
 
-    model = toxicity.fit([(1, text("worthless")) for _ in range(60)] + [(0, text(None)) for _ in range(300)])
-    assert model.flat is None
-    assert toxicity._score(model, [text("worthless")])[0] >= 0.7 > toxicity._score(model, [text(None)])[0]
-    # copies still count once: their words are no insults
-    assert toxicity.fit([(1, text(None))] * 60 + [(0, text(None)) for _ in range(300)]).flat is not None
+def test_rows_with_one_doc_id_count_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 1), (2, 0, 0), (1, 1, 1)], "doc_id long, toxic int, quality int")
+    for name, held in (("toxic", (10**6, -1)), ("quality", (10**6, -1))):
+        got = sorted(map(tuple, quality.labelled(docs, labels, name, held, 100).select("doc_id", "label", "text").collect()))
+        assert got == sorted({(1, r[name], "text 0") for r in labels.where("doc_id = 1").collect()} | {(2, 0, "other")})
 
 
 def test_toxicity_on_held_out(spark, labels):
     got = toxicity.query(spark, SMALL).join(labels, "doc_id").toPandas()
     held = got[got["held_out"] & got["toxic"].notna()]
-    assert (held["predicted"] == held["toxic"]).mean() > 0.95
-    assert not ((held["predicted"] == 1) & (held["toxic"] == 0)).any()
+    assert (held["predicted"] == held["toxic"]).mean() > 0.93
+    assert ((held["predicted"] == 1) & (held["toxic"] == 0)).mean() < 0.03
 
 
 def test_toxicity_edge_rows(spark, edge, labels):
@@ -180,18 +228,71 @@ def test_guess_costs():
     assert cost("") == 0
 
 
-def test_guess_cost_is_the_cheapest_segmentation():
-    value, words = "abqwabz", {"ab": 5, "qwa": 3, "bz": 9}
-    by_hand = {(0, 2): math.log10(6), (2, 5): math.log10(4), (5, 7): math.log10(10)}
-    words = {k: v for k, v in words.items() if len(k) >= 3}  # parts have three characters at least
-    del by_hand[0, 2], by_hand[5, 7]
-    brute, cut, n = math.log10(26), math.log10(len(value)), len(value)
-    best = math.inf
+def part_costs(v, words):
+    """What each kind of part costs that spells all of ``v``, each by its own definition."""
+    brute = math.log10(max(10, sum(n for p, n in (("[a-z]", 26), ("[A-Z]", 26), (r"\d", 10), ("[^A-Za-z0-9]", 33)) if re.search(p, part_costs.value))))
+    out, low = {"brute": brute * len(v)}, v.lower()
+    case = 0.0 if v == low else 0.3 if v[1:] == low[1:] or v.isupper() else 1.0
+    if len(v) >= 3:
+        if low in words:
+            out["word"] = math.log10(words[low] + 1) + case
+        if low.translate(secrets.LEET) in words:
+            out["leet"] = math.log10(words[low.translate(secrets.LEET)] + 1) + 0.5 + case
+        steps = {ord(b) - ord(a) for a, b in zip(v, v[1:])}
+        if steps in ({1}, {-1}):
+            out["sequence"] = 1.4 + math.log10(len(v))
+        if all(b in secrets.NEAR.get(a, ()) for a, b in zip(low, low[1:])):
+            ways = [(secrets.PLACE[b][0] - secrets.PLACE[a][0], secrets.PLACE[b][1] - secrets.PLACE[a][1]) for a, b in zip(low, low[1:])]
+            out["walk"] = math.log10(47) + 0.7 * sum(x != y for x, y in zip(ways, ways[1:])) + math.log10(len(v))
+    for date, cost in ((r"(19|20)\d\d", 2.1), (r"(19|20)\d\d[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12]\d|3[01])", 4.6)):
+        if re.fullmatch(date, v):
+            out["date"] = cost
+    for period in range(1, 9):
+        if len(v) >= max(3, 2 * period) and v == (v[:period] * len(v))[: len(v)]:
+            out["repeat"] = min(out.get("repeat", math.inf), period * brute + math.log10(len(v) / period))
+    return out
+
+
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [("xqdragonz", "word"), ("xqDRAGONz", "word"), ("zpDragonq", "word"), ("kzdr4g0nq", "leet"), ("kzcdefghq", "sequence"), ("98765zqk", "sequence"), ("zkfghjklq", "walk"), ("kpzaq1xk", "walk"), ("zq2019xk", "date"), ("k20190731", "date"), ("kqaaaaaaz", "repeat"), ("kxyxyxyxq", "repeat"), ("zqkxvjw", "brute"), ("dragon99", "word"), ("aB3$kQ7z", "brute")],
+)
+def test_guess_cost_is_the_cheapest_segmentation(value, kind):
+    words = {"dragon": 40, "agon": 90, "rag": 200}
+    ranks = {w: i + 1 for i, w in enumerate(secrets.COMMON)} | words
+    part_costs.value, n = value, len(value)
+    best = (math.inf, None)
     for cuts in product((0, 1), repeat=n - 1):
         edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], n]
-        total = sum(min(by_hand.get(s, math.inf), (s[1] - s[0]) * brute) for s in zip(edges, edges[1:])) + cut * (len(edges) - 2)
-        best = min(best, total)
-    assert secrets.guess_cost(value, words) == pytest.approx(best)
+        parts = [min((c, k) for k, c in part_costs(value[a:b], ranks).items()) for a, b in zip(edges, edges[1:])]
+        best = min(best, (sum(c for c, _ in parts) + math.log10(max(2, n)) * (len(parts) - 1), [k for _, k in parts]))
+    assert secrets.guess_cost(value, words) == pytest.approx(best[0])
+    assert kind in best[1]
+
+
+def test_query_columns_are_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = secrets.query(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        base = slow_base(text)
+        added = []
+        for m in secrets.CONTEXT.finditer(text):  # every text, without a look at what it holds
+            value = m.group(1).rstrip(".!?)]}")
+            a, b = m.start(1), m.start(1) + len(value)
+            if len(value) >= 8 and not any(x <= a and b <= y for x, _, y in base) and secrets.guess_cost(value) >= secrets.MIN_GUESSES:
+                added.append((a, 3, b))
+        shown = lambda found: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["n_guess"]) == (*(sum(k == i for _, k, _ in base) for i in range(3)), len(added))
+        assert r["base_sha256"] == hashlib.sha256(shown(base).encode()).hexdigest()
+        assert r["spans"] == shown([*base, *added])
+
+
+def test_contexts_over_several_lines():
+    assert secrets.spans("password\nis\nzX9#kQ2!pL7v") == [(12, 3, 24)]
+    assert secrets.spans("client_secret:\tzX9#kQ2!pL7v") == [(15, 3, 27)]
+    assert secrets.guess_cost("asdfghjklkjhgfds" * 3, {}) < secrets.guess_cost("asdfghjklkjhgfdsa", {}) * 3  # a walk of over 32 steps
 
 
 def test_added_spans_and_masks(spark, edge):
