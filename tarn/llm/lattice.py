@@ -37,6 +37,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ KINDS = (*FUNCTION_WORDS, "other")
 #: Words whose scores every task gets at once (about 40 MB), and distinct words that a task counts before it passes them on.
 HOT, HELD = 200_000, 300_000
 #: Words of up to so many bytes are worked on many at a time, which changes no number; characters that are worked on together.
-SHORT, CELLS = 64, 60_000
+SHORT, CELLS, GATHERED = 64, 200_000, 20_000
 
 
 @lru_cache(2)
@@ -298,6 +299,18 @@ def word_counts(docs: DataFrame, modulus: int = MODULUS, rest: int = HELD_OUT) -
     return told.groupBy("word").agg(*by_kind).select("word", F.array(*[f"c{k}" for k in range(len(KINDS))]).alias("c"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches: a numpy call costs as much for few words as for many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED or sum(b.nbytes for b in held) >= 1 << 24:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _numbers(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("c").flatten().to_numpy().reshape(batch.num_rows, -1)
 
@@ -305,7 +318,7 @@ def _numbers(batch: pa.RecordBatch) -> np.ndarray:
 def _expected(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, words = np.zeros((len(lattice.pieces), lattice.sets)), np.zeros(lattice.sets)
-        for batch in batches:
+        for batch in _gathered(batches):
             seen = _numbers(batch) > 0
             count += lattice.expected(utf8(batch, "word"), seen.astype(float))
             words += seen.sum(0)
@@ -364,7 +377,7 @@ class Model:
 
 def _log_words(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             c = _numbers(batch)
             logs = model.log_words(utf8(batch, "word"), c)
             offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(KINDS))
@@ -385,27 +398,26 @@ def _doc_terms(hot: Broadcast):
                 yield terms(batch.slice(at, TOGETHER), number.get, base_of, logs_of, known_of)
 
     def terms(part: pa.RecordBatch, get, base_of: np.ndarray, logs_of: np.ndarray, known_of: np.ndarray) -> pa.RecordBatch:
-        offsets, words, ns, rows, hit, hit_n, lengths = [0], [], [], [], [], [], []
-        for r, text in enumerate(utf8(part, "text")):
-            found = text.lower().split()
-            lengths.append(len(found) + 1)
-            for w, k in Counter(found).items():
-                i = get(w)
-                if i is None:
-                    words.append(w)
-                    ns.append(k)
-                else:
-                    rows.append(r)
-                    hit.append(i)
-                    hit_n.append(k)
-            offsets.append(len(words))
-        n, rows, hit, hit_n = np.array(lengths, np.int64), np.array(rows, np.int64), np.array(hit, np.int64), np.array(hit_n, float)
+        words, found, ns, sizes, lengths = [], [], [], [], []
+        for text in utf8(part, "text"):
+            said = text.lower().split()
+            lengths.append(len(said) + 1)
+            counts = Counter(said)
+            words.extend(counts)
+            ns.extend(counts.values())
+            found.extend(map(get, counts, repeat(-1)))
+            sizes.append(len(counts))
+        n, found, ns = np.array(lengths, np.int64), np.array(found, np.int64), np.array(ns, np.int64)
+        rows, other, at = np.repeat(np.arange(len(n)), sizes), np.flatnonzero(found < 0), np.flatnonzero(found >= 0)
+        offsets = np.cumsum([0, *np.bincount(rows[other], minlength=len(n))])
+        words, ns_other = [words[i] for i in other.tolist()], ns[other]
+        rows, hit, hit_n = rows[at], found[at], ns[at].astype(float)
 
         def summed(weights: np.ndarray) -> np.ndarray:
             return np.bincount(rows, weights * hit_n, len(n)).astype(float)
 
         score = np.stack([summed(logs_of[hit, k]) for k in range(len(KINDS))], axis=1)
-        tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], names=["word", "n"])
+        tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(ns_other)], names=["word", "n"])
         scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(KINDS)), pa.array(score.ravel()))
         return pa.record_batch(
             [part.column("key"), part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(summed(known_of[hit]).astype(np.int64)), pa.array(summed(base_of[hit])), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
