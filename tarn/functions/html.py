@@ -51,8 +51,21 @@ def visible(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+#: An opening tag ends open elements of these kinds, up to one of the kinds after the bar.
+ENDS = {
+    "td": ("td th", "table tr"), "th": ("td th", "table tr"), "tr": ("tr td th", "table"),
+    "tbody": ("thead tbody tfoot tr td th", "table"), "thead": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table"),
+    "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "li": ("li", "ul ol"), "option": ("option", "select"), "p": ("p", "div td th body"),
+    "body": ("head", "html"),
+}
+ENDS = {tag: (set(ended.split()), set(within.split())) for tag, (ended, within) in ENDS.items()}
+#: What stands in the head where a page has none.
+IN_HEAD = set("title meta link base style script".split())
+
+
 class _Tree(HTMLParser):
-    """Elements as [tag, children]; exact on well-formed pages."""
+    """Elements as [tag, children]; exact on well-formed pages. End tags that may be
+    left out are put in, and so are html, head and body."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -60,6 +73,12 @@ class _Tree(HTMLParser):
         self.open = [self.top]
 
     def handle_starttag(self, tag, attrs):
+        ended, within = ENDS.get(tag, ((), ()))
+        for i in range(len(self.open) - 1, 0, -1) if ended else ():
+            if self.open[i][0] in within:
+                break
+            if self.open[i][0] in ended:
+                del self.open[i:]
         node = [tag, []]
         self.open[-1][1].append(node)
         if tag not in VOID:
@@ -75,6 +94,21 @@ class _Tree(HTMLParser):
                 break
 
 
+    def root(self) -> list:
+        """The html element."""
+        found = [n for n in self.top[1] if n[0] == "html"]
+        root = found[0] if found else ["html", []]
+        loose = [n for n in self.top[1] if n is not root]
+        parts = root[1] + loose
+        if not any(n[0] == "body" for n in parts):
+            head = [n for n in parts if n[0] == "head"]
+            first = next((i for i, n in enumerate(parts) if n[0] not in IN_HEAD and n[0] != "head"), len(parts))
+            early, late = [n for n in parts[:first] if n[0] in IN_HEAD], parts[first:]
+            head = head or ([["head", early]] if early else [])
+            parts = [*head, *([["body", late]] if late else [])]
+        return ["html", parts]
+
+
 def shape_of(html: str | None, limit: int = DEFAULT.shape_limit) -> str:
     """The nesting of a page's tags as compact JSON, cut at ``limit``."""
     if not html:
@@ -82,9 +116,10 @@ def shape_of(html: str | None, limit: int = DEFAULT.shape_limit) -> str:
     number = {t: i for i, t in enumerate(TAGS)}
     tree = _Tree()
     tree.feed(html)
+    top = ["", [tree.root()]]
     # Children first, without recursion: pages may nest deeply.
     done: dict[int, list] = {}
-    stack = [(tree.top, False)]
+    stack = [(top, False)]
     while stack:
         node, ready = stack.pop()
         inner = [c for c in node[1] if c[0] not in LEFT_OUT]
@@ -98,7 +133,7 @@ def shape_of(html: str | None, limit: int = DEFAULT.shape_limit) -> str:
             below = done.pop(id(c))
             parts.append(f"[{code},[{','.join(below)}]]" if below else code)
         done[id(node)] = parts
-    return f"[{','.join(done[id(tree.top)])}]"[:limit]
+    return f"[{','.join(done[id(top)])}]"[:limit]
 
 
 def _shapes(html: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -22,8 +22,16 @@ FUNCTION_WORDS = {
 
 
 def detect(text: Column) -> Column:
-    """The language of the whole ``text``; ``und`` (undetermined) without any known word."""
-    words = F.transform(all_pieces(F.replace(text, F.lit("\n"), F.lit(" "))), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]+$", ""))
-    counts = F.array(*[F.struct(F.size(F.filter(words, lambda w: w.isin(*known))).alias("n"), F.lit(lang).alias("lang")) for lang, known in FUNCTION_WORDS.items()])
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["lang"]).otherwise("und")
+    """The language of the whole ``text``, whose newlines are deleted; ``und`` (undetermined)
+    without any known word. Words are cut once and counted in one pass over them."""
+    words = F.transform(all_pieces(F.replace(text, F.lit("\n"), F.lit(""))), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]+$", ""))
+    zero = F.struct(*[F.lit(0).alias(lang) for lang in FUNCTION_WORDS])
+
+    def count(acc: Column, w: Column) -> Column:
+        return F.struct(*[(acc[lang] + w.isin(*known).cast("int")).alias(lang) for lang, known in FUNCTION_WORDS.items()])
+
+    def best(acc: Column) -> Column:
+        top = F.array_max(F.array(*[F.struct(acc[lang].alias("n"), F.lit(lang).alias("lang")) for lang in FUNCTION_WORDS]))
+        return F.when(top["n"] > 0, top["lang"]).otherwise("und")
+
+    return F.aggregate(words, zero, count, best)

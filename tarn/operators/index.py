@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT, Config
@@ -55,3 +55,34 @@ def inverted(postings: DataFrame) -> DataFrame:
     list is one value."""
     entry = F.struct((-F.col("weight")).alias("order"), "url")
     return postings.groupBy("term").agg(F.array_sort(F.collect_list(entry)).alias("p")).select("term", F.transform("p", lambda x: F.struct((-x["order"]).alias("weight"), x["url"].alias("url"))).alias("postings"))
+
+
+def compacted(postings: DataFrame, batch: str = "", config: Config = DEFAULT) -> DataFrame:
+    """The postings (term, url, weight) after a round of upkeep: lists that are
+    due are cut to their limits, all others stay whole."""
+    due = compaction_due(postings, batch, config).where("due").select("term")
+    whole = postings.join(due, "term", "left_anti")
+    cut = trimmed(postings.join(due, "term", "left_semi"), config).select(*postings.columns)
+    return whole.unionByName(cut)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings as zstd Parquet in folders by a hash of the term, each list heaviest
+    first; a look-up reads the folders of its terms alone. A term's list is in one file's
+    sorted run, so that statistics of row groups skip the rest of a folder."""
+    rows = postings.select("term", "url", "weight").withColumn("bucket", _bucket(F.col("term"), buckets))
+    placed = rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term", F.desc("weight"), "url")
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """(term, url, weight) of all terms, or of some: then only their folders and lists are read."""
+    rows = spark.read.schema("term string, url string, weight double, bucket int").parquet(path)
+    if terms is not None:
+        places = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), buckets)).distinct().collect()] if terms else []
+        rows = rows.where(F.col("bucket").isin(*places) & F.col("term").isin(*terms))
+    return rows.drop("bucket")

@@ -14,11 +14,12 @@ def query_terms(spark: SparkSession, q: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(q)))).alias("term"))
 
 
-def ranked(postings: DataFrame, wanted: DataFrame, key: str, score: Column, k: int = DEFAULT.results) -> DataFrame:
-    """Q3 to Q5: (key, score) of the ``k`` best; a document with any of the terms
-    counts, scores add up, ties go to the smaller key."""
+def ranked(postings: DataFrame, wanted: DataFrame, key: str, score: Column, k: int | None = DEFAULT.results) -> DataFrame:
+    """Q3 to Q5: (key, score) of the ``k`` best, or of all in no order; a document with
+    any of the terms counts, scores add up, ties go to the smaller key."""
     found = postings.join(F.broadcast(wanted), "term")  # the terms of one query
-    return found.groupBy(key).agg(F.round(F.sum(score.cast("double")), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    scored = found.groupBy(key).agg(F.round(F.sum(score.cast("double")), 6).alias("score"))
+    return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def snippet(text: Column, q: str, width: int = DEFAULT.snippet) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarn.config import DEFAULT
+from tarn.functions.lang import FUNCTION_WORDS
 from tarn.functions.text import STOP_WORDS
 from tarn.plans.queries import QUERY
 
@@ -69,6 +70,17 @@ ROOT = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 HREFS = r"""regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1, 'i')"""
 SEARCH_TERMS = f"""list_filter(list_transform(flatten(list_transform({PIECES}, lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9]+') THEN [x] ELSE {SEGMENT} END)), lambda t: lower(t)), lambda t: t <> '' AND t NOT IN ({STOP}) AND length(t) <= {DEFAULT.term_limit})"""
 
+LANG_WORDS = f"list_transform(list_filter(string_split_regex(replace(text, chr(10), ''), '{SPACE}'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '[^\\p{{L}}]+$', ''))"
+LANG_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in known)}))) AS {lang}" for lang, known in FUNCTION_WORDS.items())
+LANG_BEST = " ".join(f"WHEN {lang} = greatest({', '.join(FUNCTION_WORDS)}) THEN '{lang}'" for lang in sorted(FUNCTION_WORDS, reverse=True))
+
+
+def _small(limits: str) -> str:
+    """``PAGE_TF`` under other limits."""
+    per_domain, of_term = limits.split()
+    return PAGE_TF.replace(f"r <= {DEFAULT.postings_per_domain})", f"r <= {per_domain})").replace(f"rank <= {DEFAULT.postings_limit})", f"rank <= {of_term})")
+
+
 ORACLES = {
     "url_netloc": f"SELECT page_id, {_netloc('url')} AS netloc FROM pages",
     "url_home": f"SELECT page_id, {_home('url')} AS page_home, {_home(f"('https://' || {_netloc('url')})")} AS host_home FROM pages",
@@ -121,6 +133,20 @@ ORACLES = {
     "search_topk": f"WITH {TF}, {BEST} SELECT doc_id, score FROM best",
     "search_snippet": f"""WITH {TF}, {BEST}, hit AS (SELECT doc_id, score, text, list_min(list_filter([{", ".join(f"strpos(lower(text), '{t}')" for t in QUERY.split())}], lambda x: x > 0)) AS place FROM best JOIN documents USING (doc_id))
       SELECT doc_id, score, substr(text, greatest(coalesce(place, 1) - {DEFAULT.snippet // 4}, 1), {DEFAULT.snippet}) AS snippet FROM hit""",
+    "search_stored": f"""WITH {FRONT}, {PAGE_TF} SELECT url, round(sum(weight), 6) AS score FROM trimmed WHERE term IN ({TERMS}) GROUP BY url ORDER BY score DESC, url LIMIT {DEFAULT.results}""",
+    "search_json": f"WITH {TF}, {BEST} SELECT '{{\"doc_id\":' || doc_id || ',\"score\":' || score || '}}' AS result FROM best",
+    "seed_scan": "SELECT page_id, url FROM pages WHERE page_id < 3",
+    "postings_compacted": f"""WITH {FRONT}, {PAGE_TF}, c AS (SELECT term, count(*) AS n FROM weighted GROUP BY term),
+      due AS (SELECT term FROM c WHERE n > {DEFAULT.compact_over * DEFAULT.postings_limit}::DOUBLE OR CAST(floor({_uniform('term', '0')} * 1000000) AS BIGINT) % 100 < {DEFAULT.compact_percent})
+      SELECT term, url, weight FROM weighted WHERE term NOT IN (SELECT term FROM due) UNION ALL SELECT term, url, weight FROM trimmed WHERE term IN (SELECT term FROM due)""",
+    "small_limits": f"""WITH {FRONT}, {_small('1 3')} SELECT term AS what, url FROM trimmed UNION ALL SELECT 'frontier' AS what, url FROM (
+      SELECT url, row_number() OVER (PARTITION BY lower({_netloc('url')}) ORDER BY {_uniform('page_id', 'domain')}, page_id) AS rank FROM pages) WHERE rank <= 1""",
+    "prosperity_json": f"WITH {PROSPERITY} SELECT prefix, n FROM prosperity WHERE n >= {DEFAULT.prosperous}",
+    "domain_info": f"""WITH p AS (SELECT lower({_netloc('url')}) AS domain, list_transform({HREFS}, lambda h: lower({_netloc(f"({ROOT} || h)")})) AS o FROM pages)
+      SELECT domain, count(*) AS visits, array_to_string(list_sort(list_distinct(flatten(list(o)))), ' ') AS outlinks FROM p GROUP BY domain""",
+    "page_store": f"""SELECT page_id, url, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title, CAST(len({HREFS}) AS INT) AS n_links, lower({_netloc('url')}) AS domain FROM pages""",
+    "indicators": "SELECT count(*) AS rows, CAST(sum(length(url)) AS BIGINT) AS characters, max(length(url)) AS longest, CAST(count(*) FILTER (starts_with(url, 'http://')) AS BIGINT) AS plain FROM pages",
+    "lang_detect": f"SELECT doc_id, CASE WHEN greatest({', '.join(FUNCTION_WORDS)}) = 0 THEN 'und' {LANG_BEST} END AS lang FROM (SELECT doc_id, {LANG_COUNTS} FROM (SELECT doc_id, {LANG_WORDS} AS w FROM documents))",
     "edit_distance": "SELECT p.page_id, CAST(levenshtein(p.url, q.url) AS INT) AS distance FROM pages p JOIN pages q ON q.page_id = p.page_id + 1",
     "json_parse": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type",
     "errors_by_type": "SELECT 'ValueError' AS type, count(*) AS errors FROM pages WHERE NOT contains(html, '</html>') HAVING count(*) > 0",

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.config import DEFAULT
+from tarn.config import DEFAULT, Config
 from tarn.functions import html, lang, text, urls
-from tarn.metrics import error_counts, guarded, ordered_map
+from tarn.metrics import error_counts, guarded, indicators_of, ordered_map
 from tarn.operators import index, links, sample, search
 from tarn.operators.rank_cut import domain_cap, domain_cap_sorted, top_per_key
 from tarn.session import shared_path
-from tarn.sources.store import Store, parse_json, read_scored, write_scored
+from tarn.sources.store import Store, parse_json, read_json, read_scored, write_json, write_scored
 from tarn.streaming import index_stream
 
 QUERY = "er nd tion"
@@ -69,7 +69,7 @@ def search_snippet(spark: SparkSession, d: str) -> DataFrame:
 def search_pages(spark: SparkSession, d: str) -> DataFrame:
     """The whole way over pages: weights, trimmed lists, per-domain cap, ranking."""
     lists = index.trimmed(_page_postings(spark, d))
-    best = search.ranked(lists, search.query_terms(spark, QUERY), "url", F.col("weight"), 1000)
+    best = search.ranked(lists, search.query_terms(spark, QUERY), "url", F.col("weight"), None)
     spread = top_per_key(best.withColumn("domain", F.lower(urls.netloc(url_()))), ["domain"], [F.desc("score"), F.asc("url")], 2)
     return spread.orderBy(F.desc("score"), "url").limit(DEFAULT.results).select("url", "score")
 
@@ -124,8 +124,52 @@ def prosperity_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
     edges = derived_edges(_pages(spark, d, "page_id", "url")).select(F.col("pos").alias("src"), F.col("to").alias("dst"))
-    start = edges.where(F.col("src").isin(0, 1, 2)).select(F.col("src").alias("node"))
-    return links.bfs(start, edges)
+    return links.bfs(seed_scan(spark, d).select(F.col("page_id").alias("node")), edges)
+
+
+def seed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The first three pages' URLs are the entry URLs."""
+    pages = _pages(spark, d, "page_id", "url")
+    first = [r["url"] for r in pages.where("page_id < 3").collect()]
+    return pages.join(F.broadcast(links.seeds(spark, first)), "url").select("page_id", "url")
+
+
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The index written by term, then a search that reads its terms' folders alone."""
+    path, wanted = shared_path(spark, "postings"), search.query_terms(spark, QUERY)
+    index.write_postings(index.trimmed(_page_postings(spark, d)), path)
+    found = index.read_postings(spark, path, [r["term"] for r in wanted.collect()])
+    return search.ranked(found, wanted, "url", F.col("weight"))
+
+
+def postings_compacted(spark: SparkSession, d: str) -> DataFrame:
+    return index.compacted(_page_postings(spark, d).select("term", "url", "weight"), "0")
+
+
+def small_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Trimmed lists and a frontier under other limits than the default ones."""
+    config = Config(postings_limit=3, postings_per_domain=1, frontier_per_domain=1)
+    lists = index.trimmed(_page_postings(spark, d), config).select(F.col("term").alias("what"), "url")
+    front = links.keep_per_domain(_pages(spark, d, "page_id", "url"), "page_id", config=config).select(F.lit("frontier").alias("what"), "url")
+    return lists.unionByName(front)
+
+
+def prosperity_json(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "prosperity")
+    write_json(links.prosperous(_prosperity(_pages(spark, d, "page_id", "url"))), path)
+    return read_json(spark, path, "prefix string, n long")
+
+
+def domain_info(spark: SparkSession, d: str) -> DataFrame:
+    target = shared_path(spark, "visits")
+    index_stream.visit(spark, f"{d}/page[s].parquet", "page_id long, url string, html string", target)
+    return index_stream.domains(spark, target).select("domain", "visits", F.array_join("outlinks", " ").alias("outlinks"))
+
+
+def page_store(spark: SparkSession, d: str) -> DataFrame:
+    target = shared_path(spark, "visits")
+    index_stream.visit(spark, f"{d}/page[s].parquet", "page_id long, url string, html string", target)
+    return spark.read.parquet(f"{target}/pages/*").select("page_id", "url", "title", F.size("href").alias("n_links"), "domain")
 
 
 def frontier_weighted(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +274,15 @@ QUERIES = {
     "search_topk": flagship,
     "search_snippet": search_snippet,
     "search_pages": search_pages,
+    "search_stored": search_stored,
+    "search_json": lambda s, d: search.as_json(flagship(s, d)),
+    "seed_scan": seed_scan,
+    "postings_compacted": postings_compacted,
+    "small_limits": small_limits,
+    "prosperity_json": prosperity_json,
+    "domain_info": domain_info,
+    "page_store": page_store,
+    "indicators": lambda s, d: indicators_of(_pages(s, d, "page_id", "url"), characters=F.sum(F.length("url")).cast("long"), longest=F.max(F.length("url")).cast("long"), plain=F.count_if(F.col("url").startswith("http://"))),
     "edit_distance": edit_distance,
     "json_parse": json_parse,
     "errors_by_type": errors_by_type,

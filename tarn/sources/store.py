@@ -46,6 +46,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_json`` wrote."""
+    return spark.read.schema(schema).json(path)
+
+
 def parse_json(text: Column, schema: str) -> Column:
     """Null for what is not JSON of this schema."""
     return F.from_json(text, schema)

@@ -1,6 +1,9 @@
 """Tokenizing, term analysis, DOM shapes and language."""
 
+import json
+
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import html, lang, text
@@ -35,11 +38,35 @@ def test_shape():
     page = "<html><head><title>t</title></head><body><div><h1>x</h1></div><p><b>y</b></p></body></html>"
     assert html.shape_of(page) == "[[20,[[18,[21]],[19,[[0,[30]]]]]]]"
     assert html.shape_of("") == html.shape_of(None) == ""
-    assert html.shape_of("<html><foo></foo><br><img></html>") == '[[20,["foo"]]]'
+    assert html.shape_of("<html><foo></foo><br><img></html>") == '[[20,[[19,["foo"]]]]]'
     assert len(html.shape_of("<div>" * 100_000)) == 512
     assert len(set(html.TAGS)) == 65
 
 
+def shape(*node):
+    """(tag, child, ...) as the shape writes it."""
+    tag, *inner = node
+    code = html.TAGS.index(tag) if tag in html.TAGS else tag
+    return [code, [shape(*n) if isinstance(n, tuple) else shape(n) for n in inner]] if inner else code
+
+
+@pytest.mark.parametrize(
+    ("page", "tree"),
+    [
+        ("<table><tr><td>a<td><b>x</b><tr><th>c</table>", ("html", ("body", ("table", ("tr", "td", ("td", "b")), ("tr", "th"))))),
+        ("<dl><dt>a<dd><i>x</i><dt>b</dl>", ("html", ("body", ("dl", "dt", ("dd", "i"), "dt")))),
+        ("<select><option>a<option>b</select>", ("html", ("body", ("select", "option", "option")))),
+        ("<title>t</title><div>x</div>", ("html", ("head", "title"), ("body", "div"))),
+        ("<html><head><meta><title>t</title><body><div>x", ("html", ("head", "meta", "title"), ("body", "div"))),
+        ("<table><tr><td><table><tr><td>x</table><td>y</table>", ("html", ("body", ("table", ("tr", ("td", ("table", ("tr", "td"))), "td"))))),
+        ("<div><!-- c --><ul><li><div>left out</div></ul><svg><b></b></svg><h2>x</h2></div>", ("html", ("body", ("div", "h2")))),
+        ("text alone", ("html",)),
+    ],
+)
+def test_shapes_of_hand_made_pages(page, tree):
+    assert html.shape_of(page) == json.dumps([shape(*tree)], separators=(",", ":"))
+
+
 def test_links(spark):
     cases = {"/a": "https://x.com/a", "b": "https://x.com/d/b", "//y.com/c": "https://y.com/c", "http://z.com": "http://z.com"}
     for href, full in cases.items():
