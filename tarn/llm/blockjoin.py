@@ -19,10 +19,10 @@ size. Equal vectors within a tile are compared once, with the ids of the
 ``k + 1`` smallest copies: no more of them can be among the nearest.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do rows with a null id; vectors of other than the
-most frequent width take no part; ties go to the smaller id; repeated rows
-(equal id and vector) are one candidate each, save of their own id's query; an
-empty table gives an empty result; other columns are ignored.
+components take no part, nor do rows with a null id; vectors meet those of their own
+width only, as there is no cosine with others; ties go to the smaller id; repeated rows
+(equal id and vector) are one candidate each, save of their own id's query, and ask
+once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,26 +119,26 @@ def _fit(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     kind = df.schema[vector_col].dataType.simpleString()
     v = F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
-    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return rows.where(F.size("v") == (width["w"] if width else 0))
+    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
 
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's ``k`` nearest others."""
+    """(query_id, rank, vec_id, score): each query row's ``k`` nearest others of its width."""
     rows = _fit(df, id_col, vector_col)
-    queries = rows.where(is_query)
-    n_c, n_q = rows.count(), queries.count()
+    n_c, n_q = rows.agg(F.count("*"), F.count_if(is_query)).first()
     c_blocks, q_blocks = max(1, -(-n_c // C_BLOCK)), max(1, -(-n_q // Q_BLOCK))
+    # Of rows equal in id and vector a block gets ``k + 1`` at most, as no more can be among the nearest.
+    once = rows.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k + 1)).cast("int").alias("n"))
 
     def dealt(side: DataFrame, blocks: int, others: int, asks: bool) -> DataFrame:
         own = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         c, q = (other, own) if asks else (own, other)
-        return side.select("id", "v", F.lit(asks).alias("asks"), c.alias("c"), q.alias("q"))
+        return side.select("id", "v", F.lit(asks).alias("asks"), F.size("v").alias("w"), c.alias("c"), q.alias("q"))
 
-    both = dealt(rows, c_blocks, q_blocks, False).unionByName(dealt(queries, q_blocks, c_blocks, True))
-    found = both.groupBy("c", "q").applyInArrow(_tiles(k), OUT)
+    candidates = once.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    both = dealt(candidates, c_blocks, q_blocks, False).unionByName(dealt(once.where(is_query), q_blocks, c_blocks, True))
+    found = both.groupBy("w", "c", "q").applyInArrow(_tiles(k), OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -155,7 +155,7 @@ WITH v AS (
     AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
 )

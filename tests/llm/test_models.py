@@ -494,6 +494,13 @@ def test_nearest_with_ties_in_small_tiles(spark, monkeypatch):
     assert blockjoin.nearest(df.limit(0), F.col("id") % 5 == 0).count() == 0
 
 
+def test_nearest_of_other_widths_and_of_many_copies(spark):
+    rows = [(5, [1.0, 0.0]), (6, [1.0, 1.0]), (7, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [1.0, 0.1, 0.0])]
+    df = spark.createDataFrame(rows + [(12, [1.0, 0.2, 0.0])] * 40 + [(10, [1.0, 0.0, 0.0])] * 3, "vec_id long, embedding array<float>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in blockjoin.nearest(df, F.col("id") % 5 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(5, 1, 6), (5, 2, 7), (10, 1, 11), (10, 2, 12), (10, 3, 12), (10, 4, 12), (10, 5, 12)]
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(3)
     unit = blockjoin._unit(rng.normal(size=(400, 16)))
@@ -578,7 +585,7 @@ def test_ids_of_documents_and_back(spark, edge):
 @given(st.lists(st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "▁", "ab", "é", "\x00"]), max_size=12).map("".join))
 def test_numbers_of_a_text_are_those_of_its_words(text):
     for known in ([], ["▁a", "▁ab", "\n", "b", "▁", "▁▁a"]):
-        numbers, other = pieces._Numbers(known).of_text(text)
+        numbers, other = pieces.numbers_of(text, {w: i for i, w in enumerate(known)})
         assert [known[x] if x >= 0 else other[i] for i, x in enumerate(numbers)] == pieces.words_of(text)
         assert all(w not in known for w in other.values())
     told = list(pieces._distinct(iter([pa.record_batch([pa.array([text, text])], names=["text"])])))
