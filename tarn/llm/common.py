@@ -18,10 +18,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later plans start
     from the files, so a lost executor costs no recomputation."""
+    return stored_at(df, label)[0]
+
+
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stored``, and the folder."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def released(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared folder that no table is to be read from any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(id_col: Column | str, modulus: int) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import beside_least, stored
+from tarn.llm.common import beside_least, released, stored_at
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -34,11 +34,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) to (node, root): every node that has an edge to
     another one, with the smallest node of its component. The smallest node
     itself is not listed."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now, path = stored_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if not state["n"] or tuple(state) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(state)
-        now = stored(_small_star(_large_star(now)), "edges")
+        before = path
+        now, path = stored_at(_small_star(_large_star(now)), "edges")
+        released(now.sparkSession, before)

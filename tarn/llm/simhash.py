@@ -423,18 +423,14 @@ def set_links(reps: DataFrame, keyed: DataFrame, rows: DataFrame, words: int, si
     return first.unionByName(verified(stored(left.distinct(), "pairs"), rows, words, similarity))
 
 
-def _marked(words: int):
+def _marked(words: int, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column(MARK, pa.array([digest_of(shingles(t, words)) for t in utf8(batch, "text")], pa.binary()))
+            yield batch.append_column(mark, pa.array([digest_of(shingles(t, words)) for t in utf8(batch, "text")], pa.binary()))
 
     return run
 
 
-#: No column of a table may have this name.
-MARK = "__tarn_shingles"
-
-
 def similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The digests (doc_id, fp) of all rows, and for each digest (fp, node, component_id)
     the smallest doc_id that has it and the smallest one of its class."""
@@ -462,11 +458,14 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     ``similar``; columns as they were. Of rows equal in doc_id and shingles one
     stays; rows with a null doc_id stay."""
     rows = docs.withColumn("text", F.col("text").cast("string"))
+    mark = "__shingles"
+    while mark in rows.columns:
+        mark += "_"
     classes = similar_classes(docs, words, similarity)[1]
-    first = classes.where("node = component_id").select(F.col("node").alias("doc_id"), F.col("fp").alias(MARK))
-    marked = rows.where("doc_id is not null").mapInArrow(_marked(words), StructType([*rows.schema.fields, StructField(MARK, BinaryType())]))
-    kept = marked.join(first.select(F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"), MARK), ["doc_id", MARK], "left_semi")
-    return kept.dropDuplicates(["doc_id", MARK]).select(*rows.columns).unionByName(rows.where("doc_id is null"))
+    first = classes.where("node = component_id").select(F.col("node").cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.col("fp").alias(mark))
+    marked = rows.where("doc_id is not null").mapInArrow(_marked(words, mark), StructType([*rows.schema.fields, StructField(mark, BinaryType())]))
+    kept = marked.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.select(*rows.columns).unionByName(rows.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

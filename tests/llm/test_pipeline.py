@@ -1,5 +1,6 @@
 """The pipeline's stages: what each drops, keeps and changes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +50,62 @@ def test_filters_keep_clean_documents(spark, stages):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     clean = labels.where("quality = 1 and toxic = 0").select("doc_id")
     assert stages[0].join(clean, "doc_id").count() - stages[2].join(clean, "doc_id").count() <= 1
+
+
+HARD = [
+    (1, None, "en", "a", 0, 7, "x"),
+    (2, "", None, "a", 0, 8, "x"),
+    (3, "a b c", "en", None, 5, 9, "x"),
+    (3, "a b c", "en", None, 5, 9, "x"),
+    (3, "another text under the same number", "en", "b", 34, 9, "x"),
+    (None, "a b c", "fr", "a", 5, None, None),
+    (None, None, None, None, None, None, None),
+    (5, "word " * 30_000, "en", "a", 150_000, 1, "x"),
+    (6, "é中文🙂 password=hunter2hunter2 x", "en", "a", None, 1, "x"),
+    (7, "one two three four five six seven eight nine ten eleven twelve", "en", "a", 62, 1, "x"),
+    (8, "one two three four five six seven eight nine ten eleven twelve thirteen", "en", "a", 71, 1, "x"),
+]
+#: Names that operators use themselves.
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, component_id long, fp string"
+
+
+def test_stages_on_hard_rows(spark):
+    docs = spark.createDataFrame(HARD, CLASH)
+    clash = docs.withColumnsRenamed({"component_id": "label", "fp": "score"})
+    for table in (docs, clash, docs.withColumnRenamed("fp", "__tarn_shingles"), docs.limit(0)):
+        now, n = table, table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, now, SMALL), name)
+            if name != "packing":
+                assert out.dtypes == table.dtypes, name
+            now = out
+        if n:
+            ids_left = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in now.select("doc_id").distinct().collect())
+            # rows 1 and 2 are one class, 7 and 8 another; of 3 both texts stay
+            assert ids_left == [(False, 0), (True, 1), (True, 3), (True, 5), (True, 6), (True, 7)]
+            assert now.where("doc_id = 3 and piece = 0").count() == 2
+        else:
+            assert now.count() == 0
+
+
+def test_near_copies_from_the_similarity_on_are_found(spark):
+    """Of pairs made to any similarity, those of 0.8 or more, by brute force, are all found."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)]
+    rows = []
+    for length in (12, 30, 80, 300):
+        for changed in range(0, max(2, length // 8)):
+            base = list(rng.choice(words, length))
+            other = list(base)
+            for at in rng.choice(length, changed, replace=False):
+                other[at] = str(rng.choice(words))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        x, y = grams(a), grams(b)
+        assert i in kept and (j in kept) == (5 * len(x & y) < 4 * len(x | y)), (i, len(x & y) / len(x | y))
