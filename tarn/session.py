@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -70,6 +73,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def shared_paths() -> Iterator[list[str]]:
+    """The paths that ``shared_path`` gives to this thread within the block."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
