@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tarn import session
 from tarn.llm import packing, quality, secrets, simhash, toxicity
 from tarn.llm.common import stored
 
@@ -109,3 +110,10 @@ def test_near_copies_from_the_similarity_on_are_found(spark):
     for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
         x, y = grams(a), grams(b)
         assert i in kept and (j in kept) == (5 * len(x & y) < 4 * len(x | y)), (i, len(x & y) / len(x | y))
+
+
+def test_run_leaves_its_last_table_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["packing"]
+    assert out.count() > 0
