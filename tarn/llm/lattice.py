@@ -60,7 +60,7 @@ KINDS = (*FUNCTION_WORDS, "other")
 #: Words whose scores every task gets at once (about 40 MB), and distinct words that a task counts before it passes them on.
 HOT, HELD = 200_000, 300_000
 #: Words of up to so many bytes are worked on many at a time, which changes no number; characters that are worked on together.
-SHORT, CELLS, GATHERED = 64, 200_000, 20_000
+SHORT, CELLS, GATHERED = 64, 200_000, 60_000
 
 
 @lru_cache(2)
