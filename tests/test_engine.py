@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tarn.config import Config
 from tarn.operators import index, links, sample, search
 from tarn.plans.oracles import ORACLES
 from tarn.plans.queries import QUERIES
-from tarn.metrics import error_counts, guarded
+from tarn.metrics import error_counts, errors_by_place, guarded, indicators_of, quarantined
 from tarn.session import shared_path
 from tarn.sources.store import Store, read_scored, write_scored
+from tarn.streaming import index_stream
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -76,6 +78,57 @@ def test_errors_are_counted_and_others_go_on(spark):
     assert out.where("k = 1").first()["result"] == 1
 
 
+def test_errors_have_a_place_and_a_bounded_log(spark):
+    df = spark.createDataFrame([(i, "x" if i % 2 else str(i)) for i in range(40)], "k long, v string")
+    out = guarded(df, "k", "v", int, "long").cache()
+    (only,) = errors_by_place(out).collect()
+    assert only["key"].endswith("]ValueError") and only["key"].startswith("[") and only["errors"] == 20
+    log = quarantined(out, "k", 5).collect()
+    assert [r["k"] for r in log] == [39, 37, 35, 33, 31] and all("ValueError" in r["trace"] for r in log)
+
+
+def test_indicators_of_an_empty_and_a_full_table(spark):
+    df = spark.range(10).select("id", (F.col("id") % 3).alias("m"))
+    assert tuple(indicators_of(df, most=F.max("m")).first()) == (10, 2)
+    assert tuple(indicators_of(df.limit(0), most=F.max("m")).first()) == (0, None)
+
+
+POSTINGS = [("cat", f"https://a{i % 3}.com/{i}", float(i)) for i in range(30)] + [("dog", "https://a.com/1", 2.0), ("dog", "https://b.com/1", 3.0)]
+
+
+def test_stored_postings_are_read_by_term(spark):
+    rows, path = spark.createDataFrame(POSTINGS, "term string, url string, weight double"), shared_path(spark, "test")
+    index.write_postings(rows, path, 8)
+    assert sorted(map(tuple, index.read_postings(spark, path).collect())) == sorted(POSTINGS)
+    some = index.read_postings(spark, path, ["dog", "none"], 8)
+    assert sorted(map(tuple, some.collect())) == [r for r in sorted(POSTINGS) if r[0] == "dog"]
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().toString()
+    assert index.read_postings(spark, path, []).count() == 0
+
+
+def test_compaction_cuts_lists_that_are_due_alone(spark):
+    rows, config = spark.createDataFrame(POSTINGS, "term string, url string, weight double"), Config(postings_limit=4, postings_per_domain=2, compact_percent=0)
+    got = sorted(map(tuple, index.compacted(rows, "", config).collect()))
+    # 2 of each of 3 domains, then the 4 heaviest; two postings are not over the limit
+    assert sorted(r[2] for r in got if r[0] == "cat") == [26.0, 27.0, 28.0, 29.0]
+    assert [r for r in got if r[0] == "dog"] == [r for r in sorted(POSTINGS) if r[0] == "dog"]
+    again = index.compacted(spark.createDataFrame(got, rows.schema), "", config)
+    assert sorted(map(tuple, again.collect())) == got
+    every = Config(postings_limit=4, postings_per_domain=1, compact_percent=100)
+    assert index.compacted(rows, "", every).where("term = 'dog'").count() == 2
+
+
+def test_visits_of_several_batches_add_up(spark, tmp_path):
+    pages = [(1, "https://a.com/1", '<a href="/2">x</a><a href="https://b.com/">y</a>'), (2, "https://A.com/2", "<p>no links</p>"), (3, "http://c.com/", '<a href="//d.com/z">z</a>')]
+    schema, target = "page_id long, url string, html string", shared_path(spark, "test")
+    for i, part in enumerate((pages[:1], pages[1:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        index_stream.visit(spark, f"file://{tmp_path}/in", schema, target)
+        assert spark.read.parquet(f"{target}/pages/*").count() == (1, 3)[i]
+    got = {r["domain"]: (r["visits"], list(r["outlinks"])) for r in index_stream.domains(spark, target).collect()}
+    assert got == {"a.com": (2, ["a.com", "b.com"]), "c.com": (1, ["d.com"])}
+
+
 def test_bfs_on_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1)], "src long, dst long")
     start = spark.createDataFrame([(1,)], "node long")
