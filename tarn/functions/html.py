@@ -27,6 +27,12 @@ def title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
+def description(html: Column) -> Column:
+    """What the page's meta tag says of it, or an empty string."""
+    tag = F.regexp_extract(html, r"""(?is)(<meta\s[^>]*name=["']?description(?=["'\s/>])[^>]*>)""", 1)
+    return F.regexp_extract(tag, r"""(?is)\scontent=(["'])(.*?)\1""", 2)
+
+
 def hrefs(html: Column) -> Column:
     """The links of ``a`` tags, in order."""
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT, Config
-from tarn.functions.html import absolute, hrefs, title, visible
+from tarn.functions.html import absolute, description, hrefs, title, visible
 from tarn.functions.urls import netloc, prefixes
 from tarn.operators.rank_cut import top_per_key
 from tarn.operators.sample import uniform, weighted
@@ -20,7 +20,7 @@ def page_records(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         title(html).alias("title"),
-        F.lit("").alias("description"),
+        description(html).alias("description"),
         visible(html).alias("text"),
         F.transform(hrefs(html), lambda h: absolute(url, h)).alias("href"),
         url.alias("final_url"),

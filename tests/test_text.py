@@ -67,6 +67,16 @@ def test_shapes_of_hand_made_pages(page, tree):
     assert html.shape_of(page) == json.dumps([shape(*tree)], separators=(",", ":"))
 
 
+def test_description(spark):
+    for page, said in {
+        '<meta name="description" content="A \'short\' text"><p>x': "A 'short' text",
+        "<META content='about it' name=description>": "about it",
+        '<meta name="keywords" content="a, b">': "",
+        "": "",
+    }.items():
+        assert one(spark, page, html.description) == said
+
+
 def test_links(spark):
     cases = {"/a": "https://x.com/a", "b": "https://x.com/d/b", "//y.com/c": "https://y.com/c", "http://z.com": "http://z.com"}
     for href, full in cases.items():
