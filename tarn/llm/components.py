@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round replaces edges by edges to smaller neighbours until every node hangs
-on the smallest node of its component. The result of a round is written to the shared folder, so lineage stays
-short and nothing but two numbers comes to the driver. In large stars a node with many
-neighbours is split among tasks; small stars have but a node's smaller neighbours.
+on the smallest node of its component. The result of a star is written to the shared folder, so lineage stays
+short and nothing but two numbers comes to the driver. A node with many neighbours is split
+among tasks.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    down = beside_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "a", "b")
+    moved = down.select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return moved.unionByName(down.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -41,6 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state["n"] or tuple(state) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(state)
-        before = path
-        now, path = stored_at(_small_star(_large_star(now)), "edges")
-        released(now.sparkSession, before)
+        for star in (_large_star, _small_star):  # each a plan of its own
+            before = path
+            now, path = stored_at(star(now), "edges")
+            released(now.sparkSession, before)
