@@ -17,7 +17,8 @@ For the similarity of shingle sets, 64 bits say too little: sets of Jaccard
 similarity 0.8 differ in about ten. ``similar`` compares the sets themselves
 (by 64-bit hashes of the shingles). Its pairs meet under the hashes of a prefix
 of each set, rarest first, which two sets of the similarity asked for always share;
-sizes and bitmaps drop only pairs that cannot have it, and the rest is verified.
+sizes and bitmaps (short ones with the keys, then ones as wide as the sets need) drop
+only pairs that cannot have it, and the rest is verified on the texts.
 
 Defined cases: null and empty texts have the zero fingerprint and link like any
 other; rows with a null ``doc_id`` have a fingerprint but make no link and have
@@ -397,10 +398,48 @@ def texts_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null").mapInArrow(_may_be(sent), rows.schema)
 
 
+def wide_bitmap(hashes: np.ndarray) -> bytes:
+    """As ``bitmap``, of two to four bits for each hash; the halves of a wider one of the same set, by
+    exclusive or, are the narrower one."""
+    width = 64 << max(0, math.ceil(math.log2(max(1, len(hashes)) / 32)))
+    bits = np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in utf8(batch, "text")]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(map(wide_bitmap, sets), pa.binary())], names=["node", "size", "bits"])
+
+    return run
+
+
+def wide_possible(similarity: float, m: int, p: bytes, n: int, q: bytes) -> bool:
+    """Whether sets of sizes ``m`` and ``n`` with these wide bitmaps can have the similarity."""
+    x, y = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (1 - similarity) / (1 + similarity) * (m + n) + EPS
+
+
+def _wide_pairs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("m", "p", "n", "q")))
+            yield batch.select(["a", "b"]).filter(pa.array([wide_possible(similarity, *r) for r in rows], pa.bool_()))
+
+    return run
+
+
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts' sets of shingles have this Jaccard similarity."""
+    """Those of ``pairs`` (a, b) whose texts' sets of shingles have this Jaccard similarity.
+    Bitmaps as wide as the sets need come first; only pairs that they leave open take the texts along."""
     found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows), "candidate-texts")
-    full = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    wide = stored(found.mapInArrow(_wide(words), "node long, size long, bits binary"), "candidate-bits")
+    met = pairs.join(wide.toDF("a", "m", "p"), "a").join(wide.toDF("b", "n", "q"), "b")
+    near = stored(met.select("a", "b", "m", "p", "n", "q").mapInArrow(_wide_pairs(similarity), "a long, b long").distinct(), "near-pairs")
+    full = near.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return stored(full.select("a", "b", "x", "y").mapInArrow(_alike(words, similarity), "a long, b long"), "verified")
 
 

@@ -318,6 +318,18 @@ def test_sequences_are_views_of_the_file(spark, docs):
     assert not ids.flags.owndata
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 99))
+def test_bitmaps_drop_no_pair_that_has_the_similarity(both, left, right, seed):
+    x = np.random.default_rng(seed).integers(0, 2**64, both + left + right, np.uint64)
+    a, b = np.unique(x[: both + left]), np.unique(np.r_[x[:both], x[both + left :]])
+    alike = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    possible = simhash.wide_possible(0.8, len(a), simhash.wide_bitmap(a), len(b), simhash.wide_bitmap(b))
+    assert possible or not alike
+    if min(len(a), len(b)) > max(200, 0.8 * max(len(a), len(b))) and len(np.intersect1d(a, b)) < 0.5 * len(np.union1d(a, b)):
+        assert not possible
+
+
 def test_special_strings_are_their_token_in_files_and_pieces(spark):
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in token_files.read_token_files(token_files.write_token_files(df, shared_path(spark, "test"))).collect()}
