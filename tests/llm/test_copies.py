@@ -380,3 +380,29 @@ def test_similar_is_brute_force_jaccard(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
     assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_components_take_few_rounds_and_are_brute_force(spark, monkeypatch):
+    """Chains, stars and random graphs: one forest and one last task, whatever the length of a chain;
+    the same with every bound far below the edges, where stars and partial forests do it."""
+    rng = np.random.default_rng(9)
+    pairs = [(i, i + 1) for i in range(0, 1500)] + [(5000, i) for i in range(5001, 5400)]
+    pairs += [tuple(map(int, rng.integers(6000, 7000, 2))) for _ in range(700)] + [(8000, 8000), (9001, 9000)]
+    pairs = [pairs[i] for i in rng.permutation(len(pairs))]
+    least = {i: i for p in pairs for i in p}
+    while True:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    wanted = {i: r for i, r in least.items() if i != r}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    made, stored_at = [], components.stored_at
+    monkeypatch.setattr(components, "stored_at", lambda df, label: made.append(label) or stored_at(df, label))
+    assert {r["node"]: r["root"] for r in components.connected_components(edges).collect()} == wanted
+    assert len(made) == 2
+    monkeypatch.setattr(components, "ONE", 50)
+    got = components.connected_components(edges).collect()
+    assert {r["node"]: r["root"] for r in got} == wanted and len(got) == len(wanted) and len(made) > 5
+    assert components.connected_components(edges.limit(0)).count() == 0
