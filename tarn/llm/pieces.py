@@ -15,9 +15,10 @@ wherever a piece's parts rank before it, as training makes them; of the words of
 the test tables none differs. Characters without an edge become byte pieces.
 
 ``document_ids`` gives each document's ids, in order, and ``decoded`` its text from
-them. ``encode_documents`` gives numbers about the same ids without moving them: for
-it the numbers of the ``HOT`` most frequent words go to the tasks as one table of
-bounded size, and all other words are joined with the word table by a shuffle.
+them. ``encode_documents`` makes the same ids and gives numbers about them, the decoded
+text's digest against that of the text among them. The ids of the ``HOT`` most frequent
+words go to the tasks as one table of bounded size; all other words are joined with the
+word table by a shuffle and their ids brought to their documents.
 
 Defined cases: null and empty texts have no pieces; repeated rows each come out;
 rows with a null doc_id are encoded; an empty table gives an empty result; other
@@ -27,21 +28,23 @@ so it makes no round trip. A word has fewer than 2^24 characters.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import stored, texts, utf8
+from tarn.llm.common import released, stored, stored_at, texts
 
 MARK = "▁"
 #: Words: a run of marks with what follows, and control characters, which no piece holds, on their own.
@@ -50,6 +53,8 @@ _CONTROL = re.compile(r"[\x00-\x1f]")
 HOT, HELD = 300_000, 500_000
 #: Words whose edges one task groups in memory; with more it sorts them.
 GROUPED = 200_000
+#: Parts that the words beyond the hot ones, and then the documents, are moved in; words put together at once.
+WORD_PARTS, PARTS, PORTION = 2, 4, 1 << 19
 #: A document's digest: the sum over its words of ``BASE`` to the word's place times the
 #: word's own digest, the sum over its pieces of ``INNER`` to the piece's place times id + 1.
 PRIME, BASE, INNER = 2**31 - 1, 48_271, 69_621
@@ -326,30 +331,6 @@ def digests(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (sums[offsets[1:]] - sums[offsets[:-1]]) % PRIME
 
 
-def _summed(name: str):
-    """Of each word's ids their number, their digest, and if they decode to the word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = texts_of(name)
-        size_of = np.zeros(max(text_of) + 1, np.int64)
-        size_of[list(text_of)] = [len(t) for t in text_of.values()]
-        for batch in batches:
-            column, words = batch.column("ids"), utf8(batch, "word")
-            ids, offsets = column.flatten().to_numpy().astype(np.int64), column.offsets.to_numpy().astype(np.int64)
-            offsets -= offsets[0]
-            ends = np.concatenate([[0], np.cumsum(size_of[ids])])
-            parts = list(map(text_of.__getitem__, ids.tolist()))
-            whole = ends[offsets[1:]] - ends[offsets[:-1]] == [len(w) for w in words]
-            if not whole.all() or b"".join(parts) != b"".join(words):
-                whole = np.array([b"".join(parts[a:b]) == w for a, b, w in zip(offsets.tolist(), offsets[1:].tolist(), words)], bool)
-            yield pa.record_batch(
-                [batch.column("word"), batch.column("n"), pa.array(np.diff(offsets)), pa.array(digests(ids, offsets)), pa.array(whole)],
-                names=["word", "n", "pieces", "digest", "whole"],
-            )
-
-    return run
-
-
 def word_table(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
     """(word, n, ids): every distinct word of ``docs`` (text), its count, its ids."""
     pieces, byte_ids, fold = vocabulary(name)
@@ -409,85 +390,151 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return out[:n]
 
 
-def _marked(hot: Broadcast):
+def _read(hot: Broadcast):
+    """Of each text a digest and its words in their order: numbers of hot words, and below 0, from -1 down,
+    places in the text's own list of other words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pieces, digests, whole = hot.value
-        number, power = {w: i for i, w in enumerate(words)}, powers(1 << 16)
+        number = {w: i for i, w in enumerate(hot.value)}
         for batch in batches:
-            rows, offsets, tail, ns, places = [], [0], [], [], []
+            marks, numbers, offsets, tail, ends = [], [np.zeros(0, np.int32)], [0], [], [0]
             for text in texts(batch, "text"):
                 x, other = numbers_of(text, number)
-                if len(x) > len(power):
-                    power = powers(2 * len(x))
-                n_words, at = len(x), np.flatnonzero(x >= 0)
-                x = x[at]
-                rows.append((n_words, int(pieces[x].sum()), int((power[at] * digests[x] % PRIME).sum() % PRIME), MARK not in text and bool(whole[x].all())))
-                counts: dict[str, tuple[int, int]] = {}
-                for i, w in other.items():
-                    n, place = counts.get(w, (0, 0))
-                    counts[w] = n + 1, (place + int(power[i])) % PRIME
-                tail += counts
-                ns += [n for n, _ in counts.values()]
-                places += [p for _, p in counts.values()]
-                offsets.append(len(tail))
-            cols = list(zip(*rows)) or [()] * 4
-            rest = pa.StructArray.from_arrays([pa.array(tail, pa.string()), pa.array(ns, pa.int64()), pa.array(places, pa.int64())], names=["word", "n", "places"])
-            yield pa.record_batch(
-                [batch.column("key"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)],
-                names=["key", "doc_id", "n_words", "pieces", "digest", "whole", "tail"],
-            )
+                places: dict[str, int] = {}
+                if other:
+                    x[list(other)] = [-1 - places.setdefault(w, len(places)) for w in other.values()]
+                marks.append(digest_of(text))
+                numbers.append(x.astype(np.int32))
+                offsets.append(offsets[-1] + len(x))
+                tail += places
+                ends.append(len(tail))
+            numbers = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(numbers)))
+            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail, pa.string()))
+            yield pa.record_batch([batch.column("key"), batch.column("doc_id"), pa.array(marks, pa.binary()), numbers, tail], names=["key", "doc_id", "mark", "numbers", "tail"])
+
+    return run
+
+
+def digest_of(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins and the last one ends."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _assembled(hot: Broadcast):
+    """Each document's ids in their order, from those of its words, and how many each word has. Rows come
+    in order of key: for each key one with the document's ``numbers``, the others with the ids of the words of its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows + len(batch.column("numbers").flatten())
+            if size < PORTION:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = rows["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield whole(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+            size = sum(b.num_rows + len(b.column("numbers").flatten()) for b in held)
+        if sum(b.num_rows for b in held):
+            yield whole(pa.Table.from_batches(held))
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        hot_ids, hot_ends = hot.value
+        is_word = pc.is_valid(rows["j"])
+        docs, tails = (rows.filter(x).combine_chunks() for x in (pc.invert(is_word), is_word))
+        number, words = _flat(_one(docs["numbers"]))
+        own_ids, own_ends = _flat(_one(tails["ids"]))
+        place, keys, of_word = tails["j"].to_numpy(), docs["key"].to_numpy(), tails["key"].to_numpy()
+        firsts = np.searchsorted(of_word, keys)
+        entry = np.empty(len(place), np.int64)  # of a document's word at each place of its list
+        entry[firsts[np.searchsorted(keys, of_word)] + place] = np.arange(len(place))
+        word = number.astype(np.int64)
+        rare = np.flatnonzero(word < 0)
+        word[rare] = len(hot_ends) - 1 + entry[np.repeat(firsts, np.diff(words))[rare] - 1 - word[rare]]
+        starts = np.concatenate([hot_ends[:-1], len(hot_ids) + own_ends[:-1]])
+        size = np.concatenate([np.diff(hot_ends), np.diff(own_ends)])[word]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = np.concatenate([hot_ids, own_ids])[np.repeat(starts[word] - ends[:-1], size) + np.arange(ends[-1])]
+        lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x.astype(np.int32))) for o, x in ((ends[words], out), (words, size))]
+        return pa.record_batch([_one(docs["doc_id"]), _one(docs["mark"]), *lists], names=["doc_id", "mark", "ids", "sizes"])
 
     return run
 
 
+def numbered(batches: Iterator[pa.RecordBatch], name: str = "piece_bpe_32k.model") -> Iterator[pa.RecordBatch]:
+    """Of documents' ``ids``, with the ``sizes`` of their words, the numbers and the digest, and whether
+    the ids, decoded, are the text of which ``mark`` is the digest."""
+    for batch in batches:
+        (ids, ends), (sizes, words) = _flat(batch.column("ids")), _flat(batch.column("sizes"))
+        ids, place = ids.astype(np.int64), np.arange(len(sizes)) - np.repeat(words[:-1], np.diff(words))
+        of_word = digests(ids, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        sums = np.concatenate([[0], np.cumsum(powers(int(place.max(initial=0)) + 1)[place] * of_word % PRIME)])
+        listed = ids.tolist()
+        same = [digest_of(decode(listed[a:b], name)) == m for a, b, m in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("mark").to_pylist())]
+        cols = [batch.column("doc_id"), *map(pa.array, (np.diff(words), np.diff(ends), (sums[words[1:]] - sums[words[:-1]]) % PRIME)), pa.array(same, pa.bool_())]
+        yield pa.record_batch(cols, names=["doc_id", "n_words", "n_pieces", "ids_digest", "round_trip"])
+
+
+def _encoded(docs: DataFrame, name: str, hot_words: int, told, shape: str) -> DataFrame:
+    """What ``told`` makes of all documents' ids. The words beyond the hot ones meet the word table, and
+    then their documents, in parts one after the other, so that the shuffles of
+    one part at a time are on disk."""
+    spark = docs.sparkSession
+    with in_memory(spark):
+        table, table_at = stored_at(word_table(docs, name), "word-table")
+        hot = table.where(frequent(table, hot_words)).select("word", "ids").toArrow()  # at most ``hot_words`` rows
+        words, hot_ids = spark.sparkContext.broadcast(hot["word"].to_pylist()), spark.sparkContext.broadcast(_flat(_one(hot["ids"])))
+        given = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        rows, rows_at = stored_at(given.mapInArrow(_read(words), "key long, doc_id long, mark binary, numbers array<int>, tail array<string>"), "document-words")
+        tails = rows.select("key", F.posexplode("tail").alias("j", "word"))
+
+        def part(column: str, i: int, parts: int) -> Column:
+            return F.pmod(F.xxhash64(column), F.lit(parts)) == i
+
+        def met(i: int) -> DataFrame:
+            here = part("word", i, WORD_PARTS)
+            return tails.where(here).join(table.where(here).select("word", "ids"), "word").select("key", "j", "ids")
+
+        def whole(i: int) -> DataFrame:
+            both = rows.drop("tail").unionByName(found, allowMissingColumns=True).where(part("key", i, PARTS)).select("key", "doc_id", "mark", "numbers", "j", "ids")
+            return both.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: told(_assembled(hot_ids)(batches)), shape)
+
+        moved = [stored_at(met(i), "tail-ids") for i in range(WORD_PARTS)]
+        released(spark, table_at)
+        found = reduce(DataFrame.unionByName, [df for df, _ in moved])
+        done = [stored(whole(i), "encoded") for i in range(PARTS)]
+    for path in (rows_at, *(at for _, at in moved)):
+        released(spark, path)
+    return reduce(DataFrame.unionByName, done)
+
+
 def encode_documents(docs: DataFrame, name: str = "piece_bpe_32k.model", hot_words: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_pieces, ids_digest, round_trip) of every row of ``docs``:
     how many words and pieces, the digest of its ids in their order, and whether
-    they decode to its text."""
-    spark = docs.sparkSession
-    with in_memory(spark):
-        table = stored(word_table(docs, name).mapInArrow(_summed(name), "word string, n long, pieces long, digest long, whole boolean"), "word-pieces")
-    hot = table.where(frequent(table, hot_words)).select("word", "pieces", "digest", "whole").toArrow()  # at most ``hot_words`` rows
-    known = (hot["word"].to_pylist(), *(hot[c].to_numpy() for c in ("pieces", "digest", "whole")))
-    given = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "key long, doc_id long, n_words long, pieces long, digest long, whole boolean, tail array<struct<word:string,n:long,places:long>>"
-    rows = stored(given.mapInArrow(_marked(spark.sparkContext.broadcast(known)), shape), "document-words")
-    rest = (
-        rows.select("key", F.explode("tail").alias("t"))
-        .select("key", "t.word", F.col("t.n").alias("k"), "t.places")
-        .join(table.drop("n"), "word")
-        .groupBy("key")
-        .agg(F.sum(F.col("k") * F.col("pieces")).alias("p"), F.sum(F.col("places") * F.col("digest") % PRIME).alias("d"), F.min("whole").alias("w"))
-    )
-    zero = F.lit(0).cast("long")
-    return rows.drop("tail").join(rest, "key", "left").select(
-        "doc_id",
-        "n_words",
-        (F.col("pieces") + F.coalesce("p", zero)).alias("n_pieces"),
-        ((F.col("digest") + F.coalesce("d", zero)) % PRIME).alias("ids_digest"),
-        (F.col("whole") & F.coalesce("w", F.lit(True))).alias("round_trip"),
-    )
+    they decode to its text; all from the ids that ``document_ids`` gives."""
+    return _encoded(docs, name, hot_words, lambda batches: numbered(batches, name), "doc_id long, n_words long, n_pieces long, ids_digest long, round_trip boolean")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ids_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column("key"), batch.column("doc_id"), pa.array(map(words_of, texts(batch, "text")), pa.list_(pa.string()))], names=["key", "doc_id", "words"])
+        yield batch.select(["doc_id", "ids"])
 
 
 def document_ids(docs: DataFrame, name: str = "piece_bpe_32k.model", hot_words: int = HOT) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text), ids in order. Each word's
-    ids move with it, a few times the size of the texts."""
-    with in_memory(docs.sparkSession):
-        table = stored(word_table(docs, name), "word-table")
-    is_hot = frequent(table, hot_words)
-    given = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(given.mapInArrow(_listed, "key long, doc_id long, words array<string>"), "document-words")
-    words = rows.select("key", F.posexplode("words").alias("at", "word"))
-    near = words.join(F.broadcast(table.where(is_hot).select("word", F.col("ids").alias("hot"))), "word", "left")  # at most ``hot_words`` rows
-    far = near.where("hot is null").select("key", "at", "word").join(table.where(~is_hot).select("word", "ids"), "word")
-    placed = near.where("hot is not null").select("key", "at", F.col("hot").alias("ids")).unionByName(far.select("key", "at", "ids"))
-    grouped = placed.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.select("key", "doc_id").join(grouped, "key", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """(doc_id, ids) of every row of ``docs`` (doc_id, text), ids in order."""
+    return _encoded(docs, name, hot_words, _ids_alone, "doc_id long, ids array<int>")
 
 
 def _decoded(name: str):

@@ -581,6 +581,29 @@ def test_ids_of_documents_and_back(spark, edge):
     assert pieces.document_ids(edge.limit(0)).count() == 0
 
 
+def test_numbers_come_from_the_documents_ids(spark):
+    """The query's numbers are those of ids that documents have, and a document whose ids are others decodes to another text."""
+    texts = ["one two  three", "", "two unheard-of words: é中🙂 xqzzyx two", "tail first xqzzyx"]
+    known = spark.sparkContext.broadcast((np.zeros(0, np.int32), np.zeros(1, np.int64)))
+    model = sentencepiece_model()
+    rows = []
+    for key, t in enumerate(texts):
+        places = {w: j for j, w in enumerate(dict.fromkeys(pieces.words_of(t)))}
+        tail = [{"j": j, "ids": model.encode(w.replace("▁", " ")[w.startswith("▁") :]) if w.strip("▁") else [model.piece_to_id(w)]} for w, j in places.items()]
+        doc = {"key": key, "doc_id": key, "mark": pieces.digest_of(t), "numbers": [-1 - places[w] for w in pieces.words_of(t)]}
+        rows += [*({"key": key} | x for x in tail[::-1]), doc]
+    kinds = {"key": pa.int64(), "doc_id": pa.int64(), "mark": pa.binary(), "numbers": pa.list_(pa.int32()), "j": pa.int32(), "ids": pa.list_(pa.int32())}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+    (whole,) = pieces._assembled(known)(iter([batch]))
+    assert whole.column("ids").to_pylist() == [model.encode(t) for t in texts]
+    (got,) = pieces.numbered(iter([whole]))
+    assert got.column("round_trip").to_pylist() == [True] * 4
+    assert got.column("ids_digest").to_pylist() == [digest_of_ids(t, model.encode(t)) for t in texts]
+    other = [x[::-1] for x in whole.column("ids").to_pylist()]
+    (bad,) = pieces.numbered(iter([whole.set_column(2, "ids", pa.array(other, pa.list_(pa.int32())))]))
+    assert bad.column("round_trip").to_pylist() == [False, True, False, False]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "▁", "ab", "é", "\x00"]), max_size=12).map("".join))
 def test_numbers_of_a_text_are_those_of_its_words(text):
