@@ -6,6 +6,8 @@ of each group of near copies, mask secrets, pack into sequences.
 
 Near copies have sets of five-word shingles of a Jaccard similarity of 0.8 or
 more, or a chain of such documents between them; of a group the smallest doc_id stays.
+They meet by SimHash fingerprints first, checked on the sets; pairs that fingerprints cannot tell
+meet by the hashes of their sets.
 
 Defined cases: rows with a null doc_id form no group and stay; of rows that share a doc_id each
 text stays once; null and empty texts are one group; an empty table gives an empty result; columns of

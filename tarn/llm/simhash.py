@@ -15,7 +15,9 @@ classes is lost.
 
 For the similarity of shingle sets, 64 bits say too little: sets of Jaccard
 similarity 0.8 differ in about ten. ``similar`` compares the sets themselves
-(by 64-bit hashes of the shingles). Its pairs meet under the hashes of a prefix
+(by 64-bit hashes of the shingles). It begins with the pairs that the fingerprints link,
+by the same blocks as above, and checks them on the texts. What is still apart then, and
+fingerprints cannot tell, meets under the hashes of a prefix
 of each set, rarest first, which two sets of the similarity asked for always share;
 sizes and bitmaps (short ones with the keys, then ones as wide as the sets need) drop
 only pairs that cannot have it, and the rest is verified on the texts.
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tarn.llm.common import stored, utf8
+from tarn.llm.common import beside_least, stored, utf8
 from tarn.llm.components import connected_components
 
 SEED = 42
@@ -269,7 +271,8 @@ def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in utf8(batch, "text")]
-            yield pa.record_batch([batch.column(0), pa.array(map(digest_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(bitmap, sets), pa.binary())], names=["doc_id", "fp", "size", "bits"])
+            prints = pa.array(np.array([fingerprint(t, words) for t in utf8(batch, "text")], np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column(0), pa.array(map(digest_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(bitmap, sets), pa.binary()), prints], names=["doc_id", "fp", "size", "bits", "print"])
 
     return run
 
@@ -443,14 +446,24 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -
     return stored(full.select("a", "b", "x", "y").mapInArrow(_alike(words, similarity), "a long, b long"), "verified")
 
 
+def print_links(reps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(a, b) edges that connect all ``reps`` (node, print) whose fingerprints differ in at most ``max_bits`` bits."""
+    one = stored(reps.groupBy("print").agg(F.min("node").alias("node")).select(F.col("print").alias("fp"), "node"), "prints")
+    same = beside_least(reps.select("print", "node"), "print", "node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    far = links(one, max_bits, enough_blocks(one.count(), max_bits))
+    return same.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a <> b").distinct()
+
+
 def set_links(reps: DataFrame, keyed: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) edges that connect all ``reps`` (node, size, bits) whose sets have this
-    similarity. Such sets share a key of ``keyed`` (key, node). First each row is
+    """(a, b) edges that connect all ``reps`` (node, size, bits, print) whose sets have this
+    similarity. First come the pairs that their fingerprints link. Sets of this similarity also share
+    a key of ``keyed`` (key, node): with the first ones each row is
     compared with the smallest node of each of its keys, which connects large groups
     by few comparisons; then the pairs of a key that are still apart."""
     least = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
     shared = stored(keyed.join(least, "key"), "shared-keys")
-    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    stars = stored(print_links(reps), "print-links").unionByName(stars).distinct()
     stars = stars.join(reps.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("p")), "a").join(reps.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("q")), "b")
     first = verified(stored(stars.select("a", "b", "m", "n", "p", "q").mapInArrow(_possible_pairs(similarity), "a long, b long"), "stars"), rows, words, similarity)
     roots = connected_components(first)
@@ -475,9 +488,9 @@ def similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[Dat
     the smallest doc_id that has it and the smallest one of its class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
-    about = stored(rows.mapInArrow(_described(words), "doc_id long, fp binary, size long, bits binary"), "shingle-sets")
-    least = about.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "size", "bits")).alias("m"))
-    reps = stored(least.select("fp", F.col("m.doc_id").alias("node"), "m.size", "m.bits"), "reps")
+    about = stored(rows.mapInArrow(_described(words), "doc_id long, fp binary, size long, bits binary, print long"), "shingle-sets")
+    least = about.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "size", "bits", "print")).alias("m"))
+    reps = stored(least.select("fp", F.col("m.doc_id").alias("node"), "m.size", "m.bits", "m.print"), "reps")
     keys = rows.where("doc_id is not null").mapInArrow(_keys(words, similarity, frequent), "node long, fp binary, keys array<long>")
     keyed = keys.join(reps.select("node", "fp"), ["node", "fp"], "left_semi").select(F.explode("keys").alias("key"), "node")
     roots = connected_components(set_links(reps, stored(keyed, "keys"), rows, words, similarity))

@@ -112,6 +112,36 @@ def test_near_copies_from_the_similarity_on_are_found(spark):
         assert i in kept and (j in kept) == (5 * len(x & y) < 4 * len(x | y)), (i, len(x & y) / len(x | y))
 
 
+def test_near_copies_meet_by_fingerprints_first(spark, monkeypatch):
+    """The stage's candidates hold all links of the fingerprints, by brute force, and the sets decide on them."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)]
+    rows = []
+    for _ in range(12):
+        text = list(rng.choice(words, 400))
+        for _ in range(5):
+            rows.append((len(rows), " ".join(text)))
+            text[int(rng.integers(0, 400))] = str(rng.choice(words))
+    rows += [(len(rows), "two words"), (len(rows) + 1, "Two  words"), (len(rows) + 2, "")]
+    seen, print_links = [], simhash.print_links
+    monkeypatch.setattr(simhash, "print_links", lambda reps: seen.append((reps, print_links(reps).collect())) or print_links(reps))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()}
+    assert kept == {*range(0, 60, 5), 60, 62}
+    (reps, pairs), least = seen[0], {}
+    prints = {r["node"]: simhash.fingerprint(dict(rows)[r["node"]].encode(), 5) for r in reps.collect()}
+
+    def root(i):
+        while least.get(i, i) != i:
+            i = least[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert len(near) > 20 and all(root(a) == root(b) for a, b in near)
+
+
 def test_run_leaves_its_last_table_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
