@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache, reduce
@@ -49,7 +48,6 @@ from tarn.llm.common import released, stored, stored_at, texts
 MARK = "▁"
 #: Words: a run of marks with what follows, and control characters, which no piece holds, on their own.
 WORDS = re.compile(f"{MARK}*[^{MARK}\\x00-\\x1f]+|{MARK}+|[\\x00-\\x1f]")
-_CONTROL = re.compile(r"[\x00-\x1f]")
 HOT, HELD = 300_000, 500_000
 #: Words whose edges one task groups in memory; with more it sorts them.
 GROUPED = 200_000
@@ -133,8 +131,10 @@ def viterbi(edges: Column, n: Column) -> Column:
     return F.when(n > 0, _let(table, back))
 
 
-#: Where an edge's parts begin: id (15 bits), end (the last 6 bits of it), start (24), rank (15).
-END_AT, START_AT, RANK_AT = 15, 21, 45
+#: Where an edge's parts begin: its characters (5 bits), start (24), id (15), rank (15).
+START_AT, ID_AT, RANK_AT = 5, 29, 44
+#: Where the start of a piece that is left begins, above its id.
+PLACE_AT = 15
 #: The cuts of words of more characters than ``ONE`` are in blocks, a new one every ``STRIDE`` places; a
 #: block also holds the ``OVER`` places after, so that an edge lies in the block of its start.
 ONE, STRIDE, OVER = 48, 40, 17
@@ -148,33 +148,50 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
-def _ends(e: Column) -> tuple[Column, Column]:
-    """The bits of an edge's two ends, for words whose cuts are in one number."""
-    return _bit(F.shiftright(e, START_AT).bitwiseAND(63).cast("int")), _bit(F.shiftright(e, END_AT).bitwiseAND(63).cast("int"))
+def _by_place(bits) -> Column:
+    """``bits`` (start, end) of every edge of a word whose cuts are in one number, in the order of the number's lowest bits."""
+    ends = [(i >> START_AT, (i >> START_AT) + i % (1 << START_AT)) for i in range(64 << START_AT)]
+    return F.expr("array(" + ",".join(f"{bits(i, j) if j <= ONE else 0}L" for i, j in ends) + ")")
 
 
 def merges(edges: Column, n: Column, single) -> Column:
     """The pieces that merging by rank leaves, in order, as numbers with start and id. ``edges``
-    are those of several characters; an edge is one number, from the highest bits: rank, start,
-    end, id. ``single(i)`` is the id of character ``i`` alone. The fold's state is the set of cuts as
+    are those of several characters, sorted; an edge is one number, from the highest bits: rank, id, start,
+    how many characters. ``single(i)`` is the id of character ``i`` alone. The fold's state is the set of cuts as
     bits of a number, or of several: in order of rank, then place, an edge whose ends are cuts and
     that has one cut within takes it out, as its two parts are neighbours and merge. What no
     edge joins in the end are single characters."""
-    order = F.array_sort(edges)
+    def fold(first: Column, joins, without, remains, pairs) -> Column:
+        """``joins``: whether an edge's ends are cuts and one cut is within, ``without``: the state less the cuts
+        within, ``remains``: whether its ends are cuts and none is within, ``pairs``: the places of
+        characters that stand between two cuts."""
+
+        def left(cuts: Column) -> Column:
+            kept = F.transform(
+                F.filter(edges, lambda e: remains(cuts, e)),
+                lambda e: F.shiftleft(F.shiftright(e, START_AT).bitwiseAND((1 << 24) - 1), PLACE_AT).bitwiseOR(F.shiftright(e, ID_AT).bitwiseAND(32767)),
+            )
+            return F.sort_array(F.concat(kept, F.transform(pairs(cuts), lambda i: F.shiftleft(i.cast("long"), PLACE_AT).bitwiseOR(single(i).cast("long")))))
+
+        return _let(F.aggregate(edges, first, lambda cuts, e: F.when(joins(cuts, e), without(cuts, e)).otherwise(cuts)), left)
 
-    def fold(first: Column, within, ends, without, alone) -> Column:
-        """``within``: the cuts inside an edge, ``ends``: whether both ends are cuts, ``without``: the state
-        less some cuts, ``alone``: whether a character stands between two cuts."""
+    places = F.sequence(F.lit(0), n - 1)
+    from_to, ends, outside = (_by_place(x) for x in (lambda i, j: (2 << j) - (1 << i), lambda i, j: 1 << i | 1 << j, lambda i, j: (1 << ONE + 1) - 1 - (1 << j) + (2 << i if j > i else 1 << i)))
 
-        def step(cuts: Column, e: Column) -> Column:
-            return F.when(ends(cuts, e) & (F.bit_count(within(cuts, e)) == 1), without(cuts, e)).otherwise(cuts)
+    def at(table: Column, e: Column) -> Column:
+        return F.get(table, e.bitwiseAND((64 << START_AT) - 1).cast("int"))
 
-        def left(cuts: Column) -> Column:  # without the rank, the start is in the highest bits
-            kept = F.transform(F.filter(edges, lambda e: ends(cuts, e) & (within(cuts, e) == 0)), lambda e: e.bitwiseAND((1 << RANK_AT) - 1))
-            places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: alone(cuts, i) == 3)
-            return F.array_sort(F.concat(kept, F.transform(places, lambda i: F.shiftleft(i.cast("long"), START_AT).bitwiseOR(single(i).cast("long")))))
+    def between(cuts: Column) -> Column:
+        two = cuts.bitwiseAND(F.shiftright(cuts, 1))
+        return F.when(two == 0, F.array().cast("array<int>")).otherwise(F.filter(places, lambda i: F.call_function("shiftright", two, i).bitwiseAND(1) == 1))
 
-        return _let(F.aggregate(order, first, step), left)
+    short = fold(
+        _bit(n + 1) - 1,
+        lambda cuts, e: (F.bit_count(cuts.bitwiseAND(at(from_to, e))) == 3) & (cuts.bitwiseAND(at(ends, e)) == at(ends, e)),
+        lambda cuts, e: cuts.bitwiseAND(at(outside, e)),
+        lambda cuts, e: cuts.bitwiseAND(at(from_to, e)) == at(ends, e),
+        between,
+    )
 
     def within(cuts: Column, lo: Column, hi: Column) -> Column:
         return cuts.bitwiseAND(hi - lo - lo)
@@ -182,20 +199,12 @@ def merges(edges: Column, n: Column, single) -> Column:
     def both(cuts: Column, lo: Column, hi: Column) -> Column:
         return cuts.bitwiseAND(lo + hi) == lo + hi
 
-    short = fold(
-        _bit(n + 1) - 1,
-        lambda cuts, e: within(cuts, *_ends(e)),
-        lambda cuts, e: both(cuts, *_ends(e)),
-        lambda cuts, e: cuts.bitwiseXOR(within(cuts, *_ends(e))),
-        lambda cuts, i: F.call_function("shiftright", cuts, i).bitwiseAND(3),
-    )
-
     def block(e: Column) -> Column:
         return F.floor(_start(e) / STRIDE).cast("int")
 
     def in_block(e: Column) -> tuple[Column, Column]:
         at = _start(e) - block(e) * STRIDE
-        return _bit(at), _bit(at + (F.shiftright(e, END_AT) - F.shiftright(e, START_AT)).bitwiseAND(63).cast("int"))
+        return _bit(at), _bit(at + e.bitwiseAND((1 << START_AT) - 1).cast("int"))
 
     def own(blocks: Column, e: Column) -> Column:
         return F.element_at(blocks, block(e) + 1)
@@ -215,12 +224,15 @@ def merges(edges: Column, n: Column, single) -> Column:
         return F.transform(blocks, less)
 
     whole = F.transform(F.sequence(F.lit(0), F.floor(n / STRIDE).cast("int")), lambda b: _bit(F.least(F.lit(STRIDE + OVER), n + 1 - b * STRIDE)) - 1)
+    def stands_alone(blocks: Column, i: Column) -> Column:
+        return F.call_function("shiftright", F.element_at(blocks, F.floor(i / STRIDE).cast("int") + 1), i % STRIDE).bitwiseAND(3) == 3
+
     long = fold(
         whole,
-        lambda blocks, e: within(own(blocks, e), *in_block(e)),
-        lambda blocks, e: both(own(blocks, e), *in_block(e)),
+        lambda blocks, e: both(own(blocks, e), *in_block(e)) & (F.bit_count(within(own(blocks, e), *in_block(e))) == 1),
         without,
-        lambda blocks, i: F.call_function("shiftright", F.element_at(blocks, F.floor(i / STRIDE).cast("int") + 1), i % STRIDE).bitwiseAND(3),
+        lambda blocks, e: both(own(blocks, e), *in_block(e)) & (within(own(blocks, e), *in_block(e)) == 0),
+        lambda blocks: F.filter(places, lambda i: stands_alone(blocks, i)),
     )
     return F.when(n <= ONE, short).otherwise(long)
 
@@ -258,56 +270,68 @@ def encode_words(words: DataFrame, table: DataFrame, byte_ids: list[int], fold:
         grouped = edges.groupBy(*words.columns).agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "end", "id", "score"))).alias("edges"))
         path = viterbi(F.col("edges"), n)
         return grouped.select(*words.columns, F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(e["start"], e["end"] - e["start"])))).alias("ids"))
-    # The place of a character in one text of them all gives its id; 0 where it has none.
+    # An id by code point, of the others by the place of the character in one text of them; 0 where it has none.
     known = sorted((characters or {}).items(), key=lambda x: (x[0] != MARK, x[0]))
-    all_characters, their_ids = F.lit("".join(c for c, _ in known)), F.array(F.lit(0), *[F.lit(i) for _, i in known])
+    first, others = [0] * 256, [(c, i) for c, i in known if ord(c) > 255]
+    for c, i in known:
+        if ord(c) < 256:
+            first[ord(c)] = i
+    by_code, other, their_ids = F.array(*map(F.lit, first)), F.lit("".join(c for c, _ in others)), F.array(F.lit(0), *[F.lit(i) for _, i in others])
 
     def single(i: Column) -> Column:
-        return F.element_at(their_ids, F.instr(all_characters, F.substring("word", i + 1, F.lit(1))) + 1)
+        c = F.substring("word", i + 1, F.lit(1))
+        return F.when(F.ascii(c) < 256, F.get(by_code, F.ascii(c))).otherwise(F.element_at(their_ids, F.instr(other, c) + 1))
 
-    number = F.expr(f"shiftleft(rank, {RANK_AT}) | shiftleft(cast(start as long), {START_AT}) | shiftleft(cast(end & 63 as long), {END_AT}) | id")
-    grouped = edges.groupBy(*words.columns).agg(F.collect_list(number).alias("edges"))
+    number = F.expr(f"shiftleft(rank, {RANK_AT}) | shiftleft(cast(id as long), {ID_AT}) | shiftleft(cast(start as long), {START_AT}) | cast(end - start as long)")
+    grouped = edges.groupBy(*words.columns).agg(F.collect_list(number).alias("edges")).select(*words.columns, F.sort_array("edges").alias("edges"))
     path = grouped.select(*words.columns, merges(F.col("edges"), n, single).alias("path"))
     ids = F.transform("path", lambda e: e.bitwiseAND(32767).cast("int"))
-    spelt = F.flatten(F.transform("path", lambda e: F.when(e.bitwiseAND(32767) > 0, F.array(e.bitwiseAND(32767).cast("int"))).otherwise(as_bytes(_start(e), F.lit(1)))))
+    spelt = F.flatten(F.transform("path", lambda e: F.when(e.bitwiseAND(32767) > 0, F.array(e.bitwiseAND(32767).cast("int"))).otherwise(as_bytes(F.shiftright(e, PLACE_AT).cast("int"), F.lit(1)))))
     return path.select(*words.columns, F.when(F.array_contains(ids, 0), spelt).otherwise(ids).alias("ids"))
 
 
-def _split(text: str) -> list[str] | None:
-    """The words of ``text``, among them empty ones that count for nothing, where marks stand
-    singly; a word may still hold control characters other than a newline. Nothing otherwise."""
-    if not text:
-        return []
-    if "  " in text or MARK in text or text[0] == " ":
-        return None
-    return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+#: What a text may hold that is not words parted by single spaces and newlines.
+_ODD = f"^ |  |{MARK}|[\\x00-\\x09\\x0b-\\x1f]"
 
 
-def _mixed(word: str) -> bool:
-    return len(word) > 1 and _CONTROL.search(word) is not None
+def split(given: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The words of a column of texts, null as empty, and where each text's words begin and the last one's end."""
+    given, none, mark = pc.fill_null(given.cast(pa.large_string()), ""), *(pa.scalar(x, pa.large_string()) for x in ("", MARK))
+    odd = pc.match_substring_regex(given, _ODD)
+    parted = pc.replace_substring(pc.replace_substring(given, " ", " " + MARK), "\n", " \n ")
+    parted = pc.if_else(pc.equal(given, none), none, pc.binary_join_element_wise(mark, parted, none))
+    if pc.any(odd).as_py():  # no word holds a space
+        parted = pc.replace_with_mask(parted, odd, pa.array([" ".join(words_of(t)) for t in given.filter(odd).to_pylist()], pa.large_string()))
+    lists = pc.split_pattern(parted, " ")
+    words, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pc.not_equal(words, none)
+    return words.filter(full), np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])[ends]
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of what a task has read so far."""
-    counts: Counter = Counter()
-
-    def told() -> pa.RecordBatch:
-        for w in [w for w in counts if _mixed(w)]:
-            n = counts.pop(w)
-            for part in WORDS.findall(w):
-                counts[part] += n
-        counts.pop("", None)
-        out = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        if not held:
+            return pa.table({"word": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})
+        whole = pa.concat_tables(held).combine_chunks()
+        coded = _one(whole["word"]).dictionary_encode()
+        n = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(n, coded.indices.to_numpy(), whole["n"].to_numpy())
+        return pa.table({"word": coded.dictionary, "n": n})
+
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        return iter(pa.table({"word": table["word"].cast(pa.string()), "n": table["n"]}).to_batches())
 
     for batch in batches:
-        for text in texts(batch, "text"):
-            words = _split(text)
-            counts.update(words_of(text) if words is None else words)
-            if len(counts) > HELD:
-                yield told()
-    yield told()
+        counts = split(batch.column("text"))[0].value_counts()
+        held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+        if sum(t.num_rows for t in held) > 2 * HELD:
+            held = [summed()]
+            if held[0].num_rows > HELD:
+                yield from told(held.pop())
+    yield from told(summed())
 
 
 def decode(ids: list[int], name: str = "piece_bpe_32k.model") -> str:
@@ -322,6 +346,22 @@ def texts_of(name: str) -> dict[int, bytes]:
     return {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
 
+@lru_cache(2)
+def _spellings(name: str) -> pa.LargeBinaryArray:
+    """The bytes of each id, at its place."""
+    known = texts_of(name)
+    return pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
+
+
+def spelt(ids: np.ndarray, ends: np.ndarray, name: str = "piece_bpe_32k.model") -> Iterator[bytes]:
+    """For each document the bytes that its ids, those from its end to the next, stand for: marks
+    read as spaces, the first left out."""
+    parts = _spellings(name).take(pa.array(ids))
+    whole, mark = memoryview(parts.buffers()[2] or b""), MARK.encode()
+    at = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1, 8 * parts.offset)[ends].tolist()
+    return (bytes(whole[a:b]).replace(mark, b" ")[1:] for a, b in zip(at, at[1:]))
+
+
 def digests(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The digest of each word, whose ids are those from its offset to the next."""
     sizes = np.diff(offsets)
@@ -355,7 +395,7 @@ def in_memory(spark: SparkSession) -> Iterator[None]:
 def frequent(table: DataFrame, hot_words: int) -> Column:
     """Which rows of a word table have the counts that at most ``hot_words`` words reach."""
     least, so_far = 1, 0
-    for r in table.groupBy("n").count().orderBy(F.desc("n")).limit(hot_words).toLocalIterator():
+    for r in table.groupBy("n").count().orderBy(F.desc("n")).limit(hot_words).collect():
         so_far += r["count"]
         if so_far > hot_words:
             least = r["n"] + 1
@@ -366,17 +406,7 @@ def frequent(table: DataFrame, hot_words: int) -> Column:
 def numbers_of(text: str, number: dict[str, int]) -> tuple[np.ndarray, dict[int, str]]:
     """The numbers of the words of ``text`` in their order, -1 for those that ``number`` lacks, and
     these by place."""
-    words = _split(text)
-    if words is not None:
-        found = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-        lacking = [(i, words[i]) for i in np.flatnonzero(found < 0).tolist()]
-        if not any(_mixed(w) for _, w in lacking):
-            if "" not in words:
-                return found, dict(lacking)
-            empty = np.array([not w for w in words])
-            place = np.cumsum(~empty) - 1
-            return found[~empty], {int(place[i]): w for i, w in lacking if w}
-    words = words_of(text)
+    words = split(pa.array([text]))[0].to_pylist()
     found = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
     return found, {i: words[i] for i in np.flatnonzero(found < 0).tolist()}
 
@@ -395,28 +425,26 @@ def _read(hot: Broadcast):
     places in the text's own list of other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(hot.value)}
+        known = pa.array(hot.value, pa.large_string())
         for batch in batches:
-            marks, numbers, offsets, tail, ends = [], [np.zeros(0, np.int32)], [0], [], [0]
-            for text in texts(batch, "text"):
-                x, other = numbers_of(text, number)
-                places: dict[str, int] = {}
-                if other:
-                    x[list(other)] = [-1 - places.setdefault(w, len(places)) for w in other.values()]
-                marks.append(digest_of(text))
-                numbers.append(x.astype(np.int32))
-                offsets.append(offsets[-1] + len(x))
-                tail += places
-                ends.append(len(tail))
-            numbers = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(numbers)))
-            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail, pa.string()))
-            yield pa.record_batch([batch.column("key"), batch.column("doc_id"), pa.array(marks, pa.binary()), numbers, tail], names=["key", "doc_id", "mark", "numbers", "tail"])
+            words, ends = split(batch.column("text"))
+            numbers = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().copy()
+            rare = np.flatnonzero(numbers < 0)
+            coded = words.take(pa.array(rare)).dictionary_encode()
+            doc, many = np.repeat(np.arange(batch.num_rows), np.diff(ends))[rare], max(len(coded.dictionary), 1)
+            tail, entry = np.unique(doc * many + coded.indices.to_numpy(), return_inverse=True)
+            tail_ends = np.searchsorted(tail, np.arange(batch.num_rows + 1) * many)
+            numbers[rare] = tail_ends[doc] - entry - 1
+            marks = pa.array([digest_of(t) for t in texts(batch, "text")], pa.binary())
+            tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), coded.dictionary.take(pa.array(tail % many)).cast(pa.string()))
+            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()))
+            yield pa.record_batch([batch.column("key"), batch.column("doc_id"), marks, numbers, tails], names=["key", "doc_id", "mark", "numbers", "tail"])
 
     return run
 
 
-def digest_of(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+def digest_of(text: str | bytes) -> bytes:
+    return hashlib.blake2b(text.encode() if isinstance(text, str) else text, digest_size=16).digest()
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -481,8 +509,7 @@ def numbered(batches: Iterator[pa.RecordBatch], name: str = "piece_bpe_32k.model
         ids, place = ids.astype(np.int64), np.arange(len(sizes)) - np.repeat(words[:-1], np.diff(words))
         of_word = digests(ids, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
         sums = np.concatenate([[0], np.cumsum(powers(int(place.max(initial=0)) + 1)[place] * of_word % PRIME)])
-        listed = ids.tolist()
-        same = [digest_of(decode(listed[a:b], name)) == m for a, b, m in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("mark").to_pylist())]
+        same = [digest_of(text) == mark for text, mark in zip(spelt(ids, ends, name), batch.column("mark").to_pylist())]
         cols = [batch.column("doc_id"), *map(pa.array, (np.diff(words), np.diff(ends), (sums[words[1:]] - sums[words[:-1]]) % PRIME)), pa.array(same, pa.bool_())]
         yield pa.record_batch(cols, names=["doc_id", "n_words", "n_pieces", "ids_digest", "round_trip"])
 

@@ -616,6 +616,17 @@ def test_numbers_of_a_text_are_those_of_its_words(text):
     assert counts == Counter(2 * pieces.words_of(text))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "▁", "ab", "é", "中", "\x00", "\r"]), max_size=12).map("".join), max_size=5))
+def test_columns_of_texts_are_split_and_spelt_at_once(texts):
+    words, ends = pieces.split(pa.array(texts, pa.string()))
+    words = words.to_pylist()
+    assert [words[a:b] for a, b in zip(ends, ends[1:])] == [pieces.words_of(t or "") for t in texts]
+    ids = [sentencepiece_model().encode(t or "") for t in texts]
+    flat, ends = np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)])
+    assert [x.decode() for x in pieces.spelt(flat, ends)] == [pieces.decode(x) for x in ids]
+
+
 def test_viterbi_is_the_best_path(spark):
     scores = {"a": -2.0, "b": -3.0, "ab": -3.5, "ba": -4.0, "aba": -6.5, "bb": -5.0}
     table = spark.createDataFrame([(p, i + 1, s, 0) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double, rank long")
