@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT
 from tarn.functions.urls import is_home, netloc
+from tarn.session import shared_path
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:
@@ -34,3 +35,22 @@ def domain_cap(urls: DataFrame, limit: int = DEFAULT.domain_cap, pos: str = "pos
 def domain_cap_sorted(urls: DataFrame, limit: int = DEFAULT.domain_cap, pos: str = "pos", url: str = "url") -> DataFrame:
     """The rows of U5 in order."""
     return domain_cap(urls, limit, pos, url).orderBy(pos)
+
+
+def ranked_overall(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """All rows with their rank (long, from 1) over the whole table. Ranges of ``order`` are
+    sorted by a task each and stored; only the number of rows of each range comes to the driver.
+    Rows that ``order`` does not tell apart have neighbouring ranks in any order."""
+    spark = df.sparkSession
+    path = shared_path(spark, "ranked")
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.withColumn("__at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    placed = spark.read.schema(df.schema.add("__at", "long")).parquet(path)
+    # The number of a row within its range is in the lower 33 bits, that of the range above them.
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    before, starts = 0, []
+    for p, n in sorted(tuple(r) for r in placed.groupBy(part).count().collect()):
+        starts.append((p, before))
+        before += n
+    known = spark.createDataFrame(starts, "__part long, __start long")
+    return placed.withColumn("__part", part).join(F.broadcast(known), "__part").withColumn(rank, F.col("__start") + within + 1).drop("__at", "__part", "__start")
