@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import blockjoin, lattice, packing, pieces, quality, secrets, simhash, syncmers, token_files, toxicity
+from tarn.llm import blockjoin, importance, lattice, packing, pieces, quality, secrets, simhash, spelling, syncmers, token_files, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_quadratic_discriminant": quality.query,
         "op9_relational_lattice": pieces.query,
         "op10_token_files": token_files.query,
+        "op11_symmetric_delete": spelling.query,
+        "op12_importance_resampling": importance.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_matrix_join": blockjoin.SQL}
+    return {"op3_block_matrix_join": blockjoin.SQL, "op11_symmetric_delete": spelling.SQL, "op12_importance_resampling": importance.SQL}
