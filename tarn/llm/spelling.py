@@ -9,7 +9,7 @@ Keys are 64-bit numbers: the sum of a word's characters times powers of an odd n
 each deletion follows in one step, so a word of n characters takes n steps, not n times n. Different strings
 with one key only add a candidate. A deletion within a run of equal characters is that of the run's first, so a key
 that many words share is bounded by alphabet times length, not by the corpus. A pair is made
-once, from the smaller word to the larger, and counts go to both.
+once, and counts go to both.
 
 ``typed`` plants the typing errors of a controlled corpus: one character goes from every word of a
 document that a checksum of both draws.
@@ -79,34 +79,35 @@ def deletion_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = np.cumsum([len(t) for t in batch.column(0).to_pylist()])
+        size = np.cumsum([len(t) for t in batch.column(1).to_pylist()])
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD, "right")))
             part = batch.slice(at, end - at)
-            w, key = deletion_keys(part.column(0).to_pylist())
-            yield pa.record_batch([pa.array(key), part.column(0).take(pa.array(w)), part.column(1).take(pa.array(w))], names=["key", "word", "n"])
+            w, key = deletion_keys(part.column(1).to_pylist())
+            yield pa.record_batch([pa.array(key), part.column(0).take(pa.array(w))], names=["key", "id"])
             at = end
 
 
-def near_pairs(counted: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): all pairs of different words at a distance of exactly one, once each, the smaller word first."""
-    keys = counted.select("word", "n").mapInArrow(_emit, "key long, word string, n long")
-    other = keys.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    found = keys.join(other, "key").where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
-    return found.select("word", "n", "other", "other_n").distinct()
+def near_pairs(numbered: DataFrame) -> DataFrame:
+    """(id, n, other, other_n, word, other_word) of all pairs of words of ``numbered`` (id, word, n) at a distance of exactly
+    one, once each. Keys go with the word's number alone, words join their candidates."""
+    keys = numbered.select("id", "word").mapInArrow(_emit, "key long, id long")
+    met = keys.join(keys.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other").distinct()
+    told = numbered.select(F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n"))
+    return met.join(numbered, "id").join(told, "other").where(F.levenshtein("word", "other_word", 1) == 1)
 
 
-def forms(counted: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """(word, n, n_near, form, form_n) of every word of ``counted``."""
-    pairs = stored(near_pairs(counted), "near-words")
-    both = pairs.select("word", "other", "other_n").unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")))
-    best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("order"), "other")).alias("best"))
-    beside = counted.join(best, "word", "left")
+def forms(numbered: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """(word, n, n_near, form, form_n) of every word of ``numbered`` (id, word, n)."""
+    pairs = stored(near_pairs(numbered), "near-words")
+    both = pairs.select("id", "other_word", "other_n").unionByName(pairs.select(F.col("other").alias("id"), F.col("word").alias("other_word"), F.col("n").alias("other_n")))
+    best = both.groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("order"), "other_word")).alias("best"))
+    beside = numbered.join(best, "id", "left")
     taken = -F.col("best.order") >= ratio * F.col("n")
     return beside.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
-        F.when(taken, F.col("best.other")).alias("form"), F.when(taken, -F.col("best.order")).alias("form_n"),
+        F.when(taken, F.col("best.other_word")).alias("form"), F.when(taken, -F.col("best.order")).alias("form_n"),
     )
 
 
@@ -128,7 +129,7 @@ def rooted(found: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 def grouped(counted: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of a table of different words and their counts."""
-    known = stored(counted.select("word", "n"), "words")
+    known = stored(counted.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     return rooted(stored(forms(known, ratio), "forms"), ratio).select("word", "form", "root", "n", "n_near", "form_n")
 
 
