@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import blockjoin, importance, lattice, packing, pieces, quality, secrets, simhash, spelling, syncmers, token_files, toxicity
+from tarn.llm import blockjoin, flatgraph, importance, lattice, packing, pieces, quality, secrets, simhash, spelling, syncmers, token_files, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,14 @@ def queries() -> dict:
         "op10_token_files": token_files.query,
         "op11_symmetric_delete": spelling.query,
         "op12_importance_resampling": importance.query,
+        "op13_flat_graph": flatgraph.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_block_matrix_join": blockjoin.SQL, "op11_symmetric_delete": spelling.SQL, "op12_importance_resampling": importance.SQL}
+    return {
+        "op3_block_matrix_join": blockjoin.SQL,
+        "op11_symmetric_delete": spelling.SQL,
+        "op12_importance_resampling": importance.SQL,
+        "op13_flat_graph": flatgraph.SQL,
+    }
