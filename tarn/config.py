@@ -25,6 +25,11 @@ class Config:
     prosperous: int = 3  # backlinking domains that make a URL prosperous
     snippet: int = 80  # characters around the first hit
     results: int = 10  # results of a search
+    index_buckets: int = 16  # folders of a stored index's segment
+    index_segments: int = 4  # segments of a bucket before they are made one
+    block_cell: int = 256  # document numbers that a block's documents lie within
+    block_size: int = 128  # postings of a block
+    seed_cells: int = 4  # cells that are read before the others, for a floor of the scores
 
 
 DEFAULT = Config()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT
 from tarn.functions.text import terms
+from tarn.operators import blocks
+from tarn.sources.index_store import IndexStore
 
 
 def query_terms(spark: SparkSession, q: str) -> DataFrame:
@@ -22,6 +24,16 @@ def ranked(postings: DataFrame, wanted: DataFrame, key: str, score: Column, k: i
     return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def stored_best(store: IndexStore, q: str, k: int = DEFAULT.results) -> DataFrame:
+    """Q3 to Q5 over a stored index: (doc, score) of the ``k`` best, best first. Only the query's lists are read, and
+    of those only the blocks that can matter."""
+    spark = store.spark
+    wanted = [r["term"] for r in query_terms(spark, q).collect()]  # the terms of one query
+    asked = spark.createDataFrame([(0, t) for t in wanted], "query long, term string")
+    best = blocks.searched(store.blocks(wanted), asked, k, cell=store.config.block_cell)[0]
+    return best.orderBy("rank").select("doc", "score")
+
+
 def snippet(text: Column, q: str, width: int = DEFAULT.snippet) -> Column:
     """Q6: ``width`` characters from a little before the first hit of any query
     term, else the beginning."""
@@ -33,6 +45,16 @@ def snippet(text: Column, q: str, width: int = DEFAULT.snippet) -> Column:
 def search(postings: DataFrame, documents: DataFrame, q: str, key: str = "doc_id", score: Column | None = None, k: int = DEFAULT.results) -> DataFrame:
     """Q1: the ``k`` best documents of ``q`` with a snippet each."""
     best = ranked(postings, query_terms(postings.sparkSession, q), key, F.col("tf") if score is None else score, k)
+    return shown(best, documents, q, key)
+
+
+def stored_search(store: IndexStore, documents: DataFrame, q: str, key: str = "doc_id", k: int = DEFAULT.results) -> DataFrame:
+    """Q1 over a stored index."""
+    return shown(stored_best(store, q, k).withColumnRenamed("doc", key), documents, q, key)
+
+
+def shown(best: DataFrame, documents: DataFrame, q: str, key: str) -> DataFrame:
+    """Q6: (key, score, snippet) of the ``k`` rows of ``best``."""
     rows = documents.select(key, "text").join(F.broadcast(best), key)  # ``k`` rows
     return rows.select(key, "score", snippet(F.col("text"), q).alias("snippet"))
 

@@ -134,6 +134,10 @@ ORACLES = {
     "search_snippet": f"""WITH {TF}, {BEST}, hit AS (SELECT doc_id, score, text, list_min(list_filter([{", ".join(f"strpos(lower(text), '{t}')" for t in QUERY.split())}], lambda x: x > 0)) AS place FROM best JOIN documents USING (doc_id))
       SELECT doc_id, score, substr(text, greatest(coalesce(place, 1) - {DEFAULT.snippet // 4}, 1), {DEFAULT.snippet}) AS snippet FROM hit""",
     "search_stored": f"""WITH {FRONT}, {PAGE_TF} SELECT url, round(sum(weight), 6) AS score FROM trimmed WHERE term IN ({TERMS}) GROUP BY url ORDER BY score DESC, url LIMIT {DEFAULT.results}""",
+    "search_many": f"""WITH {TF}, asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, lower(unnest({PLAIN})) AS term FROM benchmark) WHERE {KEPT}),
+      scored AS (SELECT item_id, doc_id, round(sum(tf)::DOUBLE, 6) AS score FROM asked JOIN tf USING (term) GROUP BY ALL)
+      SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEFAULT.results}""",
+    "index_segments": f"WITH {TF} {TOPK}",
     "search_json": f"WITH {TF}, {BEST} SELECT '{{\"doc_id\":' || doc_id || ',\"score\":' || score || '}}' AS result FROM best",
     "seed_scan": "SELECT page_id, url FROM pages WHERE page_id < 3",
     "postings_compacted": f"""WITH {FRONT}, {PAGE_TF}, c AS (SELECT term, count(*) AS n FROM weighted GROUP BY term),

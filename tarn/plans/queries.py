@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT, Config
 from tarn.functions import html, lang, text, urls
 from tarn.metrics import error_counts, guarded, indicators_of, ordered_map
-from tarn.operators import index, links, sample, search
+from tarn.operators import blocks, index, links, sample, search
 from tarn.operators.rank_cut import domain_cap, domain_cap_sorted, top_per_key
 from tarn.session import shared_path
+from tarn.sources.index_store import IndexStore
 from tarn.sources.store import Store, parse_json, read_json, read_scored, write_json, write_scored
 from tarn.streaming import index_stream
 
@@ -56,20 +59,65 @@ def _page_postings(spark: SparkSession, d: str) -> DataFrame:
     return tf.join(known, "page_id").withColumn("weight", index.weight(F.col("tf"), F.col("backlinks"), url_()))
 
 
+_STORES: dict[tuple[str, str, str], IndexStore] = {}
+
+
+def _store(spark: SparkSession, d: str, what: str, postings: Callable[[], DataFrame]) -> IndexStore:
+    """The stored index of ``what``, which the first search of an application writes."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _STORES:
+        made = IndexStore(spark, shared_path(spark, what))
+        made.add(postings(), 0)
+        _STORES[key] = made
+    return _STORES[key]
+
+
+def _frequencies(docs: DataFrame) -> DataFrame:
+    return index.term_frequencies(docs, "doc_id", plain=True).select("term", F.col("doc_id").alias("doc"), F.col("tf").alias("weight"))
+
+
+def _document_index(spark: SparkSession, d: str) -> IndexStore:
+    return _store(spark, d, "documents", lambda: _frequencies(_docs(spark, d)))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return search.ranked(index.term_frequencies(docs, "doc_id", plain=True), search.query_terms(spark, QUERY), "doc_id", F.col("tf"))
+    return search.stored_best(_document_index(spark, d), QUERY).select(F.col("doc").alias("doc_id"), "score")
 
 
 def search_snippet(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return search.search(index.term_frequencies(docs, "doc_id", plain=True), docs, QUERY)
+    return search.stored_search(_document_index(spark, d), _docs(spark, d), QUERY)
+
+
+def _benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
+    """(query, term): each benchmark text asks for its terms."""
+    words = F.transform(text.plain_tokens(F.col("text")), F.lower)
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query"), F.explode(words).alias("term"))
+    return asked.where(text.kept(F.col("term"))).distinct()
+
+
+def search_many(spark: SparkSession, d: str) -> DataFrame:
+    """Many queries at once, each of dozens of terms, by the blocks that can matter."""
+    best = blocks.searched(_document_index(spark, d).blocks(), _benchmark_terms(spark, d))[0]
+    return best.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def index_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The index in four batches, with upkeep after each; in the end its lists are those of one build."""
+    store, docs = IndexStore(spark, shared_path(spark, "segments")), _docs(spark, d)
+    for batch in range(4):
+        store.add(_frequencies(docs.where(F.pmod("doc_id", F.lit(4)) == batch)), batch)
+        store.upkeep()
+    store.upkeep(whole=True)
+    rows = top_per_key(store.postings(), ["term"], [F.desc("weight"), F.asc("doc")], DEFAULT.postings_limit)
+    return rows.select("term", "rank", F.col("doc").alias("doc_id"), F.col("weight").cast("long").alias("tf"))
 
 
 def search_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The whole way over pages: weights, trimmed lists, per-domain cap, ranking."""
-    lists = index.trimmed(_page_postings(spark, d))
-    best = search.ranked(lists, search.query_terms(spark, QUERY), "url", F.col("weight"), None)
+    """The whole way over pages: weights, trimmed lists, stored; per-domain cap, ranking."""
+    store = _store(spark, d, "pages", lambda: index.trimmed(_page_postings(spark, d)).select("term", F.col("page_id").alias("doc"), "weight"))
+    wanted = search.query_terms(spark, QUERY)
+    lists = store.postings([r["term"] for r in wanted.collect()]).join(_pages(spark, d, "page_id", "url"), F.col("doc") == F.col("page_id"))
+    best = search.ranked(lists, wanted, "url", F.col("weight"), None)
     spread = top_per_key(best.withColumn("domain", F.lower(urls.netloc(url_()))), ["domain"], [F.desc("score"), F.asc("url")], 2)
     return spread.orderBy(F.desc("score"), "url").limit(DEFAULT.results).select("url", "score")
 
@@ -275,6 +323,8 @@ QUERIES = {
     "search_snippet": search_snippet,
     "search_pages": search_pages,
     "search_stored": search_stored,
+    "search_many": search_many,
+    "index_segments": index_segments,
     "search_json": lambda s, d: search.as_json(flagship(s, d)),
     "seed_scan": seed_scan,
     "postings_compacted": postings_compacted,
