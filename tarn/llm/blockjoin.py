@@ -1,8 +1,8 @@
 """Nearest neighbours by an int8 block matrix join.
 
 Vectors are scaled to length 1 and quantised to int8 with a scale of their own.
-Query blocks meet candidate blocks; one matrix product of the quantised tiles
-(integers of at most 127 * 127 * width, exact in float32) gives every cosine up
+Query blocks meet candidate blocks; matrix products of the quantised tiles over ``COLUMNS``
+columns each (integers below 2^24, exact in float32), added as integers, give every cosine up
 to a bound that follows from the two quantisation errors:
 
     |q.c - q'.c'| <= |q - q'| * |c'| + |q| * |c - c'|
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 
 C_BLOCK, Q_BLOCK, K, EVERY = 8_192, 2_048, 5, 50
+#: Columns whose products of int8 numbers add up to less than 2^24.
+COLUMNS = 1_024
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -67,11 +69,16 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     cu, qu = _unit(c), _unit(q)
     c8, cs, cn, ce = quantised(cu)
     c8 = c8.astype(np.float32).T.copy()
+    # Powers of two keep squares from overflow and change no digit of a cosine.
+    c, q = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (c, q))
     out = []
     for at in range(0, len(q), 128):
         part = qu[at : at + 128]
         q8, qs, _, qe = quantised(part)
-        near = (q8.astype(np.float32) @ c8) * (qs[:, None] * cs[None, :])
+        sums = np.zeros((len(part), len(c)))
+        for first in range(0, c8.shape[0], COLUMNS):
+            sums += q8[:, first : first + COLUMNS].astype(np.float32) @ c8[first : first + COLUMNS]
+        near = sums * (qs[:, None] * cs[None, :])
         slack = qe[:, None] * cn[None, :] + ce[None, :] + 1e-9
         # One more than k, as the query itself may be among the candidates.
         kth = min(k + 1, near.shape[1])
@@ -123,7 +130,8 @@ def _fit(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's ``k`` nearest others of its width."""
+    """(query_id, rank, vec_id, score): each query row's ``k`` nearest others of its width.
+    ``is_query`` is a condition on the column ``id``, which has the ids as long numbers."""
     rows = _fit(df, id_col, vector_col)
     n_c, n_q = rows.agg(F.count("*"), F.count_if(is_query)).first()
     c_blocks, q_blocks = max(1, -(-n_c // C_BLOCK)), max(1, -(-n_q // Q_BLOCK))
