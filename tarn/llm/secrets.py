@@ -8,7 +8,8 @@ over its positions: common words, dates, repeats, alphabetic or numeric
 sequences, keyboard walks, and brute force for what is left. Each part costs
 the logarithm (base 10) of the guesses it takes; every further part costs as
 much as the choice where to cut. The words are those of ``COMMON`` and of two public
-vocabularies. The cost alone decides: a value needs no digit.
+vocabularies. The cost alone decides: a value needs no digit. The minimum is over all segmentations, of values
+of any length.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different
 kinds are all reported, but a ``guess`` that lies wholly in a base span is not;
@@ -48,8 +49,6 @@ CONTEXT = re.compile(
 MIN_GUESSES = 9.0
 #: Every context holds one of these.
 CONTEXT_MARKS = ("pass", "pw", "credential", "secret", "token", "auth", "key", "string")
-#: Walks and sequences are tried at each end up to this length, and at their last one.
-PART = 32
 
 # Frequent password words, most frequent first.
 COMMON = (
@@ -110,66 +109,104 @@ def known_length() -> int:
     return max(map(len, known_words()))
 
 
+@lru_cache(1)
+def known_heads() -> frozenset[str]:
+    return frozenset(w[:3] for w in known_words())
+
+
+class Ends:
+    """The least ``cost + log10(end - start)`` over the starts of parts that may have any length, end by end.
+
+    A longer part's cost grows more slowly, so a start that an earlier one has once caught up with is never the
+    best again: starts wait on a stack, newest last, and leave it when overtaken. Each goes once, whatever the length."""
+
+    def __init__(self) -> None:
+        self.waiting: list[tuple[int, float, float]] = []  # start, cost, end from which on the one before is better
+
+    def clear(self) -> None:
+        if self.waiting:
+            self.waiting = []
+
+    def add(self, start: int, cost: float, end: int) -> None:
+        while self.waiting:
+            before, other, until = self.waiting[-1]
+            more = (cost - other) * math.log(10)
+            if more > 0:
+                at = start + (start - before) / math.expm1(min(more, 700.0))
+                if at <= end:
+                    return  # the one before is better already, and stays so
+                if at < until:
+                    self.waiting.append((start, cost, at))
+                    return
+            self.waiting.pop()  # never better than the new one, or not before it is overtaken itself
+        self.waiting.append((start, cost, math.inf))
+
+    def least(self, end: int) -> float:
+        waiting = self.waiting
+        while len(waiting) > 1 and waiting[-1][2] <= end:
+            waiting.pop()
+        return waiting[-1][1] + math.log10(end - waiting[-1][0]) if waiting else math.inf
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     """Log10 of the guesses that the cheapest segmentation of ``value`` takes, over
-    ``COMMON`` and ``words`` (word to rank), or over ``known_words`` without any."""
+    ``COMMON`` and ``words`` (word to rank), or over ``known_words`` without any. Walks, sequences and
+    repeats may begin and end anywhere; time grows in proportion to length, but for a logarithm."""
     ranks = known_words() if words is None else {w: i + 1 for i, w in enumerate(COMMON)} | words
+    heads = known_heads() if words is None else {w[:3] for w in ranks}
     n, low = len(value), "".join([c.lower() if c.isascii() else c for c in value])
     longest = known_length() if words is None else max(map(len, ranks))
     plain = low.translate(LEET)
     brute = math.log10(max(10, _alphabet(value)))
-    # the smallest cost of value[:i], and where its last part begins
-    best = [0.0] + [math.inf] * n
+    # the smallest cost of value[:i], with the choice of a cut there
+    best, begun = [0.0] + [math.inf] * n, [0.0] * (n + 1)
     cut_cost = math.log10(max(2, n))
-
-    def offer(i: int, j: int, cost: float) -> None:
-        total = best[i] + cost + (cut_cost if i else 0.0)
-        if total < best[j]:
-            best[j] = total
-
-    # How far the same step goes on from each position, and a repeat of each period,
-    # so that a long value takes time in proportion to its length.
-    steps = [ord(b) - ord(a) for a, b in zip(value, value[1:])] + [0]
-    stepped = [0] * (n + 1)
-    for i in reversed(range(n)):
-        stepped[i] = 1 + (stepped[i + 1] if i + 2 < n and steps[i + 1] == steps[i] else 0)
-    repeated = []
-    for period in range(1, 9):
-        run = [0] * (n + 1)
-        for i in reversed(range(n - period)):
-            run[i] = run[i + 1] + 1 if value[i + period] == value[i] else 0
-        repeated.append(run)
-
+    steps = [ord(b) - ord(a) for a, b in zip(value, value[1:])]
+    ways = [(PLACE[b][0] - PLACE[a][0], PLACE[b][1] - PLACE[a][1]) if b in NEAR.get(a, ()) else None for a, b in zip(low, low[1:])]
+    turned = [0.0] * (n + 1)  # cost of the turns of a walk up to here
+    for k in range(1, len(ways)):
+        turned[k] = turned[k - 1] + (0.7 if ways[k] is not None and ways[k - 1] is not None and ways[k] != ways[k - 1] else 0.0)
+    walk, row = Ends(), Ends()
+    periods = [(period, max(3, 2 * period), Ends()) for period in range(1, 9)]
+    same = [0] * 9  # how many characters up to here are those of a period before
     open_brute = math.inf  # cost of a prefix that ends within a brute-force part
     for i in range(n):
-        open_brute = min(open_brute, best[i] + (cut_cost if i else 0.0)) + brute
-        for j in range(i + 3, min(n, i + longest) + 1):
-            for form, extra in ((low, 0.0), (plain, 0.5)):
-                rank = ranks.get(form[i:j])
-                if rank:
-                    shown = value[i:j]
-                    offer(i, j, math.log10(rank + 1) + extra + (0.0 if shown == shown.lower() else 0.3 if shown[1:] == shown[1:].lower() or shown.isupper() else 1.0))
-        m = DATE.match(value, i)
-        if m:
-            offer(i, m.end(), 2.1 if m.end() - i == 4 else 4.6)
-        turns, way, j = 0, None, i + 1
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):  # keyboard walk
-            (r, c), (r2, c2) = PLACE[low[j - 1]], PLACE[low[j]]
-            turns += way is not None and way != (r2 - r, c2 - c)
-            way, j = (r2 - r, c2 - c), j + 1
-            if j - i >= 3 and (j - i <= PART or j == n or low[j] not in NEAR.get(low[j - 1], ())):
-                offer(i, j, math.log10(47) + 0.7 * turns + math.log10(j - i))
-        if abs(steps[i]) == 1:  # sequence
-            last = i + 1 + stepped[i]
-            for j in {*range(i + 3, min(last, i + PART) + 1), last}:
-                if j - i >= 3:
-                    offer(i, j, 1.4 + math.log10(j - i))
-        for period, run in enumerate(repeated, 1):  # repeats of what stands here
-            j = i + period + run[i]
-            for end in {j, j - (j - i) % period}:
-                if end - i >= max(3, 2 * period):
-                    offer(i, end, period * brute + math.log10((end - i) / period))
-        best[i + 1] = min(best[i + 1], open_brute)
+        begun[i] = start = best[i] + (cut_cost if i else 0.0)
+        for form, extra in ((low, 0.0), (plain, 0.5)):
+            if form[i : i + 3] in heads:
+                for j in range(i + 3, min(n, i + longest) + 1):
+                    rank = ranks.get(form[i:j])
+                    if rank:
+                        shown = value[i:j]
+                        cost = math.log10(rank + 1) + extra + (0.0 if shown == shown.lower() else 0.3 if shown[1:] == shown[1:].lower() or shown.isupper() else 1.0)
+                        best[j] = min(best[j], start + cost)
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, j):
+                    best[j] = min(best[j], start + (2.1 if j - i == 4 else 4.6))
+        open_brute = min(open_brute, start) + brute
+        j = i + 1  # parts of any length that end here
+        found = min(best[j], open_brute)
+        if i >= 2 and ways[i - 1] is not None and ways[i - 2] is not None:  # keyboard walk
+            walk.add(i - 2, begun[i - 2] - turned[i - 2], j)
+            found = min(found, math.log10(47) + turned[i - 1] + walk.least(j))
+        else:
+            walk.clear()
+        if i >= 2 and steps[i - 1] == steps[i - 2] and abs(steps[i - 1]) == 1:  # sequence
+            row.add(i - 2, begun[i - 2], j)
+            found = min(found, 1.4 + row.least(j))
+        else:
+            row.clear()
+        for period, least, ends in periods:  # repeats
+            if i < period or value[i] != value[i - period]:
+                same[period] = 0
+                ends.clear()
+                continue
+            same[period] += 1
+            if same[period] >= least - period:
+                ends.add(j - least, begun[j - least], j)
+                found = min(found, period * brute - math.log10(period) + ends.least(j))
+        best[j] = found
     return best[n]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations, product
@@ -244,9 +245,10 @@ def part_costs(v, words):
         if all(b in secrets.NEAR.get(a, ()) for a, b in zip(low, low[1:])):
             ways = [(secrets.PLACE[b][0] - secrets.PLACE[a][0], secrets.PLACE[b][1] - secrets.PLACE[a][1]) for a, b in zip(low, low[1:])]
             out["walk"] = math.log10(47) + 0.7 * sum(x != y for x, y in zip(ways, ways[1:])) + math.log10(len(v))
-    for date, cost in ((r"(19|20)\d\d", 2.1), (r"(19|20)\d\d[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12]\d|3[01])", 4.6)):
-        if re.fullmatch(date, v):
-            out["date"] = cost
+    if re.fullmatch(r"(19|20)\d\d", v):
+        out["date"] = 2.1
+    elif secrets.DATE.fullmatch(v):
+        out["date"] = 4.6
     for period in range(1, 9):
         if len(v) >= max(3, 2 * period) and v == (v[:period] * len(v))[: len(v)]:
             out["repeat"] = min(out.get("repeat", math.inf), period * brute + math.log10(len(v) / period))
@@ -270,6 +272,34 @@ def test_guess_cost_is_the_cheapest_segmentation(value, kind):
     assert kind in best[1]
 
 
+def plain_cost(v, ranks):
+    """The cheapest segmentation by trying every part of ``v``."""
+    part_costs.value, n, best = v, len(v), [0.0] + [math.inf] * len(v)
+    for j in range(1, n + 1):
+        for i in range(j):
+            best[j] = min(best[j], best[i] + (math.log10(max(2, n)) if i else 0.0) + min(part_costs(v[i:j], ranks).values()))
+    return best[n]
+
+
+LONG_PARTS = ["qwertyuiop", "qwqwqwqw", "asdfghjklkjhgfds", "abcdefghijklm", "zyxwvut", "1234567890", "aaaaaaaa", "xyxyxyx", "dragon", "dr4g0n", "2019", "20190731", "K", "9#", "qaz", "rewq"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(LONG_PARTS), min_size=4, max_size=9))
+def test_long_values_have_the_cheapest_segmentation(parts):
+    words, value = {"dragon": 40, "agon": 90, "rag": 200}, "".join(parts)[:60]
+    ranks = {w: i + 1 for i, w in enumerate(secrets.COMMON)} | words
+    assert secrets.guess_cost(value, words) == pytest.approx(plain_cost(value, ranks))
+
+
+@pytest.mark.parametrize("unit", ["qw", "qwertyuioiuytre", "asdfgfdsaqwertrewq", "abcdefgfedcb", "ab1", "x", "zaqxswcde", "7Kq"])
+def test_long_values_take_time_in_proportion(unit):
+    value = (unit * 100_000)[:100_000]
+    began = time.perf_counter()
+    cost = secrets.guess_cost(value)
+    assert time.perf_counter() - began < 6 and 0 < cost < 8 * 100_000
+
+
 def test_query_columns_are_brute_force(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = secrets.query(spark, SF).collect()
@@ -501,6 +531,27 @@ def test_nearest_of_other_widths_and_of_many_copies(spark):
     assert got == [(5, 1, 6), (5, 2, 7), (10, 1, 11), (10, 2, 12), (10, 3, 12), (10, 4, 12), (10, 5, 12)]
 
 
+@pytest.mark.parametrize("width", [768, 1024, 1536, 4096])
+def test_wide_vectors_keep_every_neighbour(width):
+    """Vectors on the int8 grid have no quantisation error, so the bound is as tight as can be."""
+    rng = np.random.default_rng(width)
+    base = rng.integers(100, 128, width)
+    x = np.stack([base + rng.integers(-3, 4, width) * (rng.random(width) < 0.02) for _ in range(300)]).clip(1, 127)
+    x[:, 0] = 127
+    ids = np.arange(300)
+    got = blockjoin.tile(ids[:50], x[:50].astype(np.float32), ids, x.astype(np.float32), 5)
+    dots = x @ x.T  # whole numbers, without rounding
+    for q in range(50):
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-dots[q, i] / math.sqrt(dots[q, q] * dots[i, i]), i))[:5]
+        assert sorted(v for k, v, _ in got if k == q) == sorted(order)
+
+
+def test_very_large_and_small_components_have_a_cosine():
+    x = np.array([[1e200, 2e200, 1e200], [1e-200, 2e-200, 1.1e-200], [1.0, 2.0, 1.2]])
+    got = {(q, v): s for q, v, s in blockjoin.tile(np.arange(3), x, np.arange(3), x, 2)}
+    assert len(got) == 6 and all(0.99 < s <= 1 for s in got.values())
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(3)
     unit = blockjoin._unit(rng.normal(size=(400, 16)))
