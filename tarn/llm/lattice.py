@@ -49,8 +49,8 @@ from tarn.functions.lang import FUNCTION_WORDS
 from tarn.llm.common import crc_mod, stored, utf8
 
 MODULUS, HELD_OUT = 7, 2
-#: Longest piece in bytes; smaller weight of any byte; Zipf offset of the ranks.
-PIECE, FLOOR, ZIPF = 16, 1e-7, 50
+#: Smaller weight of any byte; Zipf offset of the ranks.
+FLOOR, ZIPF = 1e-7, 50
 DISCOUNT = 0.7
 #: Pieces that the vocabulary's scores, and all kinds together for each kind, are worth.
 PRIOR, SHARED, PASSES = 2000.0, 500.0, 2
@@ -76,7 +76,7 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> tuple[list[bytes], np.ndarr
     weight = {bytes([b]): FLOOR for b in range(256)}
     for i in said:
         piece, score = model.id_to_piece(i).replace("▁", "").encode().lower(), model.get_score(i)
-        if 0 < len(piece) <= PIECE:
+        if piece:
             w = 1.0 / ((-score if score > -1e8 else 1e6) + ZIPF) if ranks else math.exp(score)
             weight[piece] = weight.get(piece, 0.0) + w
     pieces = sorted(weight)
