@@ -88,6 +88,8 @@ def piece_table(spark: SparkSession, name: str = "piece_bpe_32k.model") -> DataF
     order = sorted(pieces.items(), key=lambda x: (-x[1][1], x[1][0]))
     if len(order) >= 1 << 15:
         raise ValueError("an edge's number has 15 bits for ids and ranks")
+    if max(map(len, pieces)) > OVER:
+        raise ValueError(f"an edge lies in one block only up to {OVER} characters")
     rows = pd.DataFrame([(p, i, s, r) for r, (p, (i, s)) in enumerate(order)], columns=["piece", "id", "score", "rank"])
     return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
 
