@@ -18,11 +18,12 @@ evaluation per landmark. A document's score is a logistic function of its worst
 sentence's decision.
 
 The fit uses labelled rows up to ``SAMPLE`` (the smallest hashes), and of these
-up to ``TOXIC`` and ``CLEAN`` sentences (the smallest hashes) of at most
-``CHARACTERS``, which bounds what comes to the driver; scoring reads every whole text.
-Sentences end at marks, line ends and after ``WINDOW`` words. Words are lower-cased and
+up to ``TOXIC`` and ``CLEAN`` sentences (the smallest hashes), which bounds what comes to the driver; a
+sentence of more than ``CHARACTERS`` teaches in several parts. Scoring reads every whole text.
+Sentences end at marks of any script, line ends and after ``WINDOW`` words. Words are lower-cased and
 stripped to letters, digits and the usual stand-ins for letters are read as those; three or
-more single characters in a row are also read as one word.
+more single characters in a row are also read as one word. Letters beyond a-z count as themselves: a subsequence
+that holds one is told from others by a hash.
 
 Defined cases: null and empty texts are one sentence without words; rows with a null doc_id
 are scored; labels that are null, not 0 or 1, or of no document are ignored; a
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import bounded_sample, crc_mod, read_table, stored, texts
 from tarn.llm.quality import labelled
 
-#: Labelled rows, sentences of toxic and of clean ones among them, characters of such a sentence.
+#: Labelled rows, sentences of toxic and of clean ones among them, characters of such a sentence before it is cut.
 SAMPLE, TOXIC, CLEAN, CHARACTERS = 8_000, 60_000, 40_000, 400
 THRESHOLD = 0.7
 DECAY, SPAN, WINDOW = 0.6, 5, 12
@@ -60,7 +61,7 @@ CELLS, HELD = 1 << 16, 300_000
 _STAND_INS = str.maketrans("013457@$!", "oieastasi")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
-_END = re.compile(r"[.!?]+(?:\s|$)|\n")
+_END = re.compile(r"[.!?]+(?:\s|$)|[。！？｡؟।]+|\n")
 
 
 def plain(word: str) -> str:
@@ -82,14 +83,29 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def portions(words: list[str]) -> list[list[str]]:
+    """A sentence's words in parts of at most ``CHARACTERS``; a longer word is cut, too, each part beginning with
+    the last characters of the one before."""
+    out, size = [[]], 0
+    step = CHARACTERS - SPAN
+    for word in words:
+        for part in [word] if len(word) <= CHARACTERS else [word[i : i + CHARACTERS] for i in range(0, len(word) - SPAN, step)]:
+            if size + len(part) > CHARACTERS and out[-1]:
+                out.append([])
+                size = 0
+            out[-1].append(part)
+            size += len(part)
+    return [p for p in out if p]
+
+
 def _codes(words: list[str]) -> np.ndarray:
-    """Characters as numbers from 1 to 29, 30 and 31 at a word's ends (0: none), one row each."""
+    """Characters as numbers, a-z from 1 to 26, 30 and 31 at a word's ends (0: none), others from 32 on, one row each."""
     width = max(map(len, words))
     raw = np.array(words, f"<U{max(1, width)}").view(np.uint32).reshape(len(words), -1)
     latin = (raw >= 97) & (raw <= 122)
     out = np.zeros((len(words), raw.shape[1] + 2), np.int32)
     out[:, 0] = 30
-    out[:, 1:-1] = np.where(raw == 0, 0, np.where(latin, raw - 96, 27 + raw % 3))
+    out[:, 1:-1] = np.where(raw == 0, 0, np.where(latin, raw - 96, 32 + raw))
     out[np.arange(len(words)), [len(w) + 1 for w in words]] = 31
     return out
 
@@ -98,10 +114,20 @@ _OFFSETS = [(0, *c) for p in (2, 3) for c in combinations(range(1, SPAN), p)]
 TABLE = (1 << 20) + (1 << 15)
 
 
+def _hashed(parts: list[np.ndarray]) -> np.ndarray:
+    """A code from those of its length for a subsequence with letters beyond a-z."""
+    h = np.zeros(parts[0].shape, np.uint32)
+    for x in parts:
+        h = (h ^ x.astype(np.uint32)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h & np.uint32((1 << 5 * len(parts)) - 1)).astype(np.int32)
+
+
 def occurrences(codes: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Code and weight of each occurrence of a subsequence in each row, of those that begin
     in the first ``starts`` places. Codes of 4 characters follow those of 3; nothing is (0, 0)."""
     ids, weights = [np.zeros((len(codes), 1), np.int32)], [np.zeros((len(codes), 1), np.float32)]
+    other = bool((codes >= 32).any())
     for o in _OFFSETS:
         n = min(codes.shape[1] - o[-1], codes.shape[1] if starts is None else starts)
         if n <= 0:
@@ -110,6 +136,8 @@ def occurrences(codes: np.ndarray, starts: int | None = None) -> tuple[np.ndarra
         there, key = parts[-1] > 0, parts[0]
         for x in parts[1:]:
             key = key * 32 + x
+        if other:
+            key = np.where(np.logical_or.reduce([x >= 32 for x in parts]), _hashed(parts), key)
         ids.append(np.where(there, key + (0 if len(o) == 3 else 1 << 15), 0))
         weights.append(np.where(there, np.float32(DECAY ** (o[-1] + 1 - len(o))), np.float32(0)))
     return np.concatenate(ids, axis=1), np.concatenate(weights, axis=1)
@@ -314,7 +342,7 @@ def _virtual(bad: list[Sentence], value: dict[str, float], clean: set[str]) -> l
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(label, doc_id, [p for p in map(plain, s) if p]) for label, doc_id, text in zip(batch.column("label").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch, "text")) for s in sentences(text)]
-        rows = [r for r in rows if r[2] and sum(map(len, r[2])) <= CHARACTERS]
+        rows = [(label, doc_id, part) for label, doc_id, words in rows for part in portions(words)]
         label, doc_id, words = zip(*rows) if rows else ((), (), ())
         yield pa.record_batch([pa.array(label, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["label", "doc_id", "words"])
 

@@ -152,6 +152,33 @@ def toxic_table(spark, bad, text, n=(150, 600)):
     return df.select("doc_id", "text"), df.select("doc_id", "toxic")
 
 
+def kernel(a, b):
+    (_, i, x), (_, j, y) = (next(toxicity.features([w])) for w in (a, b))
+    u, v = np.zeros(toxicity.TABLE), np.zeros(toxicity.TABLE)
+    np.add.at(u, i, x)
+    np.add.at(v, j, y)
+    return float(u @ v / np.sqrt((u @ u) * (v @ v)))
+
+
+def test_other_scripts_are_told_apart():
+    assert kernel("我们今天去公园散步", "他昨天买了一本新书") < 0.1
+    assert kernel("здравствуйте", "благодарность") < 0.2
+    assert kernel("ты дурак".replace(" ", ""), "ты дуурак".replace(" ", "")) > 0.4
+    assert kernel("idiot", "idi0t".replace("0", "o")) == pytest.approx(1)
+    assert kernel("idiot", "idüot") > kernel("idiot", "märchen")
+    assert [len(s) for s in toxicity.sentences("今天很好。他来了！真的？ok. yes")] == [1, 1, 1, 1, 1]
+
+
+def test_long_sentences_teach_in_parts():
+    words = ["a" * 300, "b" * 90, "c" * 20, "".join(chr(97 + i % 26) for i in range(1000))]
+    parts = toxicity.portions(words)
+    assert parts[0] == words[:2] and all(sum(map(len, p)) <= toxicity.CHARACTERS for p in parts)
+    assert toxicity.portions(["x"]) == [["x"]] and toxicity.portions([]) == []
+    long = [w for p in parts for w in p if w[0] not in "bc" and len(set(w)) > 1]
+    grams = {long_[i : i + toxicity.SPAN] for long_ in long for i in range(len(long_) - toxicity.SPAN + 1)}
+    assert grams == {words[3][i : i + toxicity.SPAN] for i in range(1000 - toxicity.SPAN + 1)}
+
+
 def test_toxicity_catches_changed_insults(spark):
     rng = np.random.default_rng(0)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea"]
