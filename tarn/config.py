@@ -25,6 +25,12 @@ class Config:
     prosperous: int = 3  # backlinking domains that make a URL prosperous
     snippet: int = 80  # characters around the first hit
     results: int = 10  # results of a search
+    word_longest: int = 8  # letters of a learnt word
+    word_least: int = 5  # times that it occurs
+    word_cohesion: float = 0.0  # how much its parts stick together
+    word_entropy: float = 2.2  # how much what stands beside it varies
+    word_passes: int = 2  # times that words are counted again by the cut of the texts
+    dictionary: int = 200_000  # words that tasks cut by
     index_buckets: int = 16  # folders of a stored index's segment
     index_segments: int = 4  # segments of a bucket before they are made one
     block_cell: int = 256  # document numbers that a block's documents lie within

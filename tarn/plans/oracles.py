@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarn.config import DEFAULT
 from tarn.functions.lang import FUNCTION_WORDS
+from tarn.functions.language import BUCKETS, SIZES, STEP
 from tarn.functions.text import STOP_WORDS
 from tarn.plans.queries import QUERY
 
@@ -75,6 +76,36 @@ LANG_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x)
 LANG_BEST = " ".join(f"WHEN {lang} = greatest({', '.join(FUNCTION_WORDS)}) THEN '{lang}'" for lang in sorted(FUNCTION_WORDS, reverse=True))
 
 
+HELD_LANG = f"(CAST(floor({_uniform('doc_id', 'lang')} * 1000000) AS BIGINT) % 100 < 20)"
+BYTES = "list_transform(range(1, length(x) // 2 + 1), lambda i: CAST(('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2)) AS BIGINT))"
+_CODES = " UNION ALL ".join(
+    f"SELECT doc_id, ({' + '.join(f'b[i + {k}] * {256 ** (n - 1 - k)}' for k in range(n))} + {n * STEP}) % {BUCKETS} AS bucket FROM (SELECT doc_id, b, unnest(range(1, len(b) - {n} + 2)) AS i FROM bytes)" for n in SIZES
+)
+LANGUAGE = f"""letters AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(replace(text, chr(10), '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+bytes AS (SELECT doc_id, {BYTES} AS b FROM (SELECT doc_id, hex(encode(t)) AS x FROM letters)),
+coded AS MATERIALIZED (SELECT doc_id, bucket, count(*) AS n FROM ({_CODES}) GROUP BY ALL),
+taught AS (SELECT l.lang, c.bucket, CAST(sum(c.n) AS BIGINT) AS n FROM coded c JOIN letters l USING (doc_id) WHERE NOT {HELD_LANG} AND l.lang IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS total FROM taught GROUP BY lang),
+every AS (SELECT lang, doc_id, bucket, c.n AS times, total FROM coded c CROSS JOIN total),
+scores AS (SELECT e.doc_id, e.lang, sum(e.times * CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE / (e.total + {BUCKETS})::DOUBLE)) AS BIGINT)) AS score FROM every e LEFT JOIN taught t USING (lang, bucket) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM scores)"""
+_L = DEFAULT.word_longest
+CANDIDATES = f"""runs AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '{SPACE}', '', 'g'), '\\p{{L}}+')) AS run FROM documents),
+places AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs),
+g AS MATERIALIZED (SELECT gram, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT substr(run, i, {k}) AS gram FROM places WHERE i + {k} <= length(run) + 1" for k in range(1, _L + 2))}) GROUP BY gram),
+w AS MATERIALIZED (SELECT gram AS word, n FROM g WHERE length(gram) <= {_L} AND n >= {DEFAULT.word_least}),
+parts AS (SELECT c.word, max(a.n::DOUBLE * b.n) AS parts FROM (SELECT word, unnest(range(1, length(word))) AS k FROM w WHERE length(word) > 1) c
+  JOIN w a ON a.word = substr(c.word, 1, k) JOIN w b ON b.word = substr(c.word, k + 1) GROUP BY c.word),
+r AS (SELECT substr(gram, 1, length(gram) - 1) AS word, sum(n)::DOUBLE AS rn, sum(n * ln(n)) AS rs FROM g WHERE length(gram) > 1 GROUP BY 1),
+l AS (SELECT substr(gram, 2) AS word, sum(n)::DOUBLE AS ln_, sum(n * ln(n)) AS ls FROM g WHERE length(gram) > 1 GROUP BY 1),
+total AS (SELECT sum(n)::DOUBLE AS total FROM g WHERE length(gram) = 1)"""
+
+
+def _entropy(n: str, s: str) -> str:
+    end = f"(n - coalesce({n}, 0))"
+    return f"(ln(n) - (coalesce({s}, 0) + CASE WHEN {end} > 0 THEN {end} * ln({end}) ELSE 0 END) / n)"
+
+
 def _small(limits: str) -> str:
     """``PAGE_TF`` under other limits."""
     per_domain, of_term = limits.split()
@@ -151,6 +182,10 @@ ORACLES = {
     "page_store": f"""SELECT page_id, url, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title, CAST(len({HREFS}) AS INT) AS n_links, lower({_netloc('url')}) AS domain FROM pages""",
     "indicators": "SELECT count(*) AS rows, CAST(sum(length(url)) AS BIGINT) AS characters, max(length(url)) AS longest, CAST(count(*) FILTER (starts_with(url, 'http://')) AS BIGINT) AS plain FROM pages",
     "lang_detect": f"SELECT doc_id, CASE WHEN greatest({', '.join(FUNCTION_WORDS)}) = 0 THEN 'und' {LANG_BEST} END AS lang FROM (SELECT doc_id, {LANG_COUNTS} FROM (SELECT doc_id, {LANG_WORDS} AS w FROM documents))",
+    "lang_learnt": f"""WITH {LANGUAGE} SELECT d.doc_id, CASE WHEN length(l.t) <= 2 THEN 'und' ELSE r.lang END AS lang, {HELD_LANG.replace('doc_id', 'd.doc_id')} AS held_out
+      FROM documents d JOIN letters l USING (doc_id) LEFT JOIN (SELECT doc_id, lang FROM ranked WHERE r = 1) r USING (doc_id)""",
+    "word_candidates": f"""WITH {CANDIDATES} SELECT w.word, w.n, round(ln(n * total / parts), 6) + 0.0 AS cohesion, CASE WHEN length(w.word) > 1 THEN round(least({_entropy('rn', 'rs')}, {_entropy('ln_', 'ls')}), 6) + 0.0 END AS entropy
+      FROM w LEFT JOIN parts USING (word) LEFT JOIN r USING (word) LEFT JOIN l USING (word), total""",
     "edit_distance": "SELECT p.page_id, CAST(levenshtein(p.url, q.url) AS INT) AS distance FROM pages p JOIN pages q ON q.page_id = p.page_id + 1",
     "json_parse": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type",
     "errors_by_type": "SELECT 'ValueError' AS type, count(*) AS errors FROM pages WHERE NOT contains(html, '</html>') HAVING count(*) > 0",

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT, Config
-from tarn.functions import html, lang, text, urls
+from tarn.functions import html, lang, language, text, urls
 from tarn.metrics import error_counts, guarded, indicators_of, ordered_map
-from tarn.operators import blocks, index, links, sample, search
+from tarn.operators import blocks, index, links, sample, search, segment
 from tarn.operators.rank_cut import domain_cap, domain_cap_sorted, top_per_key
 from tarn.session import shared_path
 from tarn.sources.index_store import IndexStore
@@ -250,6 +250,38 @@ def edit_distance(spark: SparkSession, d: str) -> DataFrame:
     return pages.join(after, "page_id").select("page_id", F.levenshtein("url", "other").alias("distance"))
 
 
+def word_candidates(spark: SparkSession, d: str) -> DataFrame:
+    joined = _docs(spark, d).select(segment.unparted(F.col("text")).alias("text"))
+    return segment.candidates(segment.gram_counts(joined, DEFAULT.word_longest + 1))
+
+
+def segment_words(spark: SparkSession, d: str) -> DataFrame:
+    """All documents without their white space, cut by the words of four fifths of them: the places between letters where
+    white space was, where a cut is, and where both are."""
+    docs = _docs(spark, d).withColumn("held_out", sample.one_in(F.col("doc_id"), 20, "segment"))
+    cutter = segment.collected(segment.known_words(docs.where("not held_out")))
+    cut = segment.segmented(docs, cutter, "doc_id", segment.unparted(F.col("text")))
+    parts = F.regexp_extract_all(F.col("text"), F.lit(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"), 0)
+    joined = F.regexp_extract_all(segment.unparted(F.col("text")), F.lit(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"), 0)
+
+    def ends(words: Column) -> Column:
+        """Where each word ends."""
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+        return F.aggregate(F.transform(words, F.length), state, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends")))["ends"]
+
+    known = docs.join(cut, "doc_id").select("doc_id", "held_out", ends(parts).alias("true"), ends(joined).alias("marks"), ends(F.col("words")).alias("cut"))
+    true, found = F.array_except("true", "marks"), F.array_except("cut", "marks")
+    return known.select("doc_id", "held_out", F.size(true).alias("n_true"), F.size(found).alias("n_cut"), F.size(F.array_intersect(true, found)).alias("n_both"))
+
+
+def lang_learnt(spark: SparkSession, d: str) -> DataFrame:
+    """The language of all documents, by what four fifths of them teach."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", sample.one_in(F.col("doc_id"), 20, "lang"))
+    model = language.fitted(docs.where("not held_out"))
+    return language.detected(docs, model, "doc_id").withColumn("held_out", sample.one_in(F.col("doc_id"), 20, "lang"))
+
+
 def json_parse(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet").select("event_type", parse_json(F.col("props"), "k long").alias("p"))
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
@@ -340,5 +372,8 @@ QUERIES = {
     "scored_lists": scored_lists,
     "stream_postings": stream_postings,
     "lang_detect": lambda s, d: _docs(s, d).select("doc_id", lang.detect(F.col("text")).alias("lang")),
+    "lang_learnt": lang_learnt,
+    "word_candidates": word_candidates,
+    "segment_words": segment_words,
     "dom_shape": lambda s, d: _pages(s, d, "page_id", "html").select("page_id", html.dom_shape(F.col("html")).alias("shape")),
 }
