@@ -22,6 +22,7 @@ class Config:
     frontier_http: int = 50
     frontier_orphans: int = 50
     crawl_depth: int = 4
+    bloom_words: int = 1 << 16  # words of 64 bits of the filter of visited URLs
     prosperous: int = 3  # backlinking domains that make a URL prosperous
     snippet: int = 80  # characters around the first hit
     results: int = 10  # results of a search

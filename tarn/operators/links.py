@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarn.config import DEFAULT, Config
 from tarn.functions.html import absolute, description, hrefs, title, visible
 from tarn.functions.urls import netloc, prefixes
-from tarn.operators.rank_cut import top_per_key
+from tarn.operators.rank_cut import kth_smallest, top_per_key
 from tarn.operators.sample import uniform, weighted
 from tarn.session import shared_path
 
@@ -59,6 +59,18 @@ def frozen_counts(urls: DataFrame, freeze_at: int, pos: str = "pos", url: str =
     return found.groupBy("prefix").agg(F.count("*").alias("n"), F.min("__pos").alias("made")).where(F.col("made") <= freeze_at).select("prefix", "n")
 
 
+def frozen_by_size(urls: DataFrame, nodes: int, pos: str = "pos", url: str = "url") -> DataFrame:
+    """(prefix, n) of the tree that stops growing after the link with which it has ``nodes`` nodes or more: its nodes are those
+    made up to that link, with all their occurrences. A node is made where its prefix first occurs, so that link
+    stands where the ``nodes``-th smallest first occurrence is."""
+    spark, path = urls.sparkSession, shared_path(urls.sparkSession, "tree")
+    found = urls.select(F.col(pos).cast("long").alias("__pos"), F.explode(prefixes(F.col(url))).alias("prefix"))
+    found.groupBy("prefix").agg(F.count("*").alias("n"), F.min("__pos").alias("made")).write.option("compression", "zstd").parquet(path)
+    tree = spark.read.schema("prefix string, n long, made long").parquet(path)
+    last = kth_smallest(tree, "made", nodes)
+    return (tree if last is None else tree.where(F.col("made") <= last)).select("prefix", "n")
+
+
 def prosperous(counts: DataFrame, least: int = DEFAULT.prosperous) -> DataFrame:
     """The prefixes of at least ``least`` backlinks; write with ``sources.store.write_json``."""
     return counts.where(F.col("n") >= least)

@@ -37,6 +37,23 @@ def domain_cap_sorted(urls: DataFrame, limit: int = DEFAULT.domain_cap, pos: str
     return domain_cap(urls, limit, pos, url).orderBy(pos)
 
 
+def kth_smallest(df: DataFrame, column: str, k: int, bins: int = 1024) -> int | None:
+    """The ``k``-th smallest value (from 1) of a column of whole numbers, or None if there are fewer. Each round counts the values in
+    ``bins`` equal ranges and goes on within the one that has it; nothing is sorted or gathered."""
+    lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if n < k:
+        return None
+    while lo < hi:
+        width = (hi - lo) // bins + 1
+        inside = df.where(F.col(column).between(lo, hi))
+        for b, n in sorted(tuple(r) for r in inside.groupBy(F.floor((F.col(column) - lo) / width).cast("long")).count().collect()):
+            if n >= k:
+                lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+                break
+            k -= n
+    return lo
+
+
 def ranked_overall(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """All rows with their rank (long, from 1) over the whole table. Ranges of ``order`` are
     sorted by a task each and stored; only the number of rows of each range comes to the driver.

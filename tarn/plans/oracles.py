@@ -6,7 +6,7 @@ from tarn.config import DEFAULT
 from tarn.functions.lang import FUNCTION_WORDS
 from tarn.functions.language import BUCKETS, SIZES, STEP
 from tarn.functions.text import STOP_WORDS
-from tarn.plans.queries import QUERY
+from tarn.plans.queries import CRAWL, QUERY, WEB
 
 NETLOC = "regexp_extract({0}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -112,6 +112,29 @@ def _small(limits: str) -> str:
     return PAGE_TF.replace(f"r <= {DEFAULT.postings_per_domain})", f"r <= {per_domain})").replace(f"rank <= {DEFAULT.postings_limit})", f"rank <= {of_term})")
 
 
+def _crawl() -> str:
+    """Every level of the crawl written out."""
+    links = " UNION ALL ".join(f"SELECT page_id, url, (page_id * {k} + {c}) % (SELECT count(*) FROM pages) AS goes FROM pages" for k, c in WEB)
+    parts = [
+        f"""web AS MATERIALIZED (SELECT l.url AS src, t.url AS dst FROM ({links}) l JOIN pages t ON t.page_id = l.goes),
+      back AS (SELECT dst AS url, count(DISTINCT lower({_netloc('src')})) AS n FROM web WHERE lower({_netloc('src')}) <> lower({_netloc('dst')}) GROUP BY dst),
+      known AS MATERIALIZED (SELECT p.url, lower({_netloc('p.url')}) AS domain, coalesce(n, 0) AS backlinks, page_id % 3 = 0 AS orphan FROM pages p LEFT JOIN back USING (url)),
+      v0 AS MATERIALIZED (SELECT url, 0 AS level FROM pages WHERE page_id < 3)"""
+    ]
+    for level in range(1, CRAWL.crawl_depth + 1):
+        b = f"v{level - 1}"
+        parts.append(
+            f"""n{level} AS MATERIALIZED (SELECT DISTINCT k.* FROM {b} JOIN web ON web.src = {b}.url AND {b}.level = {level - 1} JOIN known k ON k.url = web.dst WHERE web.dst NOT IN (SELECT url FROM {b})),
+      s{level} AS (SELECT lower({_netloc('url')}) AS domain, count(*) AS visits FROM {b} GROUP BY 1),
+      a{level} AS (SELECT * EXCLUDE (visits), round(-ln({_uniform('url')}) / ((1 + ln(1 + backlinks)) / (1 + coalesce(visits, 0))), 9) AS draw FROM n{level} LEFT JOIN s{level} USING (domain) ORDER BY draw, url LIMIT {CRAWL.frontier_size}),
+      d{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {_uniform('url', 'domain')}, url) AS r FROM a{level}) WHERE r <= {CRAWL.frontier_per_domain}),
+      h{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY starts_with(url, 'http://') ORDER BY {_uniform('url', 'http')}, url) AS q FROM d{level}) WHERE q <= {CRAWL.frontier_http} OR NOT starts_with(url, 'http://')),
+      o{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY {_uniform('url', 'orphan')}, url) AS p FROM h{level}) WHERE p <= {CRAWL.frontier_orphans} OR NOT orphan),
+      v{level} AS MATERIALIZED (SELECT url, level FROM {b} UNION ALL SELECT url, {level} AS level FROM o{level})"""
+        )
+    return f"WITH {', '.join(parts)} SELECT url, CAST(level AS INT) AS level FROM v{CRAWL.crawl_depth}"
+
+
 ORACLES = {
     "url_netloc": f"SELECT page_id, {_netloc('url')} AS netloc FROM pages",
     "url_home": f"SELECT page_id, {_home('url')} AS page_home, {_home(f"('https://' || {_netloc('url')})")} AS host_home FROM pages",
@@ -182,6 +205,12 @@ ORACLES = {
     "page_store": f"""SELECT page_id, url, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title, CAST(len({HREFS}) AS INT) AS n_links, lower({_netloc('url')}) AS domain FROM pages""",
     "indicators": "SELECT count(*) AS rows, CAST(sum(length(url)) AS BIGINT) AS characters, max(length(url)) AS longest, CAST(count(*) FILTER (starts_with(url, 'http://')) AS BIGINT) AS plain FROM pages",
     "lang_detect": f"SELECT doc_id, CASE WHEN greatest({', '.join(FUNCTION_WORDS)}) = 0 THEN 'und' {LANG_BEST} END AS lang FROM (SELECT doc_id, {LANG_COUNTS} FROM (SELECT doc_id, {LANG_WORDS} AS w FROM documents))",
+    "crawl_levels": _crawl(),
+    "redirects": f"""WITH RECURSIVE {EDGES}, sent AS (SELECT src, dst FROM edges WHERE pos % 5 < 3),
+      walk AS (SELECT src AS url, dst AS "at", CAST(1 AS BIGINT) AS hops FROM sent UNION SELECT walk.url, sent.dst, hops + 1 FROM walk JOIN sent ON sent.src = walk."at" WHERE hops <= (SELECT count(*) FROM sent))
+      SELECT url, max(CASE WHEN "at" NOT IN (SELECT src FROM sent) THEN "at" END) AS final_url, max(CASE WHEN "at" NOT IN (SELECT src FROM sent) THEN hops END) AS hops FROM walk GROUP BY url""",
+    "freeze_by_size": f"""WITH {EDGES}, f AS (SELECT prefix, count(*) AS n, min(pos) AS made FROM (SELECT pos, unnest({_prefixes('dst')}) AS prefix FROM edges) GROUP BY prefix)
+      SELECT prefix, n FROM f WHERE made <= coalesce((SELECT made FROM f ORDER BY made LIMIT 1 OFFSET 149), (SELECT max(made) FROM f))""",
     "lang_learnt": f"""WITH {LANGUAGE} SELECT d.doc_id, CASE WHEN length(l.t) <= 2 THEN 'und' ELSE r.lang END AS lang, {HELD_LANG.replace('doc_id', 'd.doc_id')} AS held_out
       FROM documents d JOIN letters l USING (doc_id) LEFT JOIN (SELECT doc_id, lang FROM ranked WHERE r = 1) r USING (doc_id)""",
     "word_candidates": f"""WITH {CANDIDATES} SELECT w.word, w.n, round(ln(n * total / parts), 6) + 0.0 AS cohesion, CASE WHEN length(w.word) > 1 THEN round(least({_entropy('rn', 'rs')}, {_entropy('ln_', 'ls')}), 6) + 0.0 END AS entropy

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarn.config import DEFAULT, Config
 from tarn.functions import html, lang, language, text, urls
 from tarn.metrics import error_counts, guarded, indicators_of, ordered_map
-from tarn.operators import blocks, index, links, sample, search, segment
+from tarn.operators import blocks, crawl, index, links, sample, search, segment
 from tarn.operators.rank_cut import domain_cap, domain_cap_sorted, top_per_key
 from tarn.session import shared_path
 from tarn.sources.index_store import IndexStore
@@ -42,6 +42,17 @@ def derived_edges(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("pos"), F.col("url").alias("src"), F.pmod(F.col("page_id") * 7 + 3, F.lit(max(total, 1))).alias("to")).join(to, "to").select("pos", "src", "dst", "to")
 
 
+#: Every page of the derived web links to the pages of these numbers: (factor, step).
+WEB = ((7, 3), (11, 5), (13, 1), (17, 8))
+
+
+def derived_web(pages: DataFrame) -> DataFrame:
+    """(src, dst): ``derived_edges`` with several links a page."""
+    n = max(pages.count(), 1)
+    to = F.explode(F.array(*[F.pmod(F.col("page_id") * k + c, F.lit(n)) for k, c in WEB])).alias("to")
+    return pages.select(F.col("url").alias("src"), to).join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+
+
 def _prosperity(pages: DataFrame) -> DataFrame:
     return links.prefix_counts(links.cross_domain(derived_edges(pages)), "dst")
 
@@ -282,6 +293,25 @@ def lang_learnt(spark: SparkSession, d: str) -> DataFrame:
     return language.detected(docs, model, "doc_id").withColumn("held_out", sample.one_in(F.col("doc_id"), 20, "lang"))
 
 
+CRAWL = Config(frontier_size=60, frontier_per_domain=2, frontier_http=12, frontier_orphans=5)
+
+
+def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl from the seed pages whose frontier is pruned by all rules after each level. Pages of every third number count as without backlinks."""
+    pages = _pages(spark, d, "page_id", "url")
+    web = derived_web(pages)
+    n = links.backlinks(web).withColumnRenamed("n", "backlinks")
+    known = pages.join(n, "url", "left").select("url", F.coalesce("backlinks", F.lit(0)).alias("backlinks"), F.when(F.col("page_id") % 3 == 0, 0).otherwise(1).alias("domain_backlinks"))
+    return crawl.crawl(seed_scan(spark, d), web, known, CRAWL)[0]
+
+
+def redirects(spark: SparkSession, d: str) -> DataFrame:
+    """Three of five pages send on to the page that their derived link leads to."""
+    pages = _pages(spark, d, "page_id", "url")
+    sent = derived_edges(pages).where(F.col("pos") % 5 < 3).select("src", "dst")
+    return crawl.resolved(sent)
+
+
 def json_parse(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet").select("event_type", parse_json(F.col("props"), "k long").alias("p"))
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
@@ -372,6 +402,9 @@ QUERIES = {
     "scored_lists": scored_lists,
     "stream_postings": stream_postings,
     "lang_detect": lambda s, d: _docs(s, d).select("doc_id", lang.detect(F.col("text")).alias("lang")),
+    "crawl_levels": crawl_levels,
+    "redirects": redirects,
+    "freeze_by_size": lambda s, d: links.frozen_by_size(derived_edges(_pages(s, d, "page_id", "url")), 150, "pos", "dst"),
     "lang_learnt": lang_learnt,
     "word_candidates": word_candidates,
     "segment_words": segment_words,
