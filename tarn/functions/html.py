@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,38 +24,77 @@ LEFT_OUT = set("a p li ul span img br svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 
+#: A character reference, whole.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescaped(text: Column) -> Column:
+    """``text`` with numeric character references and the named ones of HTML 4 decoded, each once; others stay."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+    parts = F.split(F.regexp_replace(text, f"({REFERENCE})", "\u0000$1\u0000"), "\u0000")
+
+    def decoded(part: Column) -> Column:
+        inner = F.substring(part, F.lit(2), F.length(part) - 2)
+        digits = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10)).otherwise(F.substring(inner, F.lit(2), F.length(inner)))
+        code = digits.try_cast("long")
+        is_character = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(is_character, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(inner.startswith("#"), numeric).otherwise(F.coalesce(F.try_element_at(named, inner), part))
+
+    whole = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{REFERENCE}$"), decoded(p)).otherwise(p)), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def description(html: Column) -> Column:
     """What the page's meta tag says of it, or an empty string."""
     tag = F.regexp_extract(html, r"""(?is)(<meta\s[^>]*name=["']?description(?=["'\s/>])[^>]*>)""", 1)
-    return F.regexp_extract(tag, r"""(?is)\scontent=(["'])(.*?)\1""", 2)
+    return unescaped(F.regexp_extract(tag, r"""(?is)\scontent=(["'])(.*?)\1""", 2))
+
+
+#: The value of the first ``href`` of an ``a`` tag, in quotes of either kind or without.
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def hrefs(html: Column) -> Column:
     """The links of ``a`` tags, in order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), 1), lambda h: unescaped(F.trim(F.regexp_replace(h, "^[\"']|[\"']$", ""))))
 
 
 def absolute(base: Column, href: Column) -> Column:
-    """A link in full: rooted links take the base's scheme and host, others its folder."""
+    """A link in full, as RFC 3986 resolves it: rooted links take the base's scheme and host, others its folder, dot segments go."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    bare = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.split(F.regexp_replace(F.substring(bare, F.length(root) + 1, F.length(bare)), "[^/]*$", ""), "/")
+    path, after = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    # The folder of ``/a/b`` is ``/a/``, which splits into an empty part, ``a`` and an empty part.
+    start = F.when(path.startswith("/") | (F.size(folder) < 2), F.array(F.lit(""))).otherwise(F.slice(folder, 1, F.size(folder) - 1))
+    parts = F.concat(start, F.split(F.regexp_replace(path, "^/", ""), "/"))
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p))),
+    )
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.array_join(kept, "/")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), href))
+        .when(href == "", base)
+        .when(href.startswith("?"), F.concat(bare, href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .otherwise(F.concat(root, F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)), after))
     )
 
 
 def visible(html: Column) -> Column:
     """The text of a page: without scripts, styles, comments and tags."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
 
 
 #: An opening tag ends open elements of these kinds, up to one of the kinds after the bar.

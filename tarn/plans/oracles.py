@@ -54,7 +54,18 @@ CROSS = f"{EDGES}, crossing AS (SELECT DISTINCT lower({_netloc('src')}) AS src_d
 BACK = f"{CROSS}, back AS (SELECT dst AS url, count(*) AS n FROM crossing GROUP BY dst)"
 FRONT = f"{BACK}, front AS (SELECT p.page_id, p.url, coalesce(b.n, 0) AS backlinks FROM pages p LEFT JOIN back b USING (url))"
 PROSPERITY = f"{CROSS}, counts AS (SELECT unnest({_prefixes('dst')}) AS prefix FROM crossing), prosperity AS (SELECT prefix, count(*) AS n FROM counts GROUP BY prefix)"
-VISIBLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))"""
+
+
+def _unescaped(x: str) -> str:
+    """The character references that the pages have, the ampersand's last."""
+    for name, character in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\xa0"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{character}')"
+    return x
+
+
+_BARE = r"""regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"""
+VISIBLE = rf"""trim(regexp_replace({_unescaped(_BARE)}, '\s+', ' ', 'g'))"""
+TITLE = _unescaped("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")
 PAGE_TF = f"""page_text AS (SELECT page_id, {VISIBLE} AS text FROM pages),
 ptf AS (SELECT page_id, term, count(*) AS tf FROM (SELECT page_id, lower(unnest({PLAIN})) AS term FROM page_text) WHERE {KEPT} GROUP BY ALL),
 weighted AS (SELECT term, url, round(tf * (1 + ln(1 + backlinks)) * (1 - {_penalty('url')}), 6) AS weight, lower({_netloc('url')}) AS domain FROM ptf JOIN front USING (page_id)),
@@ -68,7 +79,9 @@ CAP = f"""SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY lo
   WHERE rn <= {DEFAULT.domain_cap} OR {_home('url')}"""
 SEGMENT = f"list_filter(regexp_extract_all(x, '{HAN}|[\\p{{L}}\\p{{N}}]+'), lambda y: y <> '')"
 ROOT = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
-HREFS = r"""regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1, 'i')"""
+_HREF = r"""<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+_TRIMMED = """trim(regexp_replace(y, '^["'']|["'']$', '', 'g'))"""
+HREFS = f"list_transform(regexp_extract_all(html, '{_HREF}', 1, 'i'), lambda y: {_unescaped(_TRIMMED)})"
 SEARCH_TERMS = f"""list_filter(list_transform(flatten(list_transform({PIECES}, lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9]+') THEN [x] ELSE {SEGMENT} END)), lambda t: lower(t)), lambda t: t <> '' AND t NOT IN ({STOP}) AND length(t) <= {DEFAULT.term_limit})"""
 
 LANG_WORDS = f"list_transform(list_filter(string_split_regex(replace(text, chr(10), ''), '{SPACE}'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '[^\\p{{L}}]+$', ''))"
@@ -164,8 +177,8 @@ ORACLES = {
     "compaction_flag": f"""WITH {TF}, c AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
       f AS (SELECT term, n, n > {DEFAULT.compact_over * DEFAULT.postings_limit}::DOUBLE AS over, CAST(floor({_uniform('term', '0')} * 1000000) AS BIGINT) % 100 < {DEFAULT.compact_percent} AS forced FROM c)
       SELECT term, n, over, forced, over OR forced AS due FROM f""",
-    "page_records": rf"""SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title, CAST(length({VISIBLE}) AS INT) AS n_text, CAST(len({HREFS}) AS INT) AS n_links, url AS final_url FROM pages""",
-    "page_title": "SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title FROM pages",
+    "page_records": rf"""SELECT page_id, {TITLE} AS title, CAST(length({VISIBLE}) AS INT) AS n_text, CAST(len({HREFS}) AS INT) AS n_links, url AS final_url FROM pages""",
+    "page_title": f"SELECT page_id, {TITLE} AS title FROM pages",
     "page_links": f"""SELECT page_id, CAST(i - 1 AS INT) AS pos, {ROOT} || h[i] AS dst FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, url, {HREFS} AS h FROM pages))""",
     "backlinks_xdomain": f"WITH {BACK} SELECT url, n FROM back",
     "backlink_freeze": f"WITH {EDGES}, f AS (SELECT pos, unnest({_prefixes('dst')}) AS prefix FROM edges) SELECT prefix, count(*) AS n FROM f GROUP BY prefix HAVING min(pos) <= 100",
@@ -202,7 +215,7 @@ ORACLES = {
     "prosperity_json": f"WITH {PROSPERITY} SELECT prefix, n FROM prosperity WHERE n >= {DEFAULT.prosperous}",
     "domain_info": f"""WITH p AS (SELECT lower({_netloc('url')}) AS domain, list_transform({HREFS}, lambda h: lower({_netloc(f"({ROOT} || h)")})) AS o FROM pages)
       SELECT domain, count(*) AS visits, array_to_string(list_sort(list_distinct(flatten(list(o)))), ' ') AS outlinks FROM p GROUP BY domain""",
-    "page_store": f"""SELECT page_id, url, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title, CAST(len({HREFS}) AS INT) AS n_links, lower({_netloc('url')}) AS domain FROM pages""",
+    "page_store": f"""SELECT page_id, url, {TITLE} AS title, CAST(len({HREFS}) AS INT) AS n_links, lower({_netloc('url')}) AS domain FROM pages""",
     "indicators": "SELECT count(*) AS rows, CAST(sum(length(url)) AS BIGINT) AS characters, max(length(url)) AS longest, CAST(count(*) FILTER (starts_with(url, 'http://')) AS BIGINT) AS plain FROM pages",
     "lang_detect": f"SELECT doc_id, CASE WHEN greatest({', '.join(FUNCTION_WORDS)}) = 0 THEN 'und' {LANG_BEST} END AS lang FROM (SELECT doc_id, {LANG_COUNTS} FROM (SELECT doc_id, {LANG_WORDS} AS w FROM documents))",
     "crawl_levels": _crawl(),
