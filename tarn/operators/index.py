@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT, Config
-from tarn.functions.text import kept, plain_tokens, terms
+from tarn.functions.text import is_plain, kept, pieces, plain_tokens, terms
 from tarn.functions.urls import netloc, penalty, variant_key
 from tarn.operators.rank_cut import top_per_key
 from tarn.operators.sample import one_in
@@ -18,6 +18,13 @@ def term_frequencies(docs: DataFrame, key: str, text: str = "text", plain: bool
     return docs.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def positions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, places): where each plain term stands in a text, as numbers of its pieces between white space from 0 on. A text's
+    tokenized part is bounded, and so are its lists."""
+    each = docs.select(key, F.posexplode(pieces(F.col(text))).alias("place", "piece")).where(is_plain(F.col("piece")))
+    return each.select(key, "place", F.lower("piece").alias("term")).where(kept(F.col("term"))).groupBy(key, "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
 def document_frequencies(tf: DataFrame) -> DataFrame:
     """(term, df): how many texts hold a term."""
     return tf.groupBy("term").agg(F.count("*").alias("df"))

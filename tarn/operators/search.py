@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT
-from tarn.functions.text import terms
+from tarn.functions.text import pieces, terms
 from tarn.operators import blocks
+from tarn.operators.index import positions
 from tarn.sources.index_store import IndexStore
 
 
@@ -59,6 +60,37 @@ def shown(best: DataFrame, documents: DataFrame, q: str, key: str) -> DataFrame:
     return rows.select(key, "score", snippet(F.col("text"), q).alias("snippet"))
 
 
+def windows(places: DataFrame, key: str) -> DataFrame:
+    """Q6: (key, n_terms, first, last): of ``places`` (key, term, places) of the terms of one query, the least stretch of each text that has
+    all of these terms that the text has; of equal ones the first. A hit ends such a stretch where every term has been met,
+    and the stretch begins at the term whose last place is furthest back: one pass over a text's hits in order."""
+    of_text = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "places"))).alias("terms"))
+    n = F.size("terms")
+    each = F.flatten(F.transform("terms", lambda t, i: F.transform(t["places"], lambda p: F.struct(p.alias("place"), i.alias("term")))))
+    none = F.transform(F.sequence(F.lit(1), n), lambda i: F.lit(-1))
+    start = F.struct(none.alias("last"), F.lit(None).cast("struct<size:int,first:int,last:int>").alias("best"))
+
+    def met(acc: Column, hit: Column) -> Column:
+        last = F.transform(acc["last"], lambda p, i: F.when(i == hit["term"], hit["place"]).otherwise(p))
+        first = F.array_min(last)
+        found = F.when(first >= 0, F.struct((hit["place"] - first).alias("size"), first.alias("first"), hit["place"].alias("last")))
+        return F.struct(last.alias("last"), F.array_min(F.array(acc["best"], found)).alias("best"))
+
+    best = F.aggregate(F.array_sort(each), start, met)["best"]
+    return of_text.select(key, n.alias("n_terms"), best.alias("best")).select(key, "n_terms", F.col("best.first").alias("first"), F.col("best.last").alias("last"))
+
+
+def window_snippets(best: DataFrame, documents: DataFrame, q: str, key: str = "doc_id", width: int = DEFAULT.snippet) -> DataFrame:
+    """Q6: (key, score, n_terms, first, last, snippet) of the ``k`` rows of ``best`` (key, score): the least stretch of a text with the query's terms,
+    then the text from there on up to ``width`` characters. ``documents`` has each key once."""
+    rows = documents.select(key, "text").join(F.broadcast(best), key)  # ``k`` rows
+    wanted = F.array_distinct(terms(F.lit(q)))
+    found = windows(positions(rows, key).where(F.array_contains(wanted, F.col("term"))), key)
+    words = pieces(F.col("text"))
+    shown_ = F.substring(F.array_join(F.slice(words, F.col("first") + 1, F.size(words)), " "), 1, width)
+    return rows.join(found, key).select(key, "score", "n_terms", "first", "last", shown_.alias("snippet"))
+
+
 def as_json(results: DataFrame) -> DataFrame:
     """Q7: each result as a JSON object."""
     return results.select(F.to_json(F.struct(*results.columns)).alias("result"))

@@ -204,6 +204,16 @@ ORACLES = {
     "search_many": f"""WITH {TF}, asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, lower(unnest({PLAIN})) AS term FROM benchmark) WHERE {KEPT}),
       scored AS (SELECT item_id, doc_id, round(sum(tf)::DOUBLE, 6) AS score FROM asked JOIN tf USING (term) GROUP BY ALL)
       SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEFAULT.results}""",
+    "search_window": f"""WITH {TF}, {BEST}, w AS (SELECT doc_id, score, {PIECES} AS p FROM best JOIN documents USING (doc_id)),
+      hit AS (SELECT doc_id, place, lower(p[place + 1]) AS term FROM (SELECT doc_id, p, CAST(unnest(range(0, len(p))) AS INT) AS place FROM w) WHERE regexp_full_match(p[place + 1], '[A-Za-z0-9]+') AND lower(p[place + 1]) IN ({TERMS})),
+      n AS (SELECT doc_id, count(DISTINCT term) AS n_terms FROM hit GROUP BY doc_id),
+      back AS (SELECT e.doc_id, e.place AS last, s.term, max(s.place) AS place FROM hit e JOIN hit s ON s.doc_id = e.doc_id AND s.place <= e.place GROUP BY ALL),
+      stretch AS (SELECT doc_id, last, min(place) AS first, count(*) AS met FROM back GROUP BY ALL),
+      chosen AS (SELECT doc_id, n_terms, first, last, row_number() OVER (PARTITION BY doc_id ORDER BY last - first, first) AS r FROM stretch JOIN n USING (doc_id) WHERE met = n_terms)
+      SELECT doc_id, score, CAST(n_terms AS INT) AS n_terms, first, last, substr(array_to_string(p[first + 1:], ' '), 1, {DEFAULT.snippet}) AS snippet FROM chosen JOIN w USING (doc_id) WHERE r = 1""",
+    "misspelt_terms": f"""WITH {TF}, t AS (SELECT DISTINCT term FROM tf), asked AS (SELECT DISTINCT term FROM (SELECT lower(unnest({PLAIN})) AS term FROM benchmark) WHERE {KEPT} AND length(term) >= 6),
+      q AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4) AS word FROM asked)
+      SELECT word, term, CAST(levenshtein(word, term) AS INT) AS distance FROM q JOIN t ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2""",
     "index_segments": f"WITH {TF} {TOPK}",
     "search_json": f"WITH {TF}, {BEST} SELECT '{{\"doc_id\":' || doc_id || ',\"score\":' || score || '}}' AS result FROM best",
     "seed_scan": "SELECT page_id, url FROM pages WHERE page_id < 3",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarn.config import DEFAULT, Config
 from tarn.functions import html, lang, language, text, urls
 from tarn.metrics import error_counts, guarded, indicators_of, ordered_map
-from tarn.operators import blocks, crawl, index, links, sample, search, segment
+from tarn.operators import blocks, crawl, index, links, misspelt, sample, search, segment
 from tarn.operators.rank_cut import domain_cap, domain_cap_sorted, top_per_key
 from tarn.session import shared_path
 from tarn.sources.index_store import IndexStore
@@ -99,6 +99,18 @@ def search_snippet(spark: SparkSession, d: str) -> DataFrame:
     return search.stored_search(_document_index(spark, d), _docs(spark, d), QUERY)
 
 
+def search_window(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents with the least stretch of each that has the query's terms."""
+    return search.window_snippets(flagship(spark, d), _docs(spark, d), QUERY)
+
+
+def misspelt_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark term without its third character, and what terms of the documents it may stand for."""
+    found = _document_index(spark, d).blocks().select("term").distinct()
+    words = _benchmark_terms(spark, d).where(F.length("term") >= 6).select(F.concat(F.substring("term", 1, 2), F.expr("substr(term, 4)")).alias("word"))
+    return misspelt.near_terms(words, misspelt.deletions(found))
+
+
 def _benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
     """(query, term): each benchmark text asks for its terms."""
     words = F.transform(text.plain_tokens(F.col("text")), F.lower)
@@ -386,6 +398,8 @@ QUERIES = {
     "search_pages": search_pages,
     "search_stored": search_stored,
     "search_many": search_many,
+    "search_window": search_window,
+    "misspelt_terms": misspelt_terms,
     "index_segments": index_segments,
     "search_json": lambda s, d: search.as_json(flagship(s, d)),
     "seed_scan": seed_scan,
