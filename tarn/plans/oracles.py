@@ -225,6 +225,11 @@ ORACLES = {
     "prosperity_json": f"WITH {PROSPERITY} SELECT prefix, n FROM prosperity WHERE n >= {DEFAULT.prosperous}",
     "domain_info": f"""WITH p AS (SELECT lower({_netloc('url')}) AS domain, list_transform({HREFS}, lambda h: lower({_netloc(f"({ROOT} || h)")})) AS o FROM pages)
       SELECT domain, count(*) AS visits, array_to_string(list_sort(list_distinct(flatten(list(o)))), ' ') AS outlinks FROM p GROUP BY domain""",
+    "domain_languages": f"""WITH t AS (SELECT page_id, url, html, {VISIBLE} AS text FROM pages), c AS (SELECT page_id, {LANG_COUNTS} FROM (SELECT page_id, {LANG_WORDS} AS w FROM t)),
+      k AS (SELECT page_id, CASE WHEN greatest({', '.join(FUNCTION_WORDS)}) = 0 THEN 'und' {LANG_BEST} END AS lang FROM c),
+      p AS (SELECT page_id, lower({_netloc('url')}) AS domain, lang, list_transform({HREFS}, lambda h: lower({_netloc(f"({ROOT} || h)")})) AS o FROM t JOIN k USING (page_id)),
+      l AS (SELECT domain, string_agg(lang || ':' || n, ' ' ORDER BY lang) AS langs FROM (SELECT domain, lang, count(*) AS n FROM p GROUP BY ALL) GROUP BY domain)
+      SELECT domain, count(*) AS visits, any_value(langs) AS langs, CAST(len(list_distinct(flatten(list(o)))) AS BIGINT) AS n_outlinks FROM p JOIN l USING (domain) GROUP BY domain""",
     "page_store": f"""SELECT page_id, url, {TITLE} AS title, CAST(len({HREFS}) AS INT) AS n_links, lower({_netloc('url')}) AS domain FROM pages""",
     "indicators": "SELECT count(*) AS rows, CAST(sum(length(url)) AS BIGINT) AS characters, max(length(url)) AS longest, CAST(count(*) FILTER (starts_with(url, 'http://')) AS BIGINT) AS plain FROM pages",
     "lang_detect": f"SELECT doc_id, CASE WHEN greatest({', '.join(FUNCTION_WORDS)}) = 0 THEN 'und' {LANG_BEST} END AS lang FROM (SELECT doc_id, {LANG_COUNTS} FROM (SELECT doc_id, {LANG_WORDS} AS w FROM documents))",

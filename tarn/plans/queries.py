@@ -15,7 +15,7 @@ from tarn.operators.rank_cut import domain_cap, domain_cap_sorted, top_per_key
 from tarn.session import shared_path
 from tarn.sources.index_store import IndexStore
 from tarn.sources.store import Store, parse_json, read_json, read_scored, write_json, write_scored
-from tarn.streaming import index_stream
+from tarn.streaming import domain_state, index_stream
 
 QUERY = "er nd tion"
 
@@ -234,7 +234,16 @@ def prosperity_json(spark: SparkSession, d: str) -> DataFrame:
 def domain_info(spark: SparkSession, d: str) -> DataFrame:
     target = shared_path(spark, "visits")
     index_stream.visit(spark, f"{d}/page[s].parquet", "page_id long, url string, html string", target)
-    return index_stream.domains(spark, target).select("domain", "visits", F.array_join("outlinks", " ").alias("outlinks"))
+    linked = index_stream.outlinks(spark, target).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list("outlink")), " ").alias("outlinks"))
+    return index_stream.domains(spark, target).join(linked, "domain", "left").select("domain", "visits", F.coalesce("outlinks", F.lit("")).alias("outlinks"))
+
+
+def domain_languages(spark: SparkSession, d: str) -> DataFrame:
+    """What the state of a stream of all pages knows of each domain."""
+    target = shared_path(spark, "domains")
+    domain_state.follow(spark, f"{d}/page[s].parquet", "page_id long, url string, html string", target)
+    langs = F.array_join(F.transform(F.array_sort(F.map_entries("langs")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), " ")
+    return domain_state.latest(spark, target).select("domain", "visits", langs.alias("langs"), "n_outlinks")
 
 
 def page_store(spark: SparkSession, d: str) -> DataFrame:
@@ -408,6 +417,7 @@ QUERIES = {
     "prosperity_json": prosperity_json,
     "domain_info": domain_info,
     "page_store": page_store,
+    "domain_languages": domain_languages,
     "indicators": lambda s, d: indicators_of(_pages(s, d, "page_id", "url"), characters=F.sum(F.length("url")).cast("long"), longest=F.max(F.length("url")).cast("long"), plain=F.count_if(F.col("url").startswith("http://"))),
     "edit_distance": edit_distance,
     "json_parse": json_parse,

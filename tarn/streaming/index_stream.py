@@ -35,27 +35,27 @@ def compacted(spark: SparkSession, target: str, limit: int = DEFAULT.postings_li
     return top_per_key(whole, ["term"], [F.desc("tf"), F.asc("doc_id")], limit).select("term", "rank", "doc_id", "tf")
 
 
-DOMAIN_VISITS = "domain string, visits long, outlinks array<string>"
-
-
 def visit(spark: SparkSession, source: str, schema: str, target: str, files_per_batch: int = 1000) -> None:
-    """Pages (page_id, url, html) that arrive as files leave their records and what each
-    batch tells about domains, under the batch's id."""
+    """Pages (page_id, url, html) that arrive as files leave their records, their domains' visits and
+    the domains that those link to, under the batch's id."""
 
     def take(batch: DataFrame, batch_id: int) -> None:
         records = page_records(batch).withColumn("domain", F.lower(netloc(F.col("url"))))
         records.drop("raw").write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/pages/batch={batch_id}")
         told = spark.read.parquet(f"{target}/pages/batch={batch_id}")
-        links = told.select("domain", F.explode("href").alias("href")).groupBy("domain").agg(F.collect_set(F.lower(netloc(F.col("href")))).alias("outlinks"))
-        visits = told.groupBy("domain").agg(F.count("*").alias("visits")).join(links, "domain", "left")
-        visits.select("domain", "visits", F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")).write.mode("overwrite").parquet(f"{target}/domains/batch={batch_id}")
+        told.groupBy("domain").agg(F.count("*").alias("visits")).write.mode("overwrite").parquet(f"{target}/domains/batch={batch_id}")
+        links = told.select("domain", F.explode("href").alias("href")).select("domain", F.lower(netloc(F.col("href"))).alias("outlink"))
+        links.distinct().write.mode("overwrite").parquet(f"{target}/outlinks/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def outlinks(spark: SparkSession, target: str) -> DataFrame:
+    """(domain, outlink): the domains that a domain's pages link to, a row each, of all batches."""
+    return spark.read.schema("domain string, outlink string").parquet(f"{target}/outlinks/*").distinct()
+
+
 def domains(spark: SparkSession, target: str) -> DataFrame:
-    """(domain, visits, outlinks: the domains that its pages link to) of all batches."""
-    rows = spark.read.schema(DOMAIN_VISITS).parquet(f"{target}/domains/*")
-    out = rows.select("domain", F.explode_outer("outlinks").alias("o")).groupBy("domain").agg(F.array_sort(F.collect_set("o")).alias("outlinks"))
-    return rows.groupBy("domain").agg(F.sum("visits").alias("visits")).join(out, "domain")
+    """(domain, visits) of all batches."""
+    return spark.read.schema("domain string, visits long").parquet(f"{target}/domains/*").groupBy("domain").agg(F.sum("visits").alias("visits"))
