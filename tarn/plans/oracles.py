@@ -148,6 +148,10 @@ def _crawl() -> str:
     return f"WITH {', '.join(parts)} SELECT url, CAST(level AS INT) AS level FROM v{CRAWL.crawl_depth}"
 
 
+MANY = f"""WITH {TF}, asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, lower(unnest({PLAIN})) AS term FROM benchmark) WHERE {KEPT}),
+      scored AS (SELECT item_id, doc_id, round(sum(tf)::DOUBLE, 6) AS score FROM asked JOIN tf USING (term) GROUP BY ALL)
+      SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEFAULT.results}"""
+
 ORACLES = {
     "url_netloc": f"SELECT page_id, {_netloc('url')} AS netloc FROM pages",
     "url_home": f"SELECT page_id, {_home('url')} AS page_home, {_home(f"('https://' || {_netloc('url')})")} AS host_home FROM pages",
@@ -201,9 +205,8 @@ ORACLES = {
     "search_snippet": f"""WITH {TF}, {BEST}, hit AS (SELECT doc_id, score, text, list_min(list_filter([{", ".join(f"strpos(lower(text), '{t}')" for t in QUERY.split())}], lambda x: x > 0)) AS place FROM best JOIN documents USING (doc_id))
       SELECT doc_id, score, substr(text, greatest(coalesce(place, 1) - {DEFAULT.snippet // 4}, 1), {DEFAULT.snippet}) AS snippet FROM hit""",
     "search_stored": f"""WITH {FRONT}, {PAGE_TF} SELECT url, round(sum(weight), 6) AS score FROM trimmed WHERE term IN ({TERMS}) GROUP BY url ORDER BY score DESC, url LIMIT {DEFAULT.results}""",
-    "search_many": f"""WITH {TF}, asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, lower(unnest({PLAIN})) AS term FROM benchmark) WHERE {KEPT}),
-      scored AS (SELECT item_id, doc_id, round(sum(tf)::DOUBLE, 6) AS score FROM asked JOIN tf USING (term) GROUP BY ALL)
-      SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEFAULT.results}""",
+    "search_many": MANY,
+    "stream_index": MANY,
     "search_window": f"""WITH {TF}, {BEST}, w AS (SELECT doc_id, score, {PIECES} AS p FROM best JOIN documents USING (doc_id)),
       hit AS (SELECT doc_id, place, lower(p[place + 1]) AS term FROM (SELECT doc_id, p, CAST(unnest(range(0, len(p))) AS INT) AS place FROM w) WHERE regexp_full_match(p[place + 1], '[A-Za-z0-9]+') AND lower(p[place + 1]) IN ({TERMS})),
       n AS (SELECT doc_id, count(DISTINCT term) AS n_terms FROM hit GROUP BY doc_id),

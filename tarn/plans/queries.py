@@ -135,6 +135,14 @@ def index_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("term", "rank", F.col("doc").alias("doc_id"), F.col("weight").cast("long").alias("tf"))
 
 
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index fed by a stream of all documents, searched for all benchmark texts at once."""
+    store = IndexStore(spark, shared_path(spark, "stream-index"))
+    index_stream.feed_index(store, f"{d}/document[s].parquet", "doc_id long, text string", shared_path(spark, "checkpoint"), plain=True, cut=False)
+    best = blocks.searched(store.blocks(), _benchmark_terms(spark, d))[0]
+    return best.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def search_pages(spark: SparkSession, d: str) -> DataFrame:
     """The whole way over pages: weights, trimmed lists, stored; per-domain cap, ranking."""
     store = _store(spark, d, "pages", lambda: index.trimmed(_page_postings(spark, d)).select("term", F.col("page_id").alias("doc"), "weight"))
@@ -408,6 +416,7 @@ QUERIES = {
     "search_stored": search_stored,
     "search_many": search_many,
     "search_window": search_window,
+    "stream_index": stream_index,
     "misspelt_terms": misspelt_terms,
     "index_segments": index_segments,
     "search_json": lambda s, d: search.as_json(flagship(s, d)),

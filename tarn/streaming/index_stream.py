@@ -15,6 +15,7 @@ from tarn.functions.urls import netloc
 from tarn.operators.index import term_frequencies
 from tarn.operators.links import page_records
 from tarn.operators.rank_cut import top_per_key
+from tarn.sources.index_store import IndexStore
 
 
 def feed(spark: SparkSession, source: str, schema: str, target: str, plain: bool = False, files_per_batch: int = 1000) -> None:
@@ -28,6 +29,19 @@ def feed(spark: SparkSession, source: str, schema: str, target: str, plain: bool
     run.awaitTermination()
 
 
+def feed_index(store: IndexStore, source: str, schema: str, checkpoint: str, plain: bool = False, cut: bool = True, files_per_batch: int = 1000) -> None:
+    """Documents (doc_id, text) that arrive as files become segments of ``store``, with upkeep after each batch; then stops. A
+    batch that is run again finds its number in the store and is left alone."""
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        tf = term_frequencies(batch, "doc_id", plain=plain)
+        store.add(tf.select("term", F.col("doc_id").alias("doc"), F.col("tf").alias("weight")), batch_id)
+        store.upkeep(cut)
+
+    stream = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def compacted(spark: SparkSession, target: str, limit: int = DEFAULT.postings_limit) -> DataFrame:
     """(term, rank, doc_id, tf) of all batches."""
     rows = spark.read.schema("doc_id long, term string, tf long").parquet(f"{target}/tf/*")

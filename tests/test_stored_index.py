@@ -10,6 +10,7 @@ from tarn.config import Config
 from tarn.operators import blocks
 from tarn.session import shared_path
 from tarn.sources.index_store import IndexStore
+from tarn.streaming import index_stream
 
 SMALL = Config(index_buckets=4, block_cell=16, block_size=5, postings_limit=6, index_segments=2)
 
@@ -138,3 +139,18 @@ def test_a_writer_that_fails_leaves_the_old_version(spark, monkeypatch):
         other._commit(stale, 1, stale["buckets"])
     assert len(store.clean(1)) >= 1  # what the failed writers left
     assert sorted(map(tuple, store.postings().collect())) == sorted(rows + corpus(6, range(60, 70)))
+
+
+def test_a_stream_feeds_the_index(spark, tmp_path):
+    store, checkpoint = IndexStore(spark, shared_path(spark, "store"), SMALL), shared_path(spark, "checkpoint")
+    texts = {i: " ".join(random.Random(i).choices(["apple", "pear", "plum", "fig"], k=9)) for i in range(30)}
+    for part in range(3):
+        rows = [(i, t) for i, t in texts.items() if i % 3 == part]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        index_stream.feed_index(store, f"file://{tmp_path}/in", "doc_id long, text string", checkpoint, plain=True, cut=False)
+    want = sorted((t, i, float(text.split().count(t))) for i, text in texts.items() for t in set(text.split()))
+    assert sorted(map(tuple, store.postings().collect())) == want
+    # The last batch is run once more, as after a failure between the store's commit and the stream's.
+    last = store.version()
+    assert store.add(table(spark, [("apple", 99, 1.0)]), store.manifest()["batch"]) == last
+    assert sorted(map(tuple, store.postings().collect())) == want
