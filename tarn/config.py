@@ -36,7 +36,7 @@ class Config:
     index_segments: int = 4  # segments of a bucket before they are made one
     block_cell: int = 256  # document numbers that a block's documents lie within
     block_size: int = 128  # postings of a block
-    seed_cells: int = 4  # cells that are read before the others, for a floor of the scores
+    seed_cells: int = 32  # cells that are read before the others, for a floor of the scores
 
 
 DEFAULT = Config()

@@ -75,7 +75,7 @@ class IndexStore:
         now = self.manifest()
         if batch <= now["batch"]:
             return now["version"]
-        segment, filled = self._write(postings)
+        segment, filled = self._write(blocks.layered(postings))
         lists = {b: list(s) for b, s in now["buckets"].items()}
         for b in filled:
             lists.setdefault(b, []).append(segment)
@@ -121,11 +121,11 @@ class IndexStore:
         chosen = sorted(many, key=int)
         if not chosen:
             return []
-        rows = blocks.unpacked(self.blocks(buckets=chosen), cell=self.config.block_cell)
+        rows = blocks.unpacked(self.blocks(buckets=chosen), "layer", cell=self.config.block_cell)
         if due is not None:
             lists = due.select("term")
             best = order or [F.desc("weight"), F.asc("doc")]
-            cut_ = top_per_key(rows.join(lists, "term", "left_semi"), ["term"], best, self.config.postings_limit).select("term", "doc", "weight")
+            cut_ = top_per_key(rows.join(lists, "term", "left_semi"), ["term"], best, self.config.postings_limit).drop("rank")
             rows = rows.join(lists, "term", "left_anti").unionByName(cut_)
         segment, filled = self._write(rows)
         lists_ = {b: s for b, s in now["buckets"].items() if b not in chosen}

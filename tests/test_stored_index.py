@@ -32,6 +32,17 @@ def best(rows, terms, k):
     return [(d, s) for d, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]]
 
 
+def test_a_document_is_in_one_layer(spark):
+    rows = corpus(3, range(100)) + [("zero", 500, 0.0)]
+    made = blocks.layered(table(spark, rows))
+    assert made.groupBy("doc").agg(F.countDistinct("layer").alias("n")).where("n > 1").count() == 0
+    total = defaultdict(float)
+    for _, d, w in rows:
+        total[d] += w
+    for r in made.where("doc < 500").collect():
+        assert 2 ** (r["layer"] / blocks.LAYERS) <= total[r["doc"]] * (1 + 1e-9) and total[r["doc"]] < 2 ** ((r["layer"] + 1) / blocks.LAYERS) * (1 + 1e-9)
+
+
 def answers(found):
     out = defaultdict(list)
     for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
