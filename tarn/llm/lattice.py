@@ -19,6 +19,9 @@ words, else the last kind. Each kind has piece weights and counts of its own, of
 training texts that are of it, and a text's probability is the mixture over the kinds,
 whatever its own words say: sum over k of p(k) * p_k(text).
 
+Beside the score stands ``lattice_score``, the log10 probability of a text's words under the vocabulary's own scores
+alone, summed over all segmentations of each; nothing is learnt for it, and the end token has no part in it.
+
 Words are counted in each task before they are shuffled. For scoring, the
 ``HOT`` most frequent words go to the tasks as one broadcast table of bounded
 size; all other words of a document are joined with the word table by a
@@ -57,6 +60,8 @@ PRIOR, SHARED, PASSES = 2000.0, 500.0, 2
 #: Words of these pieces end after each with this probability before any is read.
 STOP = 0.3
 KINDS = (*FUNCTION_WORDS, "other")
+#: Numbers of a word: one for each kind, and the vocabulary's.
+SETS = len(KINDS) + 1
 #: Words whose scores every task gets at once (about 40 MB), and distinct words that a task counts before it passes them on.
 HOT, HELD = 200_000, 300_000
 #: Words of up to so many bytes are worked on many at a time, which changes no number; characters that are worked on together.
@@ -105,7 +110,7 @@ class Lattice:
     """
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray, stop: np.ndarray):
-        self.pieces, self.sets = pieces, logs.shape[1]
+        self.pieces, self.sets, self.given = pieces, logs.shape[1], (logs, stop)
         go = np.log1p(-stop)
         self.last = np.log(stop) - go
         self.logs = logs + go
@@ -116,6 +121,11 @@ class Lattice:
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have the same hash")
 
+    def beside(self, scores: np.ndarray, stop: float) -> Lattice:
+        """The same with one more set of weights."""
+        logs, stops = self.given
+        return Lattice(self.pieces, np.hstack([logs, scores[:, None]]), np.append(stops, stop))
+
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes), np.uint64)
@@ -360,19 +370,21 @@ def train_pieces(words: DataFrame, name: str = "piece_bpe_32k.model") -> Lattice
 
 
 class Model:
-    """Probabilities of words in each kind, from counts and the lattice."""
+    """Probabilities of words in each kind, from counts and the lattice, and under the vocabulary's own ``scores`` alone."""
 
-    def __init__(self, lattice: Lattice, tokens: np.ndarray, types: np.ndarray, ends: np.ndarray, discount: float):
-        self.lattice, self.discount = lattice, discount
+    def __init__(self, lattice: Lattice, scores: np.ndarray, tokens: np.ndarray, types: np.ndarray, ends: np.ndarray, discount: float):
+        self.lattice, self.discount = lattice.beside(scores, STOP), discount
         self.all, self.spelt = np.log(tokens + 1.0), np.log(discount * types + 0.5)
         self.end = np.log(ends + 0.5) - self.all  # the end token
         self.prior = np.log((ends + 0.5) / (ends.sum() + 0.5 * len(ends)))
 
     def log_words(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each word (not the end) in each kind."""
+        """Natural log of the probability of each word (not the end) in each kind, and last of its marginal
+        under the vocabulary's own scores."""
         with np.errstate(divide="ignore"):
             seen = np.log(np.maximum(c - self.discount, 0.0))
-        return np.logaddexp(seen, self.spelt + self.lattice.log_marginals(words)) - self.all
+        spelt = self.lattice.log_marginals(words)
+        return np.hstack([np.logaddexp(seen, self.spelt + spelt[:, :-1]) - self.all, spelt[:, -1:]])
 
 
 def _log_words(model: Model):
@@ -380,7 +392,7 @@ def _log_words(model: Model):
         for batch in _gathered(batches):
             c = _numbers(batch)
             logs = model.log_words(utf8(batch, "word"), c)
-            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(KINDS))
+            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * SETS)
             yield pa.record_batch([batch.column("word"), pa.array(c.sum(1)), pa.ListArray.from_arrays(offsets, pa.array(logs.astype(np.float32).ravel()))], names=["word", "c", "logs"])
 
     return run
@@ -416,9 +428,9 @@ def _doc_terms(hot: Broadcast):
         def summed(weights: np.ndarray) -> np.ndarray:
             return np.bincount(rows, weights * hit_n, len(n)).astype(float)
 
-        score = np.stack([summed(logs_of[hit, k]) for k in range(len(KINDS))], axis=1)
+        score = np.stack([summed(logs_of[hit, k]) for k in range(SETS)], axis=1)
         tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(ns_other)], names=["word", "n"])
-        scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(KINDS)), pa.array(score.ravel()))
+        scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SETS), pa.array(score.ravel()))
         return pa.record_batch(
             [part.column("key"), part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(summed(known_of[hit]).astype(np.int64)), pa.array(summed(base_of[hit])), scores, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
             names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
@@ -442,7 +454,7 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MOD
     tokens, types, ends = (np.array([total[f"{x}{k}"] or 0 for k in kinds], float) for x in "nve")
     n, v, docs_seen = int(tokens.sum()), total["v"] or 0, float(ends.sum())
     words = counts.where(~is_end)
-    model = Model(train_pieces(words.where(whole > 0), name), tokens, types, ends, discount)
+    model = Model(train_pieces(words.where(whole > 0), name), vocabulary(name)[1], tokens, types, ends, discount)
     words = stored(words.mapInArrow(_log_words(model), "word string, c long, logs array<float>"), "word-model")
     # The counts that at most ``hot_words`` words reach.
     least, so_far = 1, 0
@@ -453,7 +465,7 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MOD
             break
     table = words.where(F.col("c") >= least).toArrow().combine_chunks()  # at most ``hot_words`` rows
     hot_c = table["c"].to_numpy().astype(float)
-    logs = np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in table["logs"].chunks)]).reshape(-1, len(KINDS))
+    logs = np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in table["logs"].chunks)]).reshape(-1, SETS)
     number = {w: i for i, w in enumerate(table["word"].cast(pa.binary()).to_pylist())}
     hot = spark.sparkContext.broadcast((number, np.log10((hot_c + 1) / (n + v + 1)), logs, np.ones(len(hot_c))))
     given = _split(docs, modulus, rest).select(F.monotonically_increasing_id().alias("key"), "*")
@@ -467,10 +479,10 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MOD
             "key",
             F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"),
             (F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("more"),
-            *[(F.col("n") * F.col("logs")[k].cast("double")).alias(f"s{k}") for k in kinds],
+            *[(F.col("n") * F.col("logs")[k].cast("double")).alias(f"s{k}") for k in range(SETS)],
         )
         .groupBy("key")
-        .agg(*[F.sum(x).alias(x) for x in ("known", "more", *[f"s{k}" for k in kinds])])
+        .agg(*[F.sum(x).alias(x) for x in ("known", "more", *[f"s{k}" for k in range(SETS)])])
     )
 
     def none(x: str) -> Column:
@@ -487,6 +499,7 @@ def score(docs: DataFrame, name: str = "piece_bpe_32k.model", modulus: int = MOD
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + none("more") + F.lit(math.log10((docs_seen + 1) / (n + v + 1)))).alias("base_score"),
         (mixed / math.log(10)).alias("score"),
+        ((F.col("score")[SETS - 1] + none(f"s{SETS - 1}")) / math.log(10)).alias("lattice_score"),
     )
 
 

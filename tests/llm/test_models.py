@@ -455,6 +455,8 @@ def test_score_is_brute_force(spark):
     def marginal(word, k):
         return sum(math.prod(weight[k][p] for p in parts) * (1 - stop[k]) ** (len(parts) - 1) * stop[k] for parts in ways(word))
 
+    own = {w: marginal(w, 0) for words in words_of.values() for w in words}  # the vocabulary's own scores, before any is learnt
+
     for _ in range(lattice.PASSES):
         found = [Counter() for _ in kinds]
         for k in kinds:
@@ -484,6 +486,7 @@ def test_score_is_brute_force(spark):
                 for k in kinds
             ]
             assert r["score"] == pytest.approx(math.log10(sum(per_kind)), rel=1e-5)
+            assert r["lattice_score"] == pytest.approx(sum(math.log10(own[w]) for w in words_of[r["doc_id"]]), rel=1e-5)
 
 
 def test_scores(spark):
