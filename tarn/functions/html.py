@@ -105,13 +105,19 @@ ENDS = {
     "body": ("head", "html"),
 }
 ENDS = {tag: (set(ended.split()), set(within.split())) for tag, (ended, within) in ENDS.items()}
+# How strongly elements hold against the end of another one; all others 100.
+HOLD = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
 #: What stands in the head where a page has none.
 IN_HEAD = set("title meta link base style script".split())
 
 
 class _Tree(HTMLParser):
     """Elements as [tag, children]; exact on well-formed pages. End tags that may be
-    left out are put in, and so are html, head and body."""
+    left out are put in, and so are html, head and body.
+
+    On broken pages: an end tag also ends what was opened within its element and not ended, unless that holds more
+    strongly (an inline or block end tag within a table cell does not end the table); an end tag without an open element
+    is left out; a second html or body tag is left out while the first is open; what is open at the end of the page ends there."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -119,6 +125,8 @@ class _Tree(HTMLParser):
         self.open = [self.top]
 
     def handle_starttag(self, tag, attrs):
+        if tag in ("html", "body") and any(n[0] == tag for n in self.open[1:]):
+            return
         ended, within = ENDS.get(tag, ((), ()))
         for i in range(len(self.open) - 1, 0, -1) if ended else ():
             if self.open[i][0] in within:
@@ -138,7 +146,8 @@ class _Tree(HTMLParser):
             if self.open[i][0] == tag:
                 del self.open[i:]
                 break
-
+            if HOLD.get(self.open[i][0], 100) > HOLD.get(tag, 100):
+                break
 
     def root(self) -> list:
         """The html element."""

@@ -47,3 +47,28 @@ def test_titles_and_texts_are_decoded(spark):
     page = "<title>A &amp; B</title><meta name=description content='x &quot;y&quot;'><p>1 &lt; 2</p><!-- &amp; --><script>&lt;</script>&copy; Z"
     r = spark.createDataFrame([(page,)], "h string").select(html.title(F.col("h")).alias("t"), html.description(F.col("h")).alias("d"), html.visible(F.col("h")).alias("v")).first()
     assert (r["t"], r["d"], r["v"]) == ("A & B", 'x "y"', "A & B 1 < 2 © Z")
+
+
+def test_shapes_of_broken_pages():
+    number = {t: i for i, t in enumerate(html.TAGS)}
+
+    def shape(tree):
+        name, below = tree
+        code = str(number[name])
+        return f"[{code},[{','.join(map(shape, below))}]]" if below else code
+
+    def page(*body):
+        return "[" + shape(("html", [("body", list(body))])) + "]"
+
+    div, b, i_, table, td, tr = (lambda *below, tag=tag: (tag, list(below)) for tag in ("div", "b", "i", "table", "td", "tr"))
+    cases = {
+        "<div><b>1<i>2</b>3</i>4</div>": page(div(b(i_()))),
+        "</b><div></i></div></div>": page(div()),
+        "<div><table><tr><td><b></div>x</td></tr></table><i></i></div>": page(div(table(tr(td(b()))), i_())),
+        "<table><tr><td></table><div></div>": page(table(tr(td())), div()),
+        "<div><b><i>": page(div(b(i_()))),
+        "<html><body><div></div><body><html><b></b></body></html>": page(div(), b()),
+        "<table><tr><td>1<td>2<tr><td>3</table>": page(table(tr(td(), td()), tr(td()))),
+    }
+    for text, want in cases.items():
+        assert html.shape_of(text) == want, text
