@@ -11,7 +11,8 @@ where its ids start in the file, and how many there are.
 Documents are range-partitioned by doc_id, so files in order of their first
 document hold all ids in ascending doc_id order. Each task writes files under
 names of its own attempt and reports them; only files reported by a task that
-succeeded are in the manifest, so lost executors and repeated tasks do no harm.
+succeeded are in the manifest, so lost executors and repeated tasks do no harm. What attempts
+that failed have left is deleted when the manifest is complete.
 
 Defined cases: null and empty texts give the end id alone; rows with a null
 doc_id come first; rows with equal doc_id are ordered by text; repeated rows
@@ -154,14 +155,23 @@ def _writer(uri: str, vocab: str, end_id: int, seq_len: int, wide: bool):
     return run
 
 
+def _clean(uri: str, written: set[str]) -> None:
+    """Deletes the files below ``uri`` that are not of ``written``."""
+    files, path = fs.FileSystem.from_uri(uri)
+    for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.endswith(".arrow") and info.base_name.split(".", 1)[0] not in written:
+            files.delete_file(info.path)
+
+
 def write_token_files(docs: DataFrame, uri: str, vocab: str = "byte_bpe_50k.json", end_id: int = 0, seq_len: int = 2048) -> DataFrame:
-    """Writes ``docs`` (doc_id, text) below ``uri``; returns the manifest, a
+    """Writes ``docs`` (doc_id, text) below ``uri``, a folder of its own; returns the manifest, a
     row for each file in order: file, first_doc, docs, tokens, start (the ids
     in all files before it). Only the manifest comes to the driver."""
     spark = docs.sparkSession
     wide = max(encoder(vocab).n_vocab, end_id + 1) > 1 << 16
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     done = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(uri, vocab, end_id, seq_len, wide), MANIFEST).collect()
+    _clean(uri, {r["file"].rsplit("/", 1)[1] for r in done})
     done.sort(key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0))
     start, listed = 0, []
     for r in done:

@@ -304,6 +304,14 @@ def test_token_files_round_trip(spark, texts):
     assert at == len(stream)
 
 
+def test_files_of_failed_attempts_go(spark, docs, tmp_path):
+    for name in ("lost.ids.arrow", "lost.docs.arrow", "other.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    manifest = token_files.write_token_files(docs.limit(5), f"file://{tmp_path}")
+    left = {p.name for p in tmp_path.iterdir()}
+    assert left == {"other.txt"} | {f"{r['file'].rsplit('/', 1)[1]}.{kind}.arrow" for r in manifest.collect() for kind in ("ids", "docs")}
+
+
 def test_token_file_edge_rows(spark, edge):
     rows = token_files.read_token_files(token_files.write_token_files(edge, shared_path(spark, "test"))).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 3, 4, 5]
