@@ -74,9 +74,9 @@ _STORES: dict[tuple[str, str, str], IndexStore] = {}
 
 
 def _store(spark: SparkSession, d: str, what: str, postings: Callable[[], DataFrame]) -> IndexStore:
-    """The stored index of ``what``, which the first search of an application writes."""
+    """The stored index of ``what``, which the first search of an application writes, or the next one after it has been deleted."""
     key = (spark.sparkContext.applicationId, d, what)
-    if key not in _STORES:
+    if key not in _STORES or not _STORES[key].version():
         made = IndexStore(spark, shared_path(spark, what))
         made.add(postings(), 0)
         _STORES[key] = made
