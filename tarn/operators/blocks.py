@@ -7,7 +7,7 @@ into few bits. Since no block crosses a cell, what a document of a cell can scor
 blocks, found from the blocks' heads alone, by equality of cells; since documents of a layer are of like weight, most
 cells can score far less than the best ones:
 
-1. The few cells of the largest bounds are read; the ``k``-th best score there is a floor of the final one.
+1. The few cells of the largest bounds are read, ``k`` at least, as each has a document; the ``k``-th best score there is a floor of the final one.
 2. A block is left out if its largest weight and the largest ones of all other terms in its cell add up to less than
    the floor. A document of such a block cannot be among the best, and one that can has all of its blocks read.
 
@@ -116,7 +116,7 @@ def searched(blocks: DataFrame, queries: DataFrame, k: int = DEFAULT.results, ce
     any of the terms counts, scores add up, ties go to the smaller document."""
     bounds = _bounds(blocks, queries)
     heads = _heads(bounds)
-    first = top_per_key(bounds.select("query", *CELL, "most"), ["query"], [F.desc("most"), F.desc("layer"), F.asc("cell")], cells, "place").select("query", *CELL)
+    first = top_per_key(bounds.select("query", *CELL, "most"), ["query"], [F.desc("most"), F.desc("layer"), F.asc("cell")], max(cells, k), "place").select("query", *CELL)
     seeds = _scores(blocks, heads.join(first, ["query", *CELL]), cell, k)
     floors = seeds.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
     judged = heads.join(floors, "query", "left").withColumn("read", F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - ROUNDING)

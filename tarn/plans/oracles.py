@@ -239,7 +239,7 @@ ORACLES = {
     "crawl_levels": _crawl(),
     "redirects": f"""WITH RECURSIVE {EDGES}, sent AS (SELECT src, dst FROM edges WHERE pos % 5 < 3),
       walk AS (SELECT src AS url, dst AS "at", CAST(1 AS BIGINT) AS hops FROM sent UNION SELECT walk.url, sent.dst, hops + 1 FROM walk JOIN sent ON sent.src = walk."at" WHERE hops <= (SELECT count(*) FROM sent))
-      SELECT url, max(CASE WHEN "at" NOT IN (SELECT src FROM sent) THEN "at" END) AS final_url, max(CASE WHEN "at" NOT IN (SELECT src FROM sent) THEN hops END) AS hops FROM walk GROUP BY url""",
+      SELECT url, max(CASE WHEN "at" NOT IN (SELECT src FROM sent) THEN "at" END) AS final_url, coalesce(max(CASE WHEN "at" NOT IN (SELECT src FROM sent) THEN hops END), 0) AS hops FROM walk GROUP BY url""",
     "freeze_by_size": f"""WITH {EDGES}, f AS (SELECT prefix, count(*) AS n, min(pos) AS made FROM (SELECT pos, unnest({_prefixes('dst')}) AS prefix FROM edges) GROUP BY prefix)
       SELECT prefix, n FROM f WHERE made <= coalesce((SELECT made FROM f ORDER BY made LIMIT 1 OFFSET 149), (SELECT max(made) FROM f))""",
     "lang_learnt": f"""WITH {LANGUAGE} SELECT d.doc_id, CASE WHEN length(l.t) <= 2 THEN 'und' ELSE r.lang END AS lang, {HELD_LANG.replace('doc_id', 'd.doc_id')} AS held_out
