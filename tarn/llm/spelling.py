@@ -89,13 +89,29 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
+def is_near(a: str, b: str) -> bool:
+    """Whether two different strings differ by one inserted, deleted or replaced character, in one pass over them."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("word", "other_word"))
+        yield batch.filter(pa.array(list(map(is_near, a, b)), pa.bool_()))
+
+
 def near_pairs(numbered: DataFrame) -> DataFrame:
     """(id, n, other, other_n, word, other_word) of all pairs of words of ``numbered`` (id, word, n) at a distance of exactly
     one, once each. Keys go with the word's number alone, words join their candidates."""
     keys = numbered.select("id", "word").mapInArrow(_emit, "key long, id long")
     met = keys.join(keys.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other").distinct()
     told = numbered.select(F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n"))
-    return met.join(numbered, "id").join(told, "other").where(F.levenshtein("word", "other_word", 1) == 1)
+    pairs = met.join(numbered, "id").join(told, "other")
+    return pairs.mapInArrow(_verified, pairs.schema)
 
 
 def forms(numbered: DataFrame, ratio: int = RATIO) -> DataFrame:

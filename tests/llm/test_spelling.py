@@ -84,6 +84,12 @@ def test_keys_are_those_of_the_deletions(words):
         assert own == {int(spelling.deletion_keys([s])[1][0]) for s in strings}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=6), st.text("ab", max_size=6))
+def test_near_is_one_edit(a, b):
+    assert a == b or spelling.is_near(a, b) == near(a, b)
+
+
 def test_long_words_take_time_in_proportion(spark):
     long = "".join(random.Random(1).choices("abcdefgh", k=100_000))
     counts = {long: 100, long[:50_000] + long[50_001:]: 10, long[::-1]: 9, "b" * 100_000: 50, "b" * 99_999: 8}
