@@ -5,8 +5,8 @@
    a sample of at most ``FIT`` nodes of a cluster, then every node goes to its nearest centre, which owns it,
    and as a guest to the next ones, so shards overlap.
 3. Each shard's task links a node to its nearest and some random members, and robust pruning keeps
-   those that no kept, nearer neighbour stands for. Lists of all shards are united.
-4. The owner's shard, its members and their neighbours in other shards, is searched for each node it owns: a greedy
+   those that no kept, nearer neighbour stands for. The lists that several shards make of a node are united where it is owned.
+4. The owner's shard, its members and the neighbours of what it owns in other shards, is searched for each node it owns: a greedy
    walk with a beam, from the medoid and from the node's own neighbours, and from every node in range
    on to its neighbours until none is new. Every link is verified in double precision.
 5. The audit compares the links of ``AUDIT`` sampled nodes with all nodes of their label by brute force. Below
@@ -39,6 +39,8 @@ from tarn.llm.components import connected_components, forest
 THRESHOLD = 0.93
 #: Members of a cluster that is not cut any more, and centres it is cut by at most.
 SHARD, FAN = 4096, 64
+#: Times that a cluster is cut; what is too large then (vectors of one direction, say) stays whole.
+LEVELS = 40
 #: Nodes of a cluster that centres are fitted on, and that one task assigns at a time.
 FIT, CHUNK = 2048, 16_384
 #: Neighbours that pruning keeps, of so many nearest and random ones, and its factor.
@@ -169,10 +171,10 @@ def shards(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = WIDTHS
     """Members of shards, and balls with their members (ball, node, v, copies, r) of ``nodes`` (shard, node, v, copies)."""
     now = nodes.select("shard", "node", "v", "copies", F.lit(0.0).alias("r"), F.lit(True).alias("own"))
     done, balls = [], []
-    while True:
+    for level in range(LEVELS + 1):
         sizes = now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
         sized = now.join(sizes, "shard")
-        if not sizes.limit(1).count():
+        if level == LEVELS or not sizes.limit(1).count():
             done.append(now)
             break
         done.append(now.join(sizes.select("shard"), "shard", "left_anti"))
@@ -188,7 +190,8 @@ def shards(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = WIDTHS
         size = caught.groupBy("ball").agg(F.min("node").alias("least"), F.sum("copies").alias("copies"), F.max("r").alias("r"))
         at = centres.where("ball").select(F.concat_ws("/", "child", "shard").alias("ball"), "shard", "v", F.posexplode("home").alias("place", "child"))
         as_node = at.join(size, "ball").select(F.concat_ws("/", "child", "shard").alias("shard"), (-F.col("least") - 1).alias("node"), "v", "copies", "r", (F.col("place") == 0).alias("own"))
-        now = out.where("ball is null").drop("ball").unionByName(as_node)
+        # A node that a ball took is no guest of another shard: the ball stands for it.
+        now = out.where("ball is null").drop("ball").join(caught.select("node"), "node", "left_anti").select(*as_node.columns).unionByName(as_node)
     members = done[0]
     for more in done[1:]:
         members = members.unionByName(more)
@@ -197,7 +200,6 @@ def shards(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = WIDTHS
     held = balls[0]
     for more in balls[1:]:
         held = held.unionByName(more)
-    # A node that a ball took is no guest of another shard: the ball stands for it.
     return members.join(held.select("node"), "node", "left_anti"), held
 
 
@@ -227,7 +229,7 @@ def pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _graph(table: pa.Table) -> pa.Table:
     node = table["node"].to_numpy()
     a, b = pruned(unit(_vectors(table)))
-    return pa.table({"src": node[a], "dst": node[b]})
+    return pa.table({"shard": table["shard"].combine_chunks().take(pa.array(a)), "src": node[a], "dst": node[b]})
 
 
 class Walk:
@@ -401,9 +403,12 @@ def linked(nodes: DataFrame, threshold: float = THRESHOLD, overlap: int = WIDTHS
     what is linked, of ``nodes`` (shard: what may be linked, node, v, copies)."""
     members, held = shards(nodes, threshold, overlap)
     members, held = stored(members, "members"), stored(held, "held")
-    edges = stored(members.groupBy("shard").applyInArrow(_graph, "src long, dst long").distinct(), "graph")
+    graph = stored(members.groupBy("shard").applyInArrow(_graph, "shard string, src long, dst long"), "graph")
     own = members.where("own").select("node", "v", "copies", "r")
-    out = stored(members.select("shard", F.col("node").alias("src")).join(edges, "src"), "lists")
+    # A shard has the lists made in it, and those that other shards made of the nodes it owns.
+    owners = members.where("own").select(F.col("node").alias("src"), F.col("shard").alias("owner"))
+    abroad = graph.join(owners, "src").where("shard <> owner").select(F.col("owner").alias("shard"), "src", "dst")
+    out = stored(graph.unionByName(abroad).distinct(), "lists")
     guests = out.select("shard", F.col("dst").alias("node")).distinct().join(members.select("shard", "node"), ["shard", "node"], "left_anti")
     points = members.select("shard", "node", "v", "copies", "r", "own").unionByName(guests.join(own, "node").select("shard", "node", "v", "copies", "r", F.lit(False).alias("own")))
     found = stored(points.groupBy("shard").cogroup(out.groupBy("shard")).applyInArrow(_search(threshold, beam), FOUND), "found")

@@ -101,6 +101,15 @@ def test_no_shard_is_larger_than_its_bound(spark, monkeypatch):
         assert 2 * r["max(r)"] <= math.acos(flatgraph.THRESHOLD)
 
 
+def test_vectors_of_one_direction(spark, monkeypatch):
+    for name, value in dict(SHARD=40, FIT=64, CHUNK=50, TILE=16).items():
+        monkeypatch.setattr(flatgraph, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(a * (i + 1)) for a in (1, 2, -1, 3)], 0) for i in range(150)] + [(1000 + i, [float(a) for a in rng.normal(size=4)], 0) for i in range(60)]
+    share, got, want = compared(spark, rows)
+    assert share >= 0.98 and sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
 def test_audit_counts_what_is_missing(spark):
     rows = clouds(4, [(20, 0.01)], 20)
     nodes = spark.createDataFrame([("|16:0", i, v, 1) for i, v, _ in rows], "shard string, node long, v array<double>, copies long")
