@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tarn.llm.common import beside_least, stored, utf8
+from tarn.llm.common import MERGE, beside_least, stored, utf8
 from tarn.llm.components import connected_components
 
 SEED = 42
@@ -168,7 +168,7 @@ def _tiled(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("fp", "node"), tiles).cast("int")
     return (
-        keyed.join(groups, "key")
+        keyed.join(groups.hint(MERGE), "key")
         .withColumns({"tiles": tiles, "own": own})
         .select("key", "fp", "node", "tiles", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
         .select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "fp", "node")
@@ -181,8 +181,8 @@ def with_class(prints: DataFrame, classes: DataFrame) -> DataFrame:
     there are shuffle partitions, so that copies of a text, however many, are no task's alone."""
     parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = prints.where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    of_part = named.select("fp", "part").distinct().join(classes, "fp")
-    found = named.join(of_part, ["fp", "part"]).select("doc_id", "fp", "component_id")
+    of_part = named.select("fp", "part").distinct().join(classes.hint(MERGE), "fp")
+    found = named.join(of_part.hint(MERGE), ["fp", "part"]).select("doc_id", "fp", "component_id")
     return found.unionByName(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks:
     prints = stored(fingerprints(docs, words), "fingerprints")
     reps = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
     roots = connected_components(links(reps, max_bits, blocks or enough_blocks(reps.count(), max_bits)))
-    return with_class(prints, reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
+    return with_class(prints, reps.join(roots.hint(MERGE), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
 
 
 # Sets of word shingles, for a Jaccard similarity.
@@ -440,9 +440,9 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -
     Bitmaps as wide as the sets need come first; only pairs that they leave open take the texts along."""
     found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows), "candidate-texts")
     wide = stored(found.mapInArrow(_wide(words), "node long, size long, bits binary"), "candidate-bits")
-    met = pairs.join(wide.toDF("a", "m", "p"), "a").join(wide.toDF("b", "n", "q"), "b")
+    met = pairs.join(wide.toDF("a", "m", "p").hint(MERGE), "a").join(wide.toDF("b", "n", "q").hint(MERGE), "b")
     near = stored(met.select("a", "b", "m", "p", "n", "q").mapInArrow(_wide_pairs(similarity), "a long, b long").distinct(), "near-pairs")
-    full = near.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    full = near.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).hint(MERGE), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).hint(MERGE), "b")
     return stored(full.select("a", "b", "x", "y").mapInArrow(_alike(words, similarity), "a long, b long"), "verified")
 
 
@@ -461,16 +461,16 @@ def set_links(reps: DataFrame, keyed: DataFrame, rows: DataFrame, words: int, si
     compared with the smallest node of each of its keys, which connects large groups
     by few comparisons; then the pairs of a key that are still apart."""
     least = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
-    shared = stored(keyed.join(least, "key"), "shared-keys")
+    shared = stored(keyed.join(least.hint(MERGE), "key"), "shared-keys")
     stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     stars = stored(print_links(reps), "print-links").unionByName(stars).distinct()
-    stars = stars.join(reps.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("p")), "a").join(reps.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("q")), "b")
+    stars = stars.join(reps.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("p")).hint(MERGE), "a").join(reps.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("q")).hint(MERGE), "b")
     first = verified(stored(stars.select("a", "b", "m", "n", "p", "q").mapInArrow(_possible_pairs(similarity), "a long, b long"), "stars"), rows, words, similarity)
     roots = connected_components(first)
-    info = reps.select("node", "size", "bits").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "bits")
-    members = shared.select("key", "node").join(info.select("node", "root"), "node")
+    info = reps.select("node", "size", "bits").join(roots.hint(MERGE), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "bits")
+    members = shared.select("key", "node").join(info.select("node", "root").hint(MERGE), "node")
     groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    tiled = _tiled(members.withColumnRenamed("root", "fp"), groups.select("key", "n")).select("key", "node").join(info, "node").select("key", "node", "root", "size", "bits")
+    tiled = _tiled(members.withColumnRenamed("root", "fp"), groups.select("key", "n")).select("key", "node").join(info.hint(MERGE), "node").select("key", "node", "root", "size", "bits")
     left = tiled.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_open_pairs(similarity)), "a long, b long").where("a <> b")
     return first.unionByName(verified(stored(left.distinct(), "pairs"), rows, words, similarity))
 
@@ -492,9 +492,9 @@ def similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[Dat
     least = about.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "size", "bits", "print")).alias("m"))
     reps = stored(least.select("fp", F.col("m.doc_id").alias("node"), "m.size", "m.bits", "m.print"), "reps")
     keys = rows.where("doc_id is not null").mapInArrow(_keys(words, similarity, frequent), "node long, fp binary, keys array<long>")
-    keyed = keys.join(reps.select("node", "fp"), ["node", "fp"], "left_semi").select(F.explode("keys").alias("key"), "node")
+    keyed = keys.join(reps.select("node", "fp").hint(MERGE), ["node", "fp"], "left_semi").select(F.explode("keys").alias("key"), "node")
     roots = connected_components(set_links(reps, stored(keyed, "keys"), rows, words, similarity))
-    return about.select("doc_id", "fp"), reps.select("fp", "node").join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
+    return about.select("doc_id", "fp"), reps.select("fp", "node").join(roots.hint(MERGE), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -516,7 +516,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     classes = similar_classes(docs, words, similarity)[1]
     first = classes.where("node = component_id").select(F.col("node").cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.col("fp").alias(mark))
     marked = rows.where("doc_id is not null").mapInArrow(_marked(words, mark), StructType([*rows.schema.fields, StructField(mark, BinaryType())]))
-    kept = marked.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    kept = marked.join(first.hint(MERGE), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return kept.select(*rows.columns).unionByName(rows.where("doc_id is null"))
 
 

@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tarn.llm import bpe, components, packing, simhash, syncmers, token_files
+from tarn.llm import bpe, common, components, packing, simhash, syncmers, token_files
 from tarn.session import shared_path
 from tests.conftest import SF
 
@@ -414,3 +415,14 @@ def test_components_take_few_rounds_and_are_brute_force(spark, monkeypatch):
     got = components.connected_components(edges).collect()
     assert {r["node"]: r["root"] for r in got} == wanted and len(got) == len(wanted) and len(made) > 5
     assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Spark expects of the exploded keys no more than of what they are made of; they are many times larger."""
+    reps = spark.range(3000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("node"))
+    found = simhash.links(reps, 4, 7)
+    assert found.count() >= 0 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    classes = simhash.with_class(reps.select(F.col("node").alias("doc_id"), "fp"), reps.select("fp", F.col("node").alias("component_id")))
+    assert classes.count() == 3000 and "BroadcastHashJoin" not in classes._jdf.queryExecution().executedPlan().toString()
+    least = common.beside_least(reps.select("fp", "node"), "fp", "node")
+    assert least.count() == 3000 and "BroadcastHashJoin" not in least._jdf.queryExecution().executedPlan().toString()
