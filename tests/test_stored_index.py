@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.config import Config
-from tarn.operators import blocks
+from tarn.operators import blocks, index
 from tarn.session import shared_path
 from tarn.sources.index_store import IndexStore
 from tarn.streaming import index_stream
@@ -165,3 +165,24 @@ def test_a_stream_feeds_the_index(spark, tmp_path):
     last = store.version()
     assert store.add(table(spark, [("apple", 99, 1.0)]), store.manifest()["batch"]) == last
     assert sorted(map(tuple, store.postings().collect())) == want
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_terms_are_counted_where_a_text_is_read(spark, once):
+    rows = [(1, "a1 b1 a1 A1 the"), (2, None), (3, ""), (4, "the of"), (5, "b1 " * 700), (None, "n1 n1")] + [(i, f"w{i % 7} x{i % 300} é") for i in range(10, 900)]
+    rows += [] if once else [(1, "a1 c1"), (None, "n1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = defaultdict(int)
+    for d, t in rows:
+        for w in (t or "").lower().split():
+            if w.isascii() and w not in ("the", "of"):
+                want[d, w] += 1
+    tf = index.term_frequencies(docs, "doc_id", plain=True)
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in tf.collect()} == want and tf.count() == len(want)
+    plain = table(spark, [(w, d, float(n)) for (d, w), n in want.items() if d is not None])
+    known = {(r["doc"], r["term"]): r["layer"] for r in blocks.layered(plain).collect()}
+    got = index.weighed_terms(docs, "doc_id", plain=True)
+    assert {(r["doc"], r["term"]): r["layer"] for r in got.where("doc is not null").collect()} == known
+    # Where each key is one row, only what is written is dealt out.
+    if once:
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
