@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ _RUN = regex.compile(RUNS)
 _PARTS = regex.compile(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+")
 _HAN = regex.compile(r"\p{Han}+|[^\p{Han}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = regex.compile(SPACE)
+#: Letters of a word's beginning that is kept.
+BEGINNING = 16
 #: Characters that are counted together.
 HELD = 1 << 21
 
@@ -133,17 +137,49 @@ class Cutter:
         self.longest = max(map(len, self.weight), default=1)
         self.unknown = math.log(0.1 / total)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("starts", "tails")}
+
+    def _begun(self) -> None:
+        """``starts``: what words of two letters and more begin with, up to ``BEGINNING`` letters, with the weight of those that
+        are words; ``tails``: the lengths of the longer words with the same beginning."""
+        self.starts: dict[str, float | None] = {}
+        self.tails: dict[str, list[int]] = {}
+        for w, x in self.weight.items():
+            for n in range(2, min(len(w), BEGINNING + 1)):
+                self.starts.setdefault(w[:n], None)
+            if 1 < len(w) <= BEGINNING:
+                self.starts[w] = x
+            elif len(w) > BEGINNING:
+                self.starts.setdefault(w[:BEGINNING], None)
+                self.tails.setdefault(w[:BEGINNING], []).append(len(w))
+        self.tails = {w: sorted(set(n)) for w, n in self.tails.items()}
+
     def cut(self, run: str) -> list[str]:
-        """The words of the best path; of equal sums the one with the longer last word."""
-        best, back = [0.0] * (len(run) + 1), [0] * (len(run) + 1)
-        get, longest = self.weight.get, self.longest
-        for end in range(1, len(run) + 1):
-            top, at = best[end - 1] + get(run[end - 1], self.unknown), end - 1
-            for start in range(max(0, end - longest), end - 1):
-                w = get(run[start:end])
-                if w is not None and (best[start] + w > top or (best[start] + w == top and start < at)):
-                    top, at = best[start] + w, start
-            best[end], back[end] = top, at
+        """The words of the best path; of equal sums the one with the longer last word. From each letter words are looked for only as
+        long as one begins like that."""
+        if not hasattr(self, "starts"):
+            self._begun()
+        size = len(run)
+        best, back = [0.0] + [-math.inf] * size, [0] * (size + 1)
+        get, starts, unknown = self.weight.get, self.starts, self.unknown
+        for start in range(size):
+            so_far = best[start]
+            for end in range(start + 2, min(start + BEGINNING, size) + 1):
+                part = run[start:end]
+                w = starts.get(part, False)
+                if w is False:
+                    break
+                if w is not None and so_far + w > best[end]:
+                    best[end], back[end] = so_far + w, start
+            else:
+                for n in self.tails.get(run[start : start + BEGINNING], ()) if self.tails else ():
+                    w = get(run[start : start + n]) if start + n <= size else None
+                    if w is not None and so_far + w > best[start + n]:
+                        best[start + n], back[start + n] = so_far + w, start
+            w = so_far + get(run[start], unknown)
+            if w > best[start + 1]:
+                best[start + 1], back[start + 1] = w, start
         out, end = [], len(run)
         while end:
             out.append(run[back[end] : end])
@@ -223,3 +259,36 @@ def segmented(docs: DataFrame, cutter: Cutter, key: str, text: str | Column = "t
     """(key, words) of every row; with ``as_tokens`` those of U7, else all of the whole text."""
     rows = docs.select(key, (F.col(text) if isinstance(text, str) else text).alias("text"))
     return rows.mapInArrow(_words(cutter, search, as_tokens), f"{key} {docs.schema[key].dataType.simpleString()}, words array<string>")
+
+
+def _ends(words: list[str]) -> set[int]:
+    """Where each word ends."""
+    return set(accumulate(map(len, words)))
+
+
+def _told(cutter: Cutter):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int | None, ...]] = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                if text is None:
+                    out.append((None, None, None))
+                    continue
+                joined = _SPACE.sub("", text)
+                marks = _ends(_PARTS.findall(joined))
+                true, found = _ends(_PARTS.findall(_SPACE.sub(" ", text))) - marks, _ends(cutter.words(joined)) - marks
+                out.append((len(true), len(found), len(true & found)))
+            counts = [pa.array(c, pa.int32()) for c in zip(*out)] if out else [pa.array([], pa.int32())] * 3
+            yield pa.record_batch([*batch.columns[:-1], *counts], names=[*batch.schema.names[:-1], "n_true", "n_cut", "n_both"])
+
+    return run
+
+
+def places(docs: DataFrame, cutter: Cutter, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, n_true, n_cut, n_both) of every row: the places between letters where white space was, where a cut of the text without
+    white space is, and where both are; null for a null text. A text is read, cut and compared at once; as cutting takes far longer
+    than reading, texts are dealt to all cores, however few parts their files have."""
+    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return docs.select(*keys, text).repartition(parts, keys[0]).mapInArrow(_told(cutter), f"{schema}, n_true int, n_cut int, n_both int")

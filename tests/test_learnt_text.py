@@ -162,3 +162,18 @@ def test_language_of_held_out_and_short_texts(spark):
     assert whole >= 0.97 and whole >= lists
     short, lists = share(held.withColumn("text", F.substring("text", 1, 25)))
     assert short >= 0.85 and short > lists
+
+
+def test_cutting_does_not_take_the_time_of_the_longest_word():
+    """A dictionary learnt from texts without white space has words as long as they are."""
+    cutter, text = segment.Cutter({"ab": 5, "abc": 3, "c": 1, "x" * 30_000: 1, "abcab" * 4: 2}), "abcab" * 20_000
+    asked = []
+    cutter.weight = type("Counted", (dict,), {"get": lambda self, *k: asked.append(1) or dict.get(self, *k)})(cutter.weight)
+    assert "".join(cutter.cut(text)) == text and len(asked) <= 3 * len(text)
+    assert segment.Cutter({"x" * 30: 9, "x": 1}).cut("x" * 61) == ["x", "x" * 30, "x" * 30]
+
+
+def test_places_are_those_of_plain_sets(spark):
+    rows = [(1, "ab cd, ab1 x yz"), (2, None), (3, ""), (None, "ab ab")]
+    got = [tuple(r) for r in segment.places(spark.createDataFrame(rows, "doc_id long, text string"), segment.Cutter({"ab": 3, "cd": 1, "yz": 2}), "doc_id").collect()]
+    assert got == [(1, 2, 2, 2), (2, None, None, None), (3, 0, 0, 0), (None, 1, 1, 1)]
