@@ -3,7 +3,8 @@
 A candidate is a run of up to ``longest`` letters that occurs ``least`` times. It is a word if its characters stick together
 (``cohesion``: the least, over all ways to cut it in two, of the log ratio of its share to that of the parts side by side) and
 if what stands beside it varies (``entropy``: the lesser one of its left and right neighbours', where an end
-of the text between marks counts as one more neighbour). Both come from one table of n-gram counts, which tasks sum before it is shuffled.
+of the text between marks counts as one more neighbour). ``candidates`` takes both from any table of n-gram counts (``gram_counts``);
+``grams.found`` finds the same in texts without such a table, which is what large ones take.
 
 Where other texts have white space, the words that it parts are a dictionary, too (``known_words``).
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tarn.config import DEFAULT
 from tarn.functions.text import HAN, SPACE
+from tarn.operators import grams
 
 #: Letters of any script, as runs.
 RUNS = r"\p{L}+"
@@ -238,7 +240,7 @@ def known_words(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def learnt(texts: DataFrame, text: str = "text", passes: int = DEFAULT.word_passes, longest: int = DEFAULT.word_longest) -> Cutter:
     """A cutter whose dictionary comes from ``texts`` alone."""
-    cutter = collected(chosen(candidates(gram_counts(texts, longest + 1, text), longest)))
+    cutter = collected(chosen(grams.found(texts, longest, DEFAULT.word_least, text)))
     for _ in range(passes):
         found = texts.select(F.col(text)).mapInArrow(_recounted(cutter), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         cutter = collected(found)

@@ -1,6 +1,7 @@
 """Learnt dictionaries and language weights, against brute force and on held-out rows."""
 
 import math
+import random
 from collections import Counter
 from itertools import product
 
@@ -11,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.functions import lang, language
-from tarn.operators import segment
+from tarn.operators import grams, segment
+from tarn.plans.queries import word_candidates
 from tests.conftest import SF
 
 # Hand-made Chinese words and sentences of them.
@@ -177,3 +179,36 @@ def test_places_are_those_of_plain_sets(spark):
     rows = [(1, "ab cd, ab1 x yz"), (2, None), (3, ""), (None, "ab ab")]
     got = [tuple(r) for r in segment.places(spark.createDataFrame(rows, "doc_id long, text string"), segment.Cutter({"ab": 3, "cd": 1, "yz": 2}), "doc_id").collect()]
     assert got == [(1, 2, 2, 2), (2, None, None, None), (3, 0, 0, 0), (None, 1, 1, 1)]
+
+
+# One 64-bit number a window, two, and three.
+ALPHABETS = {"one": "abcdefgh é中1 ", "two": "".join(map(chr, range(0x4E00, 0x4E00 + 900))) + "的的 " * 300, "three": "".join(map(chr, range(0x20000, 0x20000 + 5000))) + "ab 1" * 4000}
+
+
+@pytest.mark.parametrize("letters", ALPHABETS)
+@pytest.mark.parametrize("longest, least", [(8, 2), (3, 5), (1, 1)])
+def test_words_are_those_of_a_table_of_grams(spark, letters, longest, least):
+    rng = random.Random(longest)
+    texts = ["".join(rng.choices(ALPHABETS[letters], k=rng.randrange(300))) for _ in range(60)] + ["abcabcabcab" * 30, None, "", " 1 "]
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    plain = segment.candidates(segment.gram_counts(docs, longest + 1), longest, least)
+    assert sorted(map(tuple, grams.found(docs, longest, least).collect())) == sorted(map(tuple, plain.collect()))
+    joined = segment.candidates(segment.gram_counts(docs.select(segment.unparted(F.col("text")).alias("text")), longest + 1), longest, least)
+    assert sorted(map(tuple, grams.found(docs, longest, least, joined=True).collect())) == sorted(map(tuple, joined.collect()))
+    assert grams.found(docs.limit(0), longest, least).count() == 0
+
+
+def test_a_place_gives_one_window(monkeypatch):
+    """Not one row of each length; chunks, however small, have the same windows together."""
+    texts = ["abcdefghijklmnop" * 4, "qrstuvwxyz, abc", None]
+    code, batch = grams._Code(sorted(map(ord, "abcdefghijklmnopqrstuvwxyz")), 9), pa.record_batch([pa.array(texts)], names=["text"])
+    whole = list(grams._windows(code, 4, False)(iter([batch])))
+    assert sum(x[0] for b in whole for x in b.column("sizes").to_pylist()) == 16 + 8 + 10 + 3  # with the ends of runs, which are shorter
+    monkeypatch.setattr(grams, "HELD", 8)
+    monkeypatch.setattr(grams, "ROWS", 1)
+    assert len(list(grams._windows(code, 4, False)(iter([batch])))) > len(whole)
+
+
+def test_the_query_counts_windows(spark, monkeypatch):
+    monkeypatch.setattr(segment, "gram_counts", None)
+    assert word_candidates(spark, SF).where("length(word) = 8 and cohesion is not null and entropy is not null").count() > 0
