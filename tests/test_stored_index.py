@@ -186,3 +186,17 @@ def test_terms_are_counted_where_a_text_is_read(spark, once):
     # Where each key is one row, only what is written is dealt out.
     if once:
         assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_grow_in_number_with_the_postings(spark, monkeypatch, tmp_path):
+    """A task sorts no more postings when there are more of them."""
+    rows = spark.range(4000).select(F.concat(F.lit("t"), F.col("id") % 7).alias("term"), F.col("id").alias("doc"), (F.col("id") % 5 + 1.0).alias("weight"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = blocks.layered(spark.read.parquet(f"{tmp_path}/rows"))
+    few = sorted(map(tuple, blocks.unpacked(blocks.packed(rows, 4)).collect()))
+    monkeypatch.setattr(blocks, "SORTED", 100)
+    asked = []
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda self, *a, f=type(rows).repartitionByRange: asked.append(a[0]) or f(self, *a))
+    store = IndexStore(spark, f"{tmp_path}/index")
+    store.add(rows, 0)
+    assert asked == [40] and sorted(map(tuple, store.postings().collect())) == few
