@@ -10,7 +10,8 @@ from there to the end of the run. Grams are beginnings of windows, so sorted win
 4. Grams that occur twice are dealt again, by their last letters. Their group has what stands before each and the counts of all endings. (What stands
    beside a word but once adds nothing to the sum of n ln n, and how many of them there are follows from the ends of runs.)
 
-Groups grow in number with the letters of the texts, not in size; counts are exact.
+Groups grow in number with the letters of the texts, so their usual size stays; but all windows of one beginning are in one group, and that of
+the most frequent beginning does grow. Counts are exact.
 """
 
 from __future__ import annotations
